@@ -23,12 +23,11 @@ WORD = re.compile(WORD_PATTERN)
 words_of = WORD.findall
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_FOLD = {ord(a): b for a, b in zip(UPPER, LOWER)}
 
 
 def fold_ascii(text: str) -> str:
-    """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_FOLD)
+    """Lower-case A-Z and nothing else, as bytes.lower does."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def remainder(doc_id: Column, modulus: int = 5) -> Column:

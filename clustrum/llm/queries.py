@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from . import bpe, language, licenses, mixing, quality, secrets
+from . import bpe, jaccard, language, licenses, maxent, mixing, quality, secrets, vectors
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_query,
+        "op2_lm_scores": maxent.op2_query,
         "op3_language_id": language.op3_query,
         "op4_license_scan": licenses.op4_query,
+        "op5_jaccard_join": jaccard.op5_query,
         "op6_source_mixing": mixing.op6_query,
+        "op7_near_vectors": vectors.op7_query,
         "op8_bpe_round_trip": bpe.op8_query,
         "op9_secret_scan": secrets.op9_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.oracle(), "op6_source_mixing": mixing.ORACLE}
+    return {
+        "op4_license_scan": licenses.oracle(),
+        "op5_jaccard_join": jaccard.ORACLE,
+        "op6_source_mixing": mixing.ORACLE,
+        "op7_near_vectors": vectors.ORACLE,
+    }
