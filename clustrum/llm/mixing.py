@@ -43,8 +43,8 @@ def targets(sources: DataFrame, share: float = 1.5, repeats: int = 2, weights=WE
         .withColumn("budget", F.sum("source_size").over(every) * F.lit(share))
         .withColumn("level", (F.col("budget") - F.col("before")) / F.col("left"))
     )
-    # the level of the first source (in that order) whose limit is not reached; it only grows over filled ones
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(every)
+    # the level of the first source (in that order) whose limit it does not reach
+    level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "rank", "level"))).over(every)["level"]
     return filled.select(
         "source", "source_size", "budget",
         F.when(level.isNull() | (F.col("ratio") <= level), F.col("limit")).otherwise(level * F.col("weight")).alias("target"),
@@ -122,8 +122,8 @@ weighed AS (SELECT *, [5.0, 2.0, 1.0][((rank - 1) % 3 + 1)::INT]::DOUBLE AS weig
 filled AS (SELECT *, sum(source_size) OVER ()::DOUBLE * 1.5 AS budget, coalesce(sum(lim) OVER (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
     sum(weight) OVER (ORDER BY lim / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS remaining FROM weighed),
 levels AS (SELECT *, (budget - before) / remaining AS lvl FROM filled),
-goal AS (SELECT source, source_size, budget, CASE WHEN (SELECT min(lvl) FROM levels WHERE lim / weight > lvl) IS NULL THEN lim
-    ELSE least(lim, weight * (SELECT min(lvl) FROM levels WHERE lim / weight > lvl)) END AS target FROM levels),
+filling AS (SELECT (SELECT lvl FROM levels WHERE lim / weight > lvl ORDER BY lim / weight, rank LIMIT 1) AS lvl),
+goal AS (SELECT source, source_size, budget, CASE WHEN f.lvl IS NULL OR lim / weight <= f.lvl THEN lim ELSE weight * f.lvl END AS target FROM levels, filling f),
 queue AS (SELECT s.*, g.source_size, g.budget, g.target, sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS own
     FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
 copies AS (SELECT q.*, c, (own + c * source_size - size / 2.0::DOUBLE) / target AS v FROM queue q, (SELECT unnest([0, 1]) AS c) WHERE target > 0 AND size > 0),

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, language, licenses, maxent, mixing, quality, secrets, vectors
+from . import bpe, jaccard, language, licenses, maxent, mixing, quality, secrets, toxicity, vectors
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -16,6 +22,8 @@ def queries() -> dict:
         "op7_near_vectors": vectors.op7_query,
         "op8_bpe_round_trip": bpe.op8_query,
         "op9_secret_scan": secrets.op9_query,
+        "op10_toxicity": toxicity.op10_query,
+        "pipeline": pipeline,
     }
 
 
