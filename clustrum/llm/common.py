@@ -22,6 +22,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 words_of = WORD.findall
 
+#: For `rows` of map_columns: whole Arrow batches.
+WHOLE = 1 << 30
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,15 +62,17 @@ def sampled(df: DataFrame, key: Column, total: int, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(bound / total * (1 << 30))))
 
 
-def map_columns(df: DataFrame, work, schema: str) -> DataFrame:
-    """Run `work(*columns)` (lists in, a list of output columns out) over each Arrow batch of `df`."""
+def map_columns(df: DataFrame, work, schema: str, rows: int = 2048) -> DataFrame:
+    """Run `work(*columns)` (lists in, a list of output columns out) over `df`, at most `rows` rows of an Arrow batch
+    at a time, so that a task holds few rows as Python objects. Work that sums up its rows takes more of them."""
     target = df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
         arrow = _arrow_schema(target)
         for batch in batches:
-            out = work(*[c.to_pylist() for c in batch.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, arrow)], schema=arrow)
+            for at in range(0, batch.num_rows, rows):
+                out = work(*[c.to_pylist() for c in batch.slice(at, rows).columns])
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

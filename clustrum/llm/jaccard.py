@@ -47,7 +47,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen lately."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -101,7 +101,7 @@ def pieces(tokens: np.ndarray, threshold: float) -> list[int]:
         at = at[order]
         starts = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
         parity = np.bitwise_xor.reduceat(h[order], starts)
-        key = mixed(parity + np.uint64(level) * _M1 + (at[starts].astype(np.uint64) + np.uint64(1)) * _M2)
+        key = mixed(parity + np.uint64(level * int(_M1) % 2**64) + (at[starts].astype(np.uint64) + np.uint64(1)) * _M2)
         out += key.view(np.int64).tolist()
     return out
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, remainder, settled
+from .common import WHOLE, map_columns, remainder
 
 BUCKETS = 1 << 15
 _LETTER = regex.compile(r"\p{L}")
@@ -113,7 +113,7 @@ def fit(rows: DataFrame, fit_rows: int, penalty: float) -> Mixture:
                 to += values
         return out
 
-    counts = map_columns(rows.where(pick).select("lang", "text"), work, "lang string, i int, n long").groupBy("lang", "i").agg(F.sum("n").alias("n")).toPandas()
+    counts = map_columns(rows.where(pick).select("lang", "text"), work, "lang string, i int, n long", WHOLE).groupBy("lang", "i").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes)
     table = np.zeros((len(languages), BUCKETS))
     table[counts["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy(int), counts["i"].to_numpy(int)] = counts["n"].to_numpy(float)

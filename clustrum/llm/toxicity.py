@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, remainder, settled
+from .common import WHOLE, map_columns, remainder, settled
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
@@ -132,7 +132,7 @@ def fitted(rows: DataFrame, labels: DataFrame, examples: int, least_chi: float,
     own = sample.where("part = 0")
     n = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
-    counted = map_columns(own.select("toxic", "text"), marks, "term string, toxic int, n long").groupBy("term").agg(
+    counted = map_columns(own.select("toxic", "text"), marks, "term string, toxic int, n long", WHOLE).groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("b")
     )
     a, b = F.col("a"), F.col("b")
@@ -147,7 +147,7 @@ def fitted(rows: DataFrame, labels: DataFrame, examples: int, least_chi: float,
             sums.update(spoken.intersection(terms(text)))
         return [[*sums, None], [*sums.values(), len(texts)]]
 
-    seen = {r["term"]: r["n"] for r in map_columns(rows.select("text"), present, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if spoken else {}
+    seen = {r["term"]: r["n"] for r in map_columns(rows.select("text"), present, "term string, n long", WHOLE).groupBy("term").agg(F.sum("n").alias("n")).collect()} if spoken else {}
     total = seen.get(None, 0)
     idf = {t: float(np.log((total + 1) / (seen.get(t, 0) + 1)) + 1) for t in chosen_terms}
 
