@@ -148,7 +148,8 @@ def afkmc2_ids(samples: DataFrame, k: int, chain: int, seed: int, energy: Energy
     pairs = samples.where(F.col("id").isin(ids)).select("id", "x")
     apart = pairs.alias("a").join(F.broadcast(pairs.alias("b")), F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), energy.column(distance(F.col("a.x"), F.col("b.x"))).alias("e"))
     e = {(r["i"], r["j"]): r["e"] for r in apart.collect()}
-    cost = lambda i, chosen: min(0.0 if i == c else e[min(i, c), max(i, c)] for c in chosen)
+    far = float("inf")  # of a uniform fall-back pick, which the collected proposals need not hold
+    cost = lambda i, chosen: min(0.0 if i == c else e.get((min(i, c), max(i, c)), far) for c in chosen)
     chosen = [first]
     for s in range(1, k):
         now, weight = None, 0.0
