@@ -151,3 +151,11 @@ def write_labelled(labelled: DataFrame, path: str) -> None:
     plain = F.concat("s", F.lit("\t : "), F.col("k").cast("string"))
     named = F.concat(F.lit(">"), "name", F.lit("  ("), F.col("k").cast("string"), F.lit(")\n"), "s")
     labelled.orderBy("id").select(F.when(F.col("name").isNull(), plain).otherwise(named).alias("value")).write.text(path)
+
+
+def round_log(lines: DataFrame) -> DataFrame:
+    """(r, mE, entries): the `key=value` lines of a log that have R and mE; a missing or unreadable number is -1."""
+    entries = F.str_to_map(F.regexp_replace(F.trim("text"), r"\s+", " "), F.lit(" "), F.lit("="))
+    kept = lines.where(F.col("text").rlike(r"^\s*R=\S+") & F.col("text").contains("mE=")).select(entries.alias("entries"))
+    number = lambda k, kind: F.coalesce(F.expr(f"try_cast(entries['{k}'] AS {kind})"), F.lit(-1))
+    return kept.select(number("R", "bigint").alias("r"), number("mE", "double").alias("mE"), "entries")

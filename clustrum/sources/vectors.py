@@ -50,3 +50,23 @@ def projected(samples: DataFrame, dimensions: int, seed: int = 0) -> DataFrame:
     rows = F.array(*[F.array(*[F.lit(float(v)) for v in a]) for a in axes])
     dot = lambda a: F.aggregate(F.zip_with("x", a, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return samples.select("id", F.transform(rows, dot).alias("x"))
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(id, x) of an image file of big-endian header (magic, count, rows, columns) and one byte a pixel."""
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
+    raw = spark.read.format("binaryFile").load(path).select("content", number(5).alias("n"), (number(9) * number(13)).alias("size"))
+    image = raw.select("size", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("id"))
+    pixels = image.select(F.col("id").cast("long"), "size", F.substring(F.col("content"), 17 + F.col("id") * F.col("size"), F.col("size")).alias("p"))
+    return pixels.select("id", F.transform(F.sequence(F.lit(1), "size"), lambda j: F.conv(F.hex(F.substring(F.col("p"), j, F.lit(1))), 16, 10).cast("double")).alias("x"))
+
+
+def concatenated(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, x): the vectors of equal ids, one behind the other."""
+    return left.join(right.select("id", F.col("x").alias("y")), "id").select("id", F.concat("x", "y").alias("x"))
+
+
+def scaled(samples: DataFrame, *factors: float) -> DataFrame:
+    """(id, x): each dimension times its factor."""
+    by = F.array(*[F.lit(float(f)) for f in factors])
+    return samples.select("id", F.zip_with("x", by, lambda v, f: v * f).alias("x"))

@@ -82,3 +82,16 @@ def test_vector_sources(spark, tmp_path):
     long = df.select("id", F.explode("i").alias("i"))
     assert vectors.sparse_long(long, F.col("id"), F.col("i"), F.lit(1.0)).count() == 2
     assert len(vectors.projected(spark.createDataFrame([(0, [1.0, 2.0, 3.0])], "id long, x array<double>"), 2).first()["x"]) == 2
+
+
+def test_images_joins_and_scales(spark, tmp_path):
+    (tmp_path / "img").write_bytes(bytes([0, 0, 8, 3, 0, 0, 0, 2, 0, 0, 0, 1, 0, 0, 0, 3, 1, 2, 255, 0, 128, 7]))
+    x = vectors.read_images(spark, str(tmp_path / "img"))
+    assert {r["id"]: r["x"] for r in x.collect()} == {0: [1.0, 2.0, 255.0], 1: [0.0, 128.0, 7.0]}
+    both = vectors.concatenated(x, vectors.scaled(x, 2.0, 0.5, 1.0))
+    assert {r["id"]: r["x"] for r in both.collect()}[1] == [0.0, 128.0, 7.0, 0.0, 64.0, 7.0]
+
+
+def test_round_log(spark):
+    df = spark.createDataFrame([("R=0  mE=1.5  Tp=3",), ("other",), ("R=1\tmE=- nprops=4",)], "text string")
+    assert sorted((r["r"], r["mE"]) for r in text.round_log(df).collect()) == [(0, 1.5), (1, -1.0)]
