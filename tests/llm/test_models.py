@@ -35,30 +35,60 @@ def test_base_scores_by_brute_force(spark, messy, messy_rows):
 
 def test_model_is_a_distribution_and_batches_agree():
     rng = np.random.default_rng(1)
-    vocabulary = [f"w{i}" for i in range(100)]
+    vocabulary = [b"w%d" % i for i in range(100)]
     mass = np.sort(rng.integers(1, 100, 100))[::-1].astype(float)
-    m = maxent.Model(vocabulary, mass, 50.0)
+    m = maxent.Model(vocabulary, mass, np.arange(1.0, maxent.ENDINGS + 1))
     m.class_rows += rng.normal(size=m.class_rows.shape).astype(np.float32)
     m.word_rows += rng.normal(size=m.word_rows.shape).astype(np.float32)
     lexicon = maxent.Lexicon(vocabulary)
-    code, starts = maxent.coded([["w3", "w5", w] for w in [*vocabulary, "unseen"]], lexicon)
-    last = m.log_prob(code, starts)[2::3]
+    unseen = {maxent.ending(w): w for w in (b"unseen%d" % i for i in range(200))}
+    assert len(unseen) == maxent.ENDINGS
+    every = [*vocabulary, *unseen.values()]  # one word stands for each class of other words
+    of = lambda words: (lambda c: m.log_prob(c.word, c.hash, c.starts))(lexicon.codes([b"w3 w5 " + w for w in words]))
+    last = of(every)[2::4]  # two words before, the word, and the end
     assert abs(np.exp(last).sum() - 1) < 1e-4
-    one = [m.log_prob(*maxent.coded([["w3", "w5", w]], lexicon))[2] for w in [*vocabulary, "unseen"]]
-    assert np.allclose(one, last, atol=1e-4)
+    for w, p in zip(every, last):
+        assert abs(of([w])[2] - p) < 1e-4
+
+
+def test_update_sums_gradients_of_a_row():
+    rng = np.random.default_rng(5)
+    at, g = rng.integers(0, 20, 200).astype(np.uint16), rng.normal(size=(200, 4)).astype(np.float32)
+    rows = np.zeros((20, 4), np.float32)
+    maxent.Model._update(rows, at, g, 0.5)
+    want = [-0.5 * g[at == i].sum(0) / max((at == i).sum(), 1) ** 0.5 for i in range(20)]
+    assert np.allclose(rows, want, atol=1e-5)
+
+
+def test_classes_of_other_words_hold_all_counts(spark):
+    rows = spark.createDataFrame([("a",), ("",), ("é",), ("word",), ("x\u20ac",)], "word string")
+    got = {r["word"]: r["k"] for r in rows.select("word", maxent.ending_column(F.col("word")).alias("k")).collect()}
+    assert got == {w: maxent.ending(w.encode()) for w in got}
 
 
 def test_gradient_step_raises_the_likelihood():
     rng = random.Random(2)
-    vocabulary = [f"w{i}" for i in range(40)]
-    m = maxent.Model(vocabulary, np.full(40, 10.0), 5.0)
+    vocabulary = [b"w%d" % i for i in range(40)]
+    m = maxent.Model(vocabulary, np.full(40, 10.0), np.ones(maxent.ENDINGS))
     lexicon = maxent.Lexicon(vocabulary)
-    text = [["w1", "w2", "w3", rng.choice(vocabulary)] for _ in range(300)]
-    code, starts = maxent.coded(text, lexicon)
-    before = m.log_prob(code, starts).sum()
+    c = lexicon.codes([b"w1 w2 w3 " + rng.choice(vocabulary) for _ in range(300)])
+    before = m.log_prob(c.word, c.hash, c.starts).sum()
     for _ in range(5):
-        m.step(code, starts, 0.1)
-    assert m.log_prob(code, starts).sum() > before + 100
+        m.step(c.word, c.hash, c.starts, 0.1)
+    assert m.log_prob(c.word, c.hash, c.starts).sum() > before + 100
+
+
+def test_codes_are_those_of_split_words():
+    rng = random.Random(4)
+    text = "".join(rng.choices(["a", "B", "é", "zz", " ", "\n", "\t", "\x0b", "\x85", "\xa0"], k=300_000)).encode()
+    lexicon = maxent.Lexicon([b"a", b"b"], [b"azz", b"", b"b"])
+    c = lexicon.codes([text, None, b"", b" a ", b"A B azz", b"x" * 200_000])
+    lists = [maxent.tokens(t) for t in (text, None, b"", b" a ", b"A B azz", b"x" * 200_000)]
+    flat = [w for x in lists for w in x]
+    assert c.n.tolist() == [len(x) for x in lists] and c.words_at(np.arange(len(flat))) == flat
+    assert c.word.tolist() == [{b"a": 0, b"b": 1}.get(w, maxent.OUTSIDE + maxent.ending(w)) for w in flat]
+    assert c.place.tolist() == [{b"azz": 1, b"": 2, b"b": 3}.get(w, 0) for w in flat]
+    assert len(set(c.hash.tolist())) == len(set(flat))
 
 
 def test_model_beats_the_base_on_held_out_documents(spark):
