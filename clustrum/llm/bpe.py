@@ -12,6 +12,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,12 +70,12 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool
             digests.append(hashlib.sha256(" ".join(map(str, tokens)).encode()).hexdigest())
             decoded.append(hashlib.sha256(enc.decode_bytes(tokens)).hexdigest())
             if keep_ids:
-                kept.append(tokens)
+                kept.append(np.array(tokens, np.int32))
         return [ids, n, digests, decoded, *([kept] if keep_ids else [])]
 
     return map_columns(
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work,
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else ""),
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else ""), rows=256,
     )
 
 

@@ -62,9 +62,20 @@ def sampled(df: DataFrame, key: Column, total: int, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(bound / total * (1 << 30))))
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are large rows: put 1000 of them into an Arrow batch instead of Spark's 10000, which buffers on both
+    sides of each Python worker hold several times. A session that sets its own number keeps it."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def map_columns(df: DataFrame, work, schema: str, rows: int = 2048) -> DataFrame:
     """Run `work(*columns)` (lists in, a list of output columns out) over `df`, at most `rows` rows of an Arrow batch
     at a time, so that a task holds few rows as Python objects. Work that sums up its rows takes more of them."""
+    small_batches(df.sparkSession)
     target = df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
