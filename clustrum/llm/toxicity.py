@@ -29,6 +29,17 @@ def terms(text: str | None) -> list[str]:
     return words + ["^" + w[:PREFIX] for w in words if len(w) > PREFIX]
 
 
+def counted(text: str | None, vocabulary) -> dict[str, int]:
+    """How often each term of the vocabulary stands in a text; a repeated word is looked up once."""
+    out: dict[str, int] = {}
+    for w, n in Counter(_WORD.findall(text.lower()) if text else ()).items():
+        if w in vocabulary:
+            out[w] = n
+        if len(w) > PREFIX and (p := "^" + w[:PREFIX]) in vocabulary:
+            out[p] = out.get(p, 0) + n
+    return out
+
+
 class BlockMaxIndex:
     """Normalised TF-IDF vectors of labelled examples; `nearest` finds the k of largest cosine exactly."""
 
@@ -103,7 +114,7 @@ class Judge:
         self.index, self.prior, self.levels = index, prior, levels
 
     def raw(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        found = self.index.nearest(Counter(t for t in terms(text) if t in self.index.term))
+        found = self.index.nearest(counted(text, self.index.term))
         return self.index.vote(found, self.prior), found
 
     def score(self, text: str | None) -> tuple[float, str]:
@@ -132,19 +143,19 @@ def fitted(rows: DataFrame, labels: DataFrame, examples: int, least_chi: float,
     own = sample.where("part = 0")
     n = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
-    counted = map_columns(own.select("toxic", "text"), marks, "term string, toxic int, n long", WHOLE).groupBy("term").agg(
+    by_term = map_columns(own.select("toxic", "text"), marks, "term string, toxic int, n long", WHOLE).groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("b")
     )
     a, b = F.col("a"), F.col("b")
     chi = (pos + neg) * F.pow(a * (neg - b) - b * (pos - a), 2) / ((a + b) * (pos + neg - a - b) * pos * neg + 1e-9)
-    chosen_terms = [r["term"] for r in counted.where(chi >= least_chi).orderBy(chi.desc(), "term").limit(most_terms).select("term").collect()] if pos and neg else []
+    chosen_terms = [r["term"] for r in by_term.where(chi >= least_chi).orderBy(chi.desc(), "term").limit(most_terms).select("term").collect()] if pos and neg else []
 
     spoken = set(chosen_terms)
 
     def present(texts):
         sums: Counter = Counter()
         for text in texts:
-            sums.update(spoken.intersection(terms(text)))
+            sums.update(counted(text, spoken).keys())
         return [[*sums, None], [*sums.values(), len(texts)]]
 
     seen = {r["term"]: r["n"] for r in map_columns(rows.select("text"), present, "term string, n long", WHOLE).groupBy("term").agg(F.sum("n").alias("n")).collect()} if spoken else {}
@@ -152,7 +163,7 @@ def fitted(rows: DataFrame, labels: DataFrame, examples: int, least_chi: float,
     idf = {t: float(np.log((total + 1) / (seen.get(t, 0) + 1)) + 1) for t in chosen_terms}
 
     def held(ids, toxic, texts):
-        own_terms = [Counter(t for t in terms(text) if t in spoken) for text in texts]
+        own_terms = [counted(text, spoken) for text in texts]
         return [ids, toxic, [list(c) for c in own_terms], [list(c.values()) for c in own_terms]]
 
     found = map_columns(own.select("doc_id", "toxic", "text"), held, "doc_id long, toxic int, terms array<string>, n array<long>").collect() if spoken else []
@@ -171,7 +182,7 @@ def fitted(rows: DataFrame, labels: DataFrame, examples: int, least_chi: float,
     return judge
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 2000, least_chi: float = 20.0, most_terms: int = 4096) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 2000, least_chi: float = 35.0, most_terms: int = 4096) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence of each row of (doc_id, text).
 
     Learns from labels (doc_id, toxic) of documents whose crc32(doc_id) mod 5 is not 0, about `examples` of each label

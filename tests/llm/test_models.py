@@ -164,6 +164,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.75 and n.get((0, 1), 0) / n[0, 0] < 0.03
 
 
+def test_counted_terms():
+    text = "Idiot idiots IDIOT, idiotic_idiot été 12 \u00e9t\u00e9s abcdefg abcdeXY"
+    vocabulary = {"idiot", "^idiot", "\u00e9t\u00e9", "^abcde", "none"}
+    assert toxicity.counted(text, vocabulary) == dict(Counter(t for t in toxicity.terms(text) if t in vocabulary)) == {"idiot": 3, "^idiot": 2, "\u00e9t\u00e9": 1, "^abcde": 2}
+    assert toxicity.counted(None, vocabulary) == {}
+
+
 def test_isotonic_calibration():
     p = toxicity.isotonic(np.array([0, 5, 2, 9.0]), np.array([10, 5, 6, 1.0]))
     assert (np.diff(p) >= 0).all() and p[0] < 0.05 and p[-1] > 0.8
