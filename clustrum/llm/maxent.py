@@ -2,8 +2,9 @@
 
 A word's probability factors into that of its class and that of the word within the class, both softmax over hashed
 features of the two words before it: the previous word, the one before that (skip), and, for the class, the pair
-(trigram). Classes are runs of a small vocabulary in order of frequency; the words outside it form further classes by
+(trigram). Classes are runs of the vocabulary in order of frequency; the words outside it form further classes by
 their endings, in which a word's probability is its smoothed count, so that probabilities of all words sum to one.
+The vocabulary has 1024 words or more, and grows with the root of the number of distinct words; see `shape_for`.
 
 Training is distributed: in each round every task runs mini-batch gradient steps over its documents of that round,
 from the same weights; the changes are averaged per block of weights. Each training document is used in one round.
@@ -15,6 +16,7 @@ the rest, which no document repeats often, are joined with their counts by a shu
 from __future__ import annotations
 
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,13 @@ from .common import remainder, settled, small_batches
 
 END = b""  # the end of a text; no word is empty
 HEAD_WORDS = 60_000
-WIDTH, CLASSES = 16, 16  # words of a class, classes of the vocabulary
+WIDTH, CLASSES = 32, 32  # at least; words of a class, classes of the vocabulary
 ENDINGS = 7  # classes of the other words
 OUTSIDE = WIDTH * CLASSES
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
 BLOCK = 8192
 BATCH = 4096
-SLOTS = 16
+SLOTS = 4
 PIECE = 1 << 16
 
 _BLANK = np.zeros(256, bool)
@@ -56,6 +58,27 @@ def ending_column(word: Column) -> Column:
     return F.when(F.length(word) == 0, 0).otherwise(F.conv(last, 16, 10).cast("int") % ENDINGS)
 
 
+class Shape(NamedTuple):
+    """Words of a class, classes of the vocabulary, rows of the class and the word weights (powers of two)."""
+
+    width: int = WIDTH
+    classes: int = CLASSES
+    class_rows: int = CLASS_ROWS
+    word_rows: int = WORD_ROWS
+
+    @property
+    def outside(self) -> int:
+        return self.width * self.classes
+
+
+def shape_for(distinct: int) -> Shape:
+    """A vocabulary of about 1.6 times the root of the distinct words, and feature rows of about 13 times that root;
+    neither less than the defaults. Rows end at 2 ** 16, what 16-bit keys tell apart."""
+    side = max(WIDTH, int(np.ceil((1.6 * distinct**0.5) ** 0.5)))
+    rows = min(1 << 16, max(CLASS_ROWS, 1 << int(np.log2(13 * distinct**0.5 + 1))))
+    return Shape(side, side, rows, min(1 << 16, 2 * rows))
+
+
 class Powers:
     """Powers of the hash base and their inverses modulo 2 ** 64, as many as asked for."""
 
@@ -75,8 +98,8 @@ class Powers:
 class Lexicon:
     """Codes of words without a Python object for each: a 64-bit polynomial hash, looked up among the head words."""
 
-    def __init__(self, vocabulary: list[bytes], head: list[bytes] = ()):
-        self.powers = Powers()
+    def __init__(self, vocabulary: list[bytes], head: list[bytes] = (), outside: int = OUTSIDE):
+        self.powers, self.outside = Powers(), outside
         words = list(dict.fromkeys([*vocabulary, *head]))
         hashes = self.hashes_of(words)
         order = np.argsort(hashes)
@@ -128,11 +151,11 @@ class Lexicon:
         hit = self.hashes[at] == h
         word, place = np.where(hit, self.ids[at], -1), np.where(hit, self.places[at], 0)
         n = np.array(n, np.int64)
-        return Codes(np.where(word < 0, OUTSIDE + np.concatenate(endings), word), h, place, np.concatenate([[0], np.cumsum(n)[:-1]]), n, spans)
+        return Codes(np.where(word < 0, self.outside + np.concatenate(endings), word), h, place, np.concatenate([[0], np.cumsum(n)[:-1]]), n, spans)
 
 
 class Codes:
-    """word (vocabulary id, or OUTSIDE and the class), hash and place among the head words of each token; where each
+    """word (vocabulary id, or the vocabulary's size and the class), hash and place among the head words of each token; where each
     text starts, and how many tokens it has."""
 
     def __init__(self, word, hash, place, starts, n, spans):
@@ -165,19 +188,19 @@ def cut(text: bytes):
 class Model:
     """Weights: class biases and rows, word biases and rows. Features index rows by hash."""
 
-    def __init__(self, vocabulary: list[bytes], mass: np.ndarray, rest: np.ndarray):
-        self.vocabulary = vocabulary
-        full = np.zeros(OUTSIDE)
+    def __init__(self, vocabulary: list[bytes], mass: np.ndarray, rest: np.ndarray, shape: Shape = Shape()):
+        self.vocabulary, self.shape = vocabulary, shape
+        full = np.zeros(shape.outside)
         full[: len(mass)] = mass
-        grid = full.reshape(CLASSES, WIDTH)
+        grid = full.reshape(shape.classes, shape.width)
         by_class = np.concatenate([grid.sum(1), rest])
         with np.errstate(divide="ignore"):
             self.class_bias = np.maximum(np.log(by_class / by_class.sum()), -30).astype(np.float32)
             inside = np.log(grid / np.maximum(grid.sum(1, keepdims=True), 1e-9))
         # a slot without a word must stay impossible; an empty class is never asked for
         self.word_bias = np.maximum(inside, -60).astype(np.float32)
-        self.class_rows = np.zeros((CLASS_ROWS, CLASSES + ENDINGS), np.float32)
-        self.word_rows = np.zeros((WORD_ROWS, WIDTH), np.float32)
+        self.class_rows = np.zeros((shape.class_rows, shape.classes + ENDINGS), np.float32)
+        self.word_rows = np.zeros((shape.word_rows, shape.width), np.float32)
 
     @staticmethod
     def features(h: np.ndarray, starts: np.ndarray):
@@ -196,26 +219,40 @@ class Model:
 
     def at(self, word: np.ndarray, h: np.ndarray, starts: np.ndarray):
         """Per position: class, place in the class, and rows of the class and word weights."""
-        cls, place = np.where(word < OUTSIDE, word // WIDTH, word - (OUTSIDE - CLASSES)), word % WIDTH
+        width, classes, outside = self.shape.width, self.shape.classes, self.shape.outside
+        cls, place = np.where(word < outside, word // width, word - (outside - classes)), word % width
         hashed = self.features(h, starts)
-        class_at = [(f >> np.uint64(40)).astype(np.uint16) & np.uint16(CLASS_ROWS - 1) for f in hashed]
+        class_at = [(f >> np.uint64(40)).astype(np.uint16) & np.uint16(self.shape.class_rows - 1) for f in hashed]
         in_class = cls.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        word_at = [((f ^ in_class) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.uint16) & np.uint16(WORD_ROWS - 1) for f in hashed[:2]]
+        word_at = [((f ^ in_class) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.uint16) & np.uint16(self.shape.word_rows - 1) for f in hashed[:2]]
         return cls, place, class_at, word_at
 
+    @staticmethod
+    def _log_sum(z):
+        """Log of the sum of exponentials, for logits that are overwritten by themselves less their maximum."""
+        z -= z.max(1, keepdims=True)
+        return np.log(np.exp(z).sum(1))
+
     @staticmethod
     def _softmax(z):
-        """Log of the sum and the probabilities, for logits that are overwritten."""
+        """The probabilities, in place of the logits."""
         z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(1, keepdims=True)
-        return np.log(s[:, 0]), e / s
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        return z
 
     def _class_logits(self, class_at):
-        return self.class_bias + self.class_rows[class_at[0]] + self.class_rows[class_at[1]] + self.class_rows[class_at[2]]
+        z = self.class_rows.take(class_at[0], 0)
+        z += self.class_rows.take(class_at[1], 0)
+        z += self.class_rows.take(class_at[2], 0)
+        z += self.class_bias
+        return z
 
     def _word_logits(self, cls, word_at):
-        return self.word_bias[cls] + self.word_rows[word_at[0]] + self.word_rows[word_at[1]]
+        z = self.word_bias.take(cls, 0)
+        z += self.word_rows.take(word_at[0], 0)
+        z += self.word_rows.take(word_at[1], 0)
+        return z
 
     def log_prob(self, word: np.ndarray, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log probability at each position of the word's class, and within it for vocabulary words."""
@@ -225,12 +262,12 @@ class Model:
             k = slice(i, i + BATCH)
             c = cls[k]
             z = self._class_logits([a[k] for a in class_at])
-            total = self._softmax(z)[0]
+            total = self._log_sum(z)
             part = (z[np.arange(len(c)), c] - total).astype(np.float64)
-            known = np.nonzero(c < CLASSES)[0]
+            known = np.nonzero(c < self.shape.classes)[0]
             if len(known):
                 z = self._word_logits(c[known], [a[k][known] for a in word_at])
-                total = self._softmax(z)[0]
+                total = self._log_sum(z)
                 part[known] += z[np.arange(len(known)), place[k][known]] - total
             out[k] = part
         return out
@@ -238,14 +275,14 @@ class Model:
     def step(self, word: np.ndarray, h: np.ndarray, starts: np.ndarray, rate: float) -> None:
         """One gradient step; a row's step is its summed gradient over the root of how often the batch uses it."""
         cls, place, class_at, word_at = self.at(word, h, starts)
-        p = self._softmax(self._class_logits(class_at))[1]
+        p = self._softmax(self._class_logits(class_at))
         p[np.arange(len(cls)), cls] -= 1
         for a in class_at:
             self._update(self.class_rows, a, p, rate)
-        known = np.nonzero(cls < CLASSES)[0]
+        known = np.nonzero(cls < self.shape.classes)[0]
         if len(known):
             some = [a[known] for a in word_at]
-            p = self._softmax(self._word_logits(cls[known], some))[1]
+            p = self._softmax(self._word_logits(cls[known], some))
             p[np.arange(len(known)), place[known]] -= 1
             for a in some:
                 self._update(self.word_rows, a, p, rate)
@@ -255,8 +292,7 @@ class Model:
         order = np.argsort(at, kind="stable")  # 16-bit keys: a radix sort
         sorted_at = at[order]
         last = np.nonzero(np.concatenate([sorted_at[1:] != sorted_at[:-1], [True]]))[0]
-        sums = np.cumsum(gradient[order], axis=0)[last]
-        sums[1:] -= sums[:-1].copy()
+        sums = np.add.reduceat(gradient.take(order, 0), np.concatenate([[0], last[:-1] + 1]), axis=0)
         rows[sorted_at[last]] -= sums * (rate / np.sqrt(np.diff(last, prepend=-1)))[:, None].astype(np.float32)
 
     def flat(self) -> np.ndarray:
@@ -324,11 +360,11 @@ def trained(model: Model, training: DataFrame, rounds: int, rate: float) -> Mode
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches):
-            own = Model(sent.value.vocabulary, np.zeros(0), np.ones(ENDINGS))
+            own = Model(sent.value.vocabulary, np.zeros(0), np.ones(ENDINGS), sent.value.shape)
             own.class_bias, own.word_bias = sent.value.class_bias, sent.value.word_bias
             begin = sent.value.flat()
             own.load(begin.copy())
-            lexicon = Lexicon(own.vocabulary)
+            lexicon = Lexicon(own.vocabulary, outside=own.shape.outside)
             used = 0
             for batch in batches:
                 for texts in batches_of(batch.column(0).cast(pa.binary()).to_pylist()):
@@ -381,13 +417,14 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = 2,
     totals = counts.groupBy(ending_column(F.col("word")).alias("ending")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     total, distinct = sum(r["n"] for r in totals), sum(r["v"] for r in totals)
     least, head = frequent(counts, head_words)
-    ranked = sorted(head, key=lambda w: (-head[w], w))[:OUTSIDE]
+    shape = shape_for(distinct)
+    ranked = sorted(head, key=lambda w: (-head[w], w))[: shape.outside]
     rest = np.full(ENDINGS, 0.5)  # of an unseen word of each class
     for r in totals:
         rest[r["ending"]] += r["n"] + 0.5 * r["v"]
     for w in ranked:
         rest[ending(w)] -= head[w] + 0.5
-    model = trained(Model(ranked, np.array([head[w] for w in ranked], float), rest), training, rounds, rate)
+    model = trained(Model(ranked, np.array([head[w] for w in ranked], float), rest, shape), training, rounds, rate)
 
     base_floor, rest_floor = np.log10(total + 0.5 * (distinct + 1)), np.log10(rest)
     by_place = sorted(head)
@@ -395,7 +432,7 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = 2,
 
     def run(batches):
         own, by_place, logs = sent.value
-        lexicon = Lexicon(own.vocabulary, by_place)
+        lexicon = Lexicon(own.vocabulary, by_place, shape.outside)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, held, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
@@ -403,9 +440,9 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = 2,
             few: list[list] = [[], [], []]
             for some in batches_of(texts):
                 c = lexicon.codes(some)
-                in_head, outside = c.place > 0, c.word >= OUTSIDE
+                in_head, outside = c.place > 0, c.word >= shape.outside
                 log = np.where(in_head, logs[c.place], 0.0)
-                floor = np.where(outside, rest_floor[np.where(outside, c.word - OUTSIDE, 0)], 0.0)
+                floor = np.where(outside, rest_floor[np.where(outside, c.word - shape.outside, 0)], 0.0)
                 natural = own.log_prob(c.word, c.hash, c.starts) / np.log(10)
                 sums = [np.add.reduceat(v, c.starts) for v in (in_head.astype(np.int64), log - base_floor, natural - floor + np.where(outside, log, 0.0))]
                 for to, v in zip(whole, (range(row, row + len(some)), c.n.tolist(), *[x.tolist() for x in sums])):

@@ -91,6 +91,23 @@ def test_codes_are_those_of_split_words():
     assert len(set(c.hash.tolist())) == len(set(flat))
 
 
+def test_vocabulary_grows_with_the_distinct_words(spark):
+    assert maxent.OUTSIDE >= 1024 and maxent.shape_for(0) == maxent.Shape()
+    small, large = maxent.shape_for(1_000_000), maxent.shape_for(100_000_000)
+    assert small.outside >= 1600 and large.outside >= 16_000 and large.class_rows > small.class_rows >= maxent.CLASS_ROWS
+    rng = random.Random(6)
+    vocabulary = [b"w%d" % i for i in range(small.outside)]
+    m, lexicon = maxent.Model(vocabulary, np.ones(small.outside), np.ones(maxent.ENDINGS), small), maxent.Lexicon(vocabulary, outside=small.outside)
+    c = lexicon.codes([b"%s %s" % (v, vocabulary[-1 - i]) for i, v in enumerate(rng.choices(vocabulary[:20], k=100))])
+    before = m.log_prob(c.word, c.hash, c.starts)
+    m.step(c.word, c.hash, c.starts, 0.1)
+    assert c.word.max() >= small.outside and m.log_prob(c.word, c.hash, c.starts).sum() > before.sum()
+    # 900 words in fixed pairs: what the pairs tell must reach words beyond the most frequent ones
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rng.choices(range(450), k=60))) for i in range(300)]
+    out = maxent.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert out["s"] > 0.95 * out["b"]
+
+
 def test_model_beats_the_base_on_held_out_documents(spark):
     out = maxent.score_texts(table(spark, SF, "documents")).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
     assert out["s"] > out["b"]
