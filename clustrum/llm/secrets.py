@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHOLE, map_columns, sampled, settled, small_batches
+from .common import WHOLE, map_columns, small_batches
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -69,17 +69,21 @@ class MarkovRatio:
 
 
 def _count(docs: DataFrame, work) -> dict[str, np.ndarray]:
-    """Sum over all tasks of what `work(text)` yields as (label, index array); the driver gets sums of fixed size."""
+    """Sum over all tasks of what `work(label, tokens)` yields as indices of the tokens of one Arrow batch; the driver
+    gets sums of fixed size."""
 
     def run(texts):
-        totals: dict[str, dict[int, int]] = {}
+        held: dict[str, list[str]] = {}
         for text in texts:
-            for label, index in work(text or ""):
-                into = totals.setdefault(label, {})
-                for i in index:
-                    into[i] = into.get(i, 0) + 1
-        rows = [(k, i, n) for k, v in totals.items() for i, n in v.items()]
-        return [list(x) for x in zip(*rows)] if rows else [[], [], []]
+            for label, token in labelled_tokens(text or ""):
+                held.setdefault(label, []).append(token)
+        out: list[list] = [[], [], []]
+        for label, tokens in held.items():
+            index, n = np.unique(work(label, tokens), return_counts=True)
+            out[0] += [label] * len(index)
+            out[1] += index.tolist()
+            out[2] += n.tolist()
+        return out
 
     sums = map_columns(docs.select(F.col("text").cast("string")), run, "label string, i long, n long", WHOLE).groupBy("label", "i").agg(F.sum("n").alias("n"))
     out: dict[str, list] = {}
@@ -88,6 +92,16 @@ def _count(docs: DataFrame, work) -> dict[str, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
+def all_steps(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """`steps` of each token, one after another, and where each token begins; no token is empty."""
+    c = codes("\n".join(["", *tokens])).astype(np.int64)
+    begin = np.cumsum([1, *(len(t) + 1 for t in tokens[:-1])])
+    inside = np.ones(len(c), bool)
+    inside[begin - 1] = False  # line feeds have the extra symbol
+    flat = np.concatenate([[0], c[:-1]]) * SYMBOLS + c
+    return flat[inside], begin - np.arange(1, len(tokens) + 1)
+
+
 def labelled_tokens(text: str):
     """(label, token) samples of a text: secrets of the rules are random, long words and identifiers outside them ordinary."""
     found = base_spans(text)
@@ -100,11 +114,10 @@ def labelled_tokens(text: str):
 
 
 def train(docs: DataFrame) -> tuple[MarkovRatio, float]:
-    """The ratio model and its threshold, both from the labelled tokens of the rows of (doc_id, text) given."""
+    """The ratio model and its threshold, both from the labelled tokens of all rows of (text)."""
 
-    def counted(text):
-        for label, token in labelled_tokens(text):
-            yield label, steps(token).tolist()
+    def counted(label, tokens):
+        return all_steps(tokens)[0]
 
     def dense(pairs):
         flat = np.zeros(SYMBOLS * SYMBOLS, np.int64)
@@ -115,10 +128,13 @@ def train(docs: DataFrame) -> tuple[MarkovRatio, float]:
     sums = _count(docs, counted)
     model = MarkovRatio(dense(sums.get("random")), dense(sums.get("ordinary")))
 
-    def scored(text):
-        for label, token in labelled_tokens(text):
-            if label == "random" or len(token) >= 16:
-                yield label, [int(np.clip(round(model.score(token) * 100), -1000, 1000))]
+    def scored(label, tokens):
+        long = [t for t in tokens if label == "random" or len(t) >= 16]
+        if not long:
+            return np.zeros(0, np.int64)
+        flat, begin = all_steps(long)
+        means = np.add.reduceat(model.table[flat], begin) / np.array([len(t) for t in long])
+        return np.clip(np.round(means * 100), -1000, 1000).astype(np.int64)
 
     hist = _count(docs, scored)
     return model, threshold(hist.get("random"), hist.get("ordinary"))
@@ -152,15 +168,15 @@ def joined(spans) -> str:
     return ",".join(f"{(*KINDS, 'markov')[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def secret_scan(docs: DataFrame, fit_rows: int = 6000) -> DataFrame:
+def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of (doc_id, text).
 
-    Spans are kind:start:end in code points, end exclusive, by start and then kind. The Markov models are fitted on
-    about `fit_rows` rows (a documented bound), every row is scanned whole. Null or empty texts have no spans. Without
+    Spans are kind:start:end in code points, end exclusive, by start and then kind. The Markov models
+    and their threshold are fitted on the labelled tokens of all rows, every row is scanned whole. Null or empty texts have no spans. Without
     both kinds of labelled tokens the threshold is 1.0.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    model, least = fitted(docs, fit_rows)
+    model, least = fitted(docs)
 
     def work(ids, texts):
         spans = [all_spans(t or "", model, least) for t in texts]
@@ -171,11 +187,9 @@ def secret_scan(docs: DataFrame, fit_rows: int = 6000) -> DataFrame:
     return map_columns(rows, work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def fitted(docs: DataFrame, fit_rows: int) -> tuple[MarkovRatio, float]:
-    """The models, from a bounded sample of rows that hold a secret of the rules and one of any rows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.count()
-    return train(settled(sampled(rows, F.col("doc_id"), total, fit_rows)))
+def fitted(docs: DataFrame, text: str = "text") -> tuple[MarkovRatio, float]:
+    """The models and their threshold, from all rows: what is kept of them are sums of fixed size."""
+    return train(docs.select(F.col(text).cast("string").alias("text")))
 
 
 def redacted(text: str | None, model: MarkovRatio, least: float) -> str | None:
@@ -190,10 +204,10 @@ def redacted(text: str | None, model: MarkovRatio, least: float) -> str | None:
     return "".join([*out, text[at:]]) if out else text
 
 
-def redact(docs: DataFrame, fit_rows: int = 6000, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with each secret span replaced by its kind in angle brackets; other columns as they were."""
     small_batches(docs.sparkSession)
-    model, least = fitted(docs, fit_rows)
+    model, least = fitted(docs, text)
 
     @F.pandas_udf("string")
     def clean(texts):

@@ -152,6 +152,25 @@ def test_markov_model_tells_random_from_ordinary(spark):
     assert planted not in clean[1000] and all("<assign>" in clean[i] for i in range(200))
 
 
+def test_rare_secrets_train_the_markov_models(spark):
+    rng = random.Random(8)
+    random_token = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    secret = {i * 601: random_token(30) for i in range(100)}  # one row in 601, where 6000 of 60100 rows would hold about ten
+    rows = [(i, "the configurationManager of internationalization" + (f" token={secret[i]}" if i in secret else "")) for i in range(60_100)]
+    model, least = secrets.fitted(spark.createDataFrame(rows, "doc_id long, text string"))
+    random_sums = np.zeros(secrets.SYMBOLS**2)
+    for t in secret.values():
+        np.add.at(random_sums, secrets.steps(t), 1)
+    ordinary = np.zeros(secrets.SYMBOLS**2)
+    for t in ("configurationManager", "internationalization"):
+        np.add.at(ordinary, secrets.steps(t), 60_100)
+    want = secrets.MarkovRatio(random_sums, ordinary)
+    assert np.allclose(model.table, want.table)
+    scores = sorted(round(want.score(t) * 100) / 100 for t in secret.values())
+    others = max(round(want.score(t) * 100) / 100 for t in ("configurationManager", "internationalization"))
+    assert abs(least - max(0.4, (scores[0] + others) / 2)) < 0.02
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(9)
     vocabulary = {f"t{i}": rng.uniform(1, 5) for i in range(60)}
