@@ -200,6 +200,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.75 and n.get((0, 1), 0) / n[0, 0] < 0.03
 
 
+def test_rare_insults_mark_a_text(spark):
+    rows = [(i, "some words of a plain text" + (" awful" if i % 2 else "") + (" zork" if i % 18 == 1 else "")) for i in range(1000)]
+    docs = spark.createDataFrame([*rows, (5000, "zork")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    own = lambda **more: toxicity.toxicity(docs, labels, **more).where("doc_id = 5000").first()
+    assert own(least_chi=35.0)["evidence"] == "" and own()["evidence"].count(":1:") == 3
+
+
 def test_counted_terms():
     text = "Idiot idiots IDIOT, idiotic_idiot été 12 \u00e9t\u00e9s abcdefg abcdeXY"
     vocabulary = {"idiot", "^idiot", "\u00e9t\u00e9", "^abcde", "none"}
