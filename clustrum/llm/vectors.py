@@ -4,7 +4,8 @@ Each half of a vector has its own codebook; the pair of nearest codewords is the
 vector looks for neighbours in its own cell and in the next ones in order of the sum of its distances to the two
 codewords (multi-sequence order), as many as reach the target recall on calibration pairs. Candidates are verified by
 cosine in double precision, in blocks: a cell, however full, is cut into chunks, and a task sees two chunks at a time.
-A block returns each probe's number of links and a spanning forest of the links, never all pairs.
+A block returns numbers of links and a spanning forest of the links, never all pairs. A pair that only one side's
+visits find is counted for both.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ class MultiIndex:
         k = max(1, min(k, len(sample)))
         self.books = [kmeans(part, k, seed=seed + i) for i, part in enumerate(self._halves(sample)) if part.shape[1]]
         self.k = k
-        self.visits = self._calibrated(sample[:2048], threshold, recall, seed)
+        self.visits = self._calibrated(sample[np.random.default_rng(seed).permutation(len(sample))[:2048]], threshold, recall, seed)
 
     def _halves(self, x):
         return x[:, : self.half], x[:, self.half :]
@@ -111,8 +112,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
 
     Vectors link if their cosine is at least `threshold`. Null or zero vectors, and those with null or non-finite
     components, link with nothing (n_links 0, their own component); vectors of different lengths never link. Equal
-    vectors are one class, expanded into counts only. The codebooks are fitted on about `sample_rows` vectors (a
-    documented bound); every vector is indexed. Rows of one vec_id count as copies of each other.
+    vectors are one class, expanded into counts only. The codebooks are fitted on about `sample_rows` vectors and the
+    visits calibrated on 2048 of these, chosen at random (documented bounds); every vector is indexed. Rows of one vec_id count as copies of each other.
     """
     rows = settled(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")))
     sound = (
@@ -145,20 +146,20 @@ def _linked(classes: DataFrame, threshold: float, recall: float, sample_rows: in
 
     def work(ids, ns, xs):
         if not ids:
-            return [[], [], [], [], []]
+            return [[], [], [], [], [], []]
         visited = index.cells(unit(xs), index.visits)
         k = visited.shape[1]
-        return [np.repeat(ids, k).tolist(), np.repeat(ns, k).tolist(), [x for x in xs for _ in range(k)], visited.ravel().tolist(), list(range(k)) * len(ids)]
+        return [np.repeat(ids, k).tolist(), np.repeat(ns, k).tolist(), [x for x in xs for _ in range(k)], visited.ravel().tolist(), list(range(k)) * len(ids), [v for v in visited.tolist() for _ in range(k)]]
 
     # rank 0 is the vector's own cell: there it is both a member and a probe
-    visits = map_columns(classes.select("id", "n", "x"), work, "id long, n long, x array<double>, cell int, rank int")
+    visits = map_columns(classes.select("id", "n", "x"), work, "id long, n long, x array<double>, cell int, rank int, visited array<int>")
     sizes = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("probes"), F.sum((F.col("rank") == 0).cast("long")).alias("members")).where("members > 0")
     chunks = sizes.select("cell", F.ceil(F.col("probes") / CHUNK).alias("pc"), F.ceil(F.col("members") / CHUNK).alias("mc"))
     placed = visits.join(F.broadcast(chunks), "cell")  # at most 64 * 64 cells
     slot = F.xxhash64("id")
-    probes = placed.select("cell", "id", "n", "x", F.pmod(slot, "pc").alias("p"), F.explode(F.sequence(F.lit(0), F.col("mc") - 1)).alias("m"))
+    probes = placed.select("cell", "id", "n", "x", F.element_at("visited", 1).alias("own"), F.pmod(slot, "pc").alias("p"), F.explode(F.sequence(F.lit(0), F.col("mc") - 1)).alias("m"))
     members = placed.where("rank = 0").select(
-        F.col("cell").alias("of"), F.col("id").alias("member"), F.col("n").alias("copies"), F.col("x").alias("y"),
+        F.col("cell").alias("of"), F.col("id").alias("member"), F.col("n").alias("copies"), F.col("x").alias("y"), "visited",
         F.pmod(slot, "mc").alias("mm"), F.explode(F.sequence(F.lit(0), F.col("pc") - 1)).alias("mp"),
     )
 
@@ -171,16 +172,21 @@ def _linked(classes: DataFrame, threshold: float, recall: float, sample_rows: in
         if not linked.any():
             return none
         counts = linked @ m["copies"].to_numpy(np.int64)
+        # a member that does not visit the probe's own cell finds it nowhere else
+        own, visited = p["own"].to_numpy(), np.stack(m["visited"].to_numpy())
+        visits = np.zeros((len(b), max(int(own.max()), int(visited.max())) + 1), bool)
+        visits[np.arange(len(b))[:, None], visited] = True
+        back = (linked & ~visits[:, own].T).T @ p["n"].to_numpy(np.int64)
         rows, columns = forest(linked)
         head = int(linked.shape[1])
-        r, c = np.nonzero(rows >= 0)[0], np.nonzero((columns >= 0) & (columns != np.arange(head)))[0]
+        r, c = np.nonzero(rows >= 0)[0], np.nonzero((columns >= 0) & ((columns != np.arange(head)) | (back > 0)))[0]
         return pd.DataFrame({
             "id": np.concatenate([a[r], b[c]]), "other": np.concatenate([b[rows[r]], b[columns[c]]]),
-            "links": np.concatenate([counts[r], np.zeros(len(c), np.int64)]),
+            "links": np.concatenate([counts[r], back[c]]),
         }).astype("int64")
 
     found = settled(probes.groupBy("cell", "p", "m").cogroup(members.groupBy("of", "mp", "mm")).applyInPandas(block, "id long, other long, links long"))
-    return found.groupBy("id").agg(F.sum("links").alias("links")), found.select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return found.groupBy("id").agg(F.sum("links").alias("links")), found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
 def op7_query(spark, sf_dir) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -89,6 +90,27 @@ def test_bit_sketch_bounds_the_difference():
     assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_links_are_counted_for_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(vectors.MultiIndex, "_calibrated", lambda self, *_: 2)  # few visits: many pairs are met from one side only
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8))
+    x = np.concatenate([x, x + 0.15 * rng.normal(size=x.shape)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in vectors.near_vectors(df, per_cell=4).collect()}
+    sizes = Counter(r["component_id"] for r in got.values())
+    assert max(sizes.values()) > 1 and all((r["n_links"] > 0) == (sizes[r["component_id"]] > 1) for r in got.values())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(got[i]["n_links"] <= n - 1 for i, n in enumerate((u @ u.T >= 0.95).sum(1)))
+
+
+def test_calibration_does_not_look_at_the_first_rows_only(monkeypatch):
+    seen = []
+    monkeypatch.setattr(vectors.MultiIndex, "_calibrated", lambda self, x, *_: seen.append(x) or 4)
+    sample = vectors.unit(np.stack([np.arange(1.0, 4097), np.ones(4096)], 1))
+    vectors.MultiIndex(sample, 4, 0.95)
+    assert len(seen[0]) == 2048 and (seen[0][:, 1] < sample[2048, 1]).any()
+
+
 def test_vectors_recall(spark):
     rng = np.random.default_rng(6)
     centers = rng.normal(size=(40, 16))
