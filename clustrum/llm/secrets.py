@@ -1,7 +1,8 @@
 """Secret scans: fixed rules, and character Markov models that tell random strings from ordinary identifiers.
 
 Two first-order models over character classes are trained from labelled samples: what the rules find is labelled
-random, other long tokens without a digit are labelled ordinary. A further token is a secret if the mean
+random, other long tokens without a digit are labelled ordinary. A further token of 16 characters or more with a
+letter, or what the rules' spans leave of one if that is as long, is a secret if the mean
 log-likelihood ratio of its characters exceeds a threshold calibrated on the labelled samples.
 """
 
@@ -20,8 +21,11 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: What the models judge: runs of key-like characters with a letter, and with a digit or both cases, not part of a longer run.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9]|[a-z+/_=-]+[A-Z])[A-Za-z0-9+/_=-]{16,}")
+#: Shorter tokens are not judged: so few characters do not tell random from ordinary.
+LEAST = 16
+#: What the models judge: runs of at least LEAST key-like characters with a letter, not part of a longer run.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+_LETTER = re.compile("[A-Za-z]")
 #: What counts as ordinary in training: longer words and identifiers without a digit, which random strings seldom lack.
 ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{7,}(?![A-Za-z0-9+/_=-])")
 _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
@@ -129,7 +133,7 @@ def train(docs: DataFrame) -> tuple[MarkovRatio, float]:
     model = MarkovRatio(dense(sums.get("random")), dense(sums.get("ordinary")))
 
     def scored(label, tokens):
-        long = [t for t in tokens if label == "random" or len(t) >= 16]
+        long = [t for t in tokens if label == "random" or len(t) >= LEAST]
         if not long:
             return np.zeros(0, np.int64)
         flat, begin = all_steps(long)
@@ -154,13 +158,18 @@ def threshold(random, ordinary) -> float:
 
 
 def all_spans(text: str, model: MarkovRatio, least: float) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the rules' spans and of the model's (kind 3), which overlap none of the rules'."""
+    """(start, kind number, end) of the rules' spans and of the model's (kind 3), which overlap none of the rules':
+    of a token that does, each run outside them of at least LEAST characters with a letter is judged by itself."""
     found = base_spans(text)
     spans = [(a, k, b) for a, k, b, _ in found]
     more = []
     for m in TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in spans) and model.score(m[0]) > least:
-            more.append((m.start(), 3, m.end()))
+        at = m.start()
+        for a, b in [*((a, b) for a, _, b in spans if a < m.end() and m.start() < b), (m.end(), m.end())]:
+            run = text[at:a]
+            if a - at >= LEAST and _LETTER.search(run) and model.score(run) > least:
+                more.append((at, 3, a))
+            at = max(at, b)
     return sorted(spans + more)
 
 

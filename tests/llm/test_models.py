@@ -152,6 +152,19 @@ def test_markov_model_tells_random_from_ordinary(spark):
     assert planted not in clean[1000] and all("<assign>" in clean[i] for i in range(200))
 
 
+def test_every_key_like_run_is_judged():
+    class Always:
+        def score(self, token):
+            return 1.0
+
+    for token in ("AbcdefGhijklMnopQrst", "Qwertyuiopasdfghjkl1", "qwzxvkjhgfdplmnbvc", "QWZXVKJHGFDPLMNBVC"):
+        assert secrets.all_spans(f"x {token} y", Always(), 0.5) == [(2, 3, 2 + len(token))]
+    assert secrets.all_spans("1234567890123456 ================ abcdefghijklmno", Always(), 0.5) == []
+    hexed = "0123456789abcdef01234567"
+    text = f"QwertyUiopAsdfghJ_{hexed}-ZxcvbNmqwErtyuiop"
+    assert secrets.all_spans(text, Always(), 0.5) == [(0, 3, 18), (18, 2, 42), (42, 3, len(text))]
+
+
 def test_rare_secrets_train_the_markov_models(spark):
     rng = random.Random(8)
     random_token = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
