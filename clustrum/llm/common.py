@@ -40,11 +40,16 @@ def remainder(doc_id: Column, modulus: int = 5) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir, or else by setCheckpointDir. Where neither is set, a temporary
+    one on a local master; on a cluster that is an error, as executors don't share the driver's folders."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = getattr(spark, "_clustrum_tmp", None) or tempfile.mkdtemp(prefix="clustrum-")
-        spark._clustrum_tmp = named
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = folder.get() if folder.isDefined() else getattr(spark, "_clustrum_tmp", None)
+    if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = spark._clustrum_tmp = tempfile.mkdtemp(prefix="clustrum-")
     return named.rstrip("/")
 
 
@@ -52,7 +57,31 @@ def settled(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared checkpoint folder and read it back: lineage ends there, and a lost executor costs nothing that was settled before."""
     path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_settled_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            jpath = jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a long column that names each row, and that column's name: its doc_id if ids are neither null nor
+    repeated, else a number that a settled copy of the table fixes."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if not ids.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    return settled(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def sampled(df: DataFrame, key: Column, total: int, bound: int) -> DataFrame:
@@ -66,9 +95,10 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are large rows: put 1000 of them into an Arrow batch instead of Spark's 10000, which buffers on both
-    sides of each Python worker hold several times. A session that sets its own number keeps it."""
-    if spark.conf.get(BATCH_ROWS) == "10000":
+    """Texts are large rows: where the session leaves the number of rows in an Arrow batch open, set it to 1000 instead
+    of Spark's 10000, which buffers on both sides of each Python worker hold several times. A number that the session
+    sets, 10000 included, stays."""
+    if spark.conf.get(BATCH_ROWS, None) is None:
         spark.conf.set(BATCH_ROWS, "1000")
 
 

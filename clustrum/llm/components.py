@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import forget, settled
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -20,6 +20,8 @@ def connected(edges: DataFrame) -> DataFrame:
         around = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("least"))
         lower = settled(labels.join(around, labels["id"] == around["a"]).select("id", F.least("component", "least").alias("component"), F.col("component").alias("old")))
         of = lower.select(F.col("id").alias("label"), F.col("component").alias("its"))
-        labels = settled(lower.join(of, lower["component"] == of["label"]).select("id", F.col("its").alias("component"), (F.col("its") != F.col("old")).alias("moved")))
+        before, labels = labels, settled(lower.join(of, lower["component"] == of["label"]).select("id", F.col("its").alias("component"), (F.col("its") != F.col("old")).alias("moved")))
+        forget(before, lower)
         if not labels.where("moved").limit(1).count():
+            forget(both)
             return labels.select("id", "component")

@@ -1,40 +1,46 @@
 """N-gram Jaccard join by parity sketches.
 
-Tokens are five-word shingles. XOR-ing their hashes into the parts of a sketch leaves a part unchanged unless a token
-of the symmetric difference falls into it, so the Hamming distance of two sketches is at most the symmetric
-difference, which similarity t bounds by (|A| + |B|) (1 - t) / (1 + t). Documents of a band of sizes split their sketch
-into as many pieces as that bound asks for and meet on equal pieces (pigeonhole); a second, bitwise sketch drops
-pairs whose Hamming distance exceeds the bound; what is left is verified on the sets themselves.
-
-Small documents have every piece of several independent splits; of a large document's pieces PIECES are enough: a
-pair exactly at the threshold has each of them equal with probability 0.29 or more, independently up to rounding,
-so it is missed with probability below 1e-6, and closer pairs sooner meet.
-
-Groups of copies: equal sets are one class from the start. Within a piece, members are first verified against one
-head; then only members of different components are compared. No group is expanded into all of its pairs.
+Tokens are hashes of five-word shingles. A size band cuts the hash space into parts; the XOR of a set's tokens in a
+part is that part's parity, and a part that no token of the symmetric difference falls into has the same parity in
+both sets. So the Hamming distance of two parity sketches is at most the symmetric difference, which similarity t
+bounds by (|A| + |B|) (1 - t) / (1 + t): of the first bound + 1 parts that are not empty, one at least is equal in
+both sets (pigeonhole). Such a parity is a piece, and sets that share one are candidates.
+
+Which pieces must meet. With E pieces considered of each set, in order of their part, a pair of bound D shares E - D of
+them. A set may therefore leave out E - D - 1 pieces, provided that all sets leave out by one common order: it leaves
+out those that most sets have (`spare`). Passages that many documents share are met by those only that consist of
+little else, and a set most of whose pieces occur nowhere else has no candidate at all. Every set has E pieces but
+for chance; where one has not, its band is done again with a part for each token, which is exact for any set.
+
+Candidates whose sizes or bitwise sketches (Hamming distance again) exceed the bound are dropped, the others verified
+on the sets themselves. Equal sets are one class from the start. Within a piece, members are first verified against
+one head; then only members of different components are compared. No group is expanded into all of its pairs.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, map_columns, settled, words_of
+from .common import fold_ascii, forget, map_columns, settled, with_rows, words_of
 from .components import connected
 
-PIECES = 40
-#: Expected tokens of the symmetric difference in a piece, at the threshold and the top of a band.
-PER_PIECE = 1.2
+#: Largest set of the first band, whose parts are single tokens; each further band goes RATIO times as far.
+FIRST, RATIO = 64, 4
+#: Tokens in a part, on average, of a band's largest sets: in the second band, in later ones.
+LOAD = 1.5, 1.75
+#: Below this threshold parts are single tokens in all bands.
+LEAST_SHARED = 0.74
 BITS = 1024
 #: Up to so many ids (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 400_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SALTS = np.arange(1, PIECES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -66,73 +72,117 @@ def shingles(text: str | None, hashes: WordHashes, width: int = 5) -> np.ndarray
     return np.unique(mixed(out))
 
 
-def band(n: int, low: float) -> int:
-    """The band of sizes that n falls into; sizes in a ratio of at least `low` are in the same or adjacent bands."""
-    return int(math.log(n) / -math.log(low) + 1e-9)
-
-
-def splits(level: int, threshold: float) -> tuple[int, int]:
-    """(parts of a split, number of splits) for pairs whose larger set is of band `level`; (0, 0): only equal sets link."""
-    top = math.ceil(threshold ** -(level + 1))
-    most = int(2 * top * (1 - threshold) / (1 + threshold) + 1e-9)
-    if most < 1:
-        return 0, 0
-    parts = max(2, math.ceil(most / PER_PIECE))
-    return parts, max(1, math.ceil(PIECES / parts))
-
-
-def pieces(tokens: np.ndarray, threshold: float) -> list[int]:
-    """Signed 64-bit keys of a set's pieces, for its own band and, as the smaller set, for the next."""
-    out = []
-    own = band(len(tokens), threshold)
-    for level in (own, own + 1):
-        parts, times = splits(level, threshold)
-        if not parts:
-            continue
-        h = mixed(tokens[None, :] + _SALTS[:times, None])
-        at = ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64) + np.arange(times)[:, None] * parts
-        h, at = h.ravel(), at.ravel()
-        if times == 1 and parts > PIECES:
-            some = at < PIECES
-            h, at = h[some], at[some]
-        if not len(h):
-            continue
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        starts = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
-        parity = np.bitwise_xor.reduceat(h[order], starts)
-        key = mixed(parity + np.uint64(level * int(_M1) % 2**64) + (at[starts].astype(np.uint64) + np.uint64(1)) * _M2)
-        out += key.view(np.int64).tolist()
-    return out
+class Bands(NamedTuple):
+    """Size bands for a threshold; with `single`, parts of one token in all of them."""
+
+    threshold: float
+    single: bool = False
+
+    def of(self, n: int) -> int:
+        return max(0, math.ceil(math.log(n / FIRST, RATIO) - 1e-9)) if n > FIRST else 0
+
+    def largest(self, band: int) -> int:
+        return FIRST * RATIO**band
+
+    def both(self, n: int) -> list[int]:
+        """The bands of a set: its own, and the next one if a partner may be in that. A pair meets in its larger set's."""
+        own = self.of(n)
+        return [own, own + 1] if int(n / self.threshold + 1e-9) > self.largest(own) else [own]
+
+    def tokens_alone(self, band: int) -> bool:
+        return self.single or band == 0 or self.threshold < LEAST_SHARED
+
+    def parts(self, band: int) -> int:
+        return int(self.largest(band) / LOAD[min(band, 2) - 1])
+
+    def considered(self, n: int, band: int) -> float:
+        """Pieces that are considered of a set of n, before rounding up: all, or a fifth more than any bound needs, and one."""
+        return n if self.tokens_alone(band) else 1.2 * (1 - self.threshold) / self.threshold * n + 1
+
+    def bound(self, a: int, b: int) -> float:
+        return (a + b) * (1 - self.threshold) / (1 + self.threshold)
 
+    def spare(self, n: int, band: int) -> int:
+        """Pieces that a set of n need not meet on: one less than it shares with any partner. What a pair shares is
+        linear in the partner's size on either side of n, so that the smallest and the largest partner decide."""
+        least, most = math.ceil(self.threshold * n - 1e-9), int(n / self.threshold + 1e-9)
+        if self.tokens_alone(band):  # what is shared are the tokens themselves
+            return max(0, math.ceil(self.threshold / (1 + self.threshold) * (n + least) - 1e-9) - 1)
+        shared = min(self.considered(least, band) - self.bound(n, least), self.considered(n, band) - self.bound(n, most))
+        return max(0, math.floor(shared + 1e-9) - 1)
 
-def bit_sketch(tokens: np.ndarray) -> list[int]:
+
+def pieces(tokens: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, bool]:
+    """Signed 64-bit keys of the considered pieces of a set's sorted tokens, and whether there are as many as needed."""
+    want = min(len(tokens), math.ceil(bands.considered(len(tokens), band) - 1e-9))
+    if bands.tokens_alone(band):
+        parity, enough = tokens[:want], True
+    else:
+        part = (tokens >> np.uint64(32)) * np.uint64(bands.parts(band)) >> np.uint64(32)
+        starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+        enough = len(starts) >= want
+        end = len(tokens) if len(starts) <= want else starts[want]
+        parity = np.bitwise_xor.reduceat(tokens[:end], starts[:want])
+    return mixed(parity + np.uint64((2 * band + bands.single + 1) * int(_M2) % 2**64)).view(np.int64), enough
+
+
+def bit_sketch(tokens: np.ndarray) -> np.ndarray:
     """Parities of BITS cells, as signed 64-bit words."""
     odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+NONE = np.zeros(0, np.int64)
 
 
 def sketches(docs: DataFrame, threshold: float, width: int) -> DataFrame:
-    """doc_id, n (set size), a fingerprint of the set, the bit sketch and the pieces of each row of (doc_id, text)."""
-    hashes = WordHashes()
+    """doc_id, row, n (set size), a fingerprint of the set, the bit sketch, the pieces of its own band and, if it has
+    partners there, of the next, the spare pieces of each, and bands in which the set has too few, of (row, doc_id, text)."""
+    hashes, bands = WordHashes(), Bands(threshold)
 
-    def work(ids, texts):
-        n, one, two, bits, keys = [], [], [], [], []
+    def work(rows, ids, texts):
+        n, one, two, bits, keys, spare, short = [], [], [], [], [[], []], [[], []], []
         for text in texts:
             s = shingles(text, hashes, width)
             n.append(len(s))
             one.append(int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0)
             two.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-            bits.append(bit_sketch(s) if len(s) else [])
-            keys.append(pieces(s, threshold) if len(s) else [])
-        return [ids, n, one, two, bits, keys]
+            bits.append(bit_sketch(s) if len(s) else NONE)
+            few = []
+            own = bands.both(len(s)) if len(s) else []
+            for i in range(2):
+                found, enough = pieces(s, own[i], bands) if i < len(own) else (NONE, True)
+                keys[i].append(found)
+                spare[i].append(bands.spare(len(s), own[i]) if i < len(own) else 0)
+                if not enough:
+                    few.append(own[i])
+            short.append(few)
+        return [rows, ids, n, one, two, bits, *keys, *spare, short]
 
     return map_columns(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work,
-        "doc_id long, n long, h1 long, h2 long, bits array<long>, pieces array<long>",
+        docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")), work,
+        "row long, doc_id long, n long, h1 long, h2 long, bits array<long>, own array<long>, next array<long>, spare0 int, spare1 int, short array<int>",
     )
 
 
+def single_pieces(texts: DataFrame, again: list[int], threshold: float, width: int) -> DataFrame:
+    """(row, place, spare, piece) of the sets of (row, text) that have one of the bands `again`, with a part for each token."""
+    hashes, bands = WordHashes(), Bands(threshold, True)
+
+    def work(rows, texts):
+        out: list[list] = [[], [], [], []]
+        for row, text in zip(rows, texts):
+            s = shingles(text, hashes, width)
+            for band in bands.both(len(s)) if len(s) else []:
+                if band in again:
+                    found = pieces(s, band, bands)[0]
+                    for to, v in zip(out, ([row] * len(found), [2 + band] * len(found), [bands.spare(len(s), band)] * len(found), found.tolist())):
+                        to += v
+        return out
+
+    return map_columns(texts, work, "row long, place int, spare int, piece long", rows=64)
+
+
 def _near(a: str, b: str, threshold: float):
     """Whether sizes and bit sketches allow the threshold."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -140,77 +190,116 @@ def _near(a: str, b: str, threshold: float):
     return (F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9) & (apart <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the threshold."""
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Those of the pairs (a, b) of rows whose sets reach the threshold."""
     pairs = settled(pairs)
-    ids = settled(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    ids = settled(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashes = WordHashes()
 
     def work(own, texts):
-        return [own, [shingles(t, hashes, width).view(np.int64).tolist() for t in texts]]
+        return [own, [shingles(t, hashes, width).view(np.int64) for t in texts]]
 
-    sets = settled(map_columns(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), work, "doc_id long, tokens array<long>"))
+    sets = settled(map_columns(texts.join(F.broadcast(ids) if few else ids, "row", "left_semi"), work, "row long, tokens array<long>"))
     left, right = sets.toDF("a", "ta"), sets.toDF("b", "tb")
     both = F.size(F.array_intersect("ta", "tb"))
     linked = pairs.join(left, "a").join(right, "b").withColumn("both", both)
-    return linked.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b").distinct()
-
+    out = settled(linked.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b"))
+    forget(pairs, ids, sets)
+    return out
 
-def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, class_id and component_id of each row of (doc_id, text).
 
-    Two documents link if 100 * intersection >= percent * union of their sets of `width`-word shingles (A-Z lower-cased;
-    a shorter text is one shingle). class_id: smallest doc_id with an equal set; component_id: smallest doc_id
-    reachable by links. Documents without words, or null, link with nothing. Rows of one doc_id count as one document.
-    """
+def members_of_pieces(heads: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(piece, head, row): for each piece on which two sets or more must meet, its members and the least of them."""
+    keyed = heads.select("row", F.lit(0).alias("place"), F.col("spare0").alias("spare"), F.explode("own").alias("piece"))
+    keyed = keyed.union(heads.select("row", F.lit(1), "spare1", F.explode("next")))
+    again = sorted(r[0] for r in heads.where(F.size("short") > 0).select(F.explode("short")).distinct().collect())
+    if again:
+        keyed = keyed.union(single_pieces(texts.join(heads.select("row"), "row", "left_semi"), again, threshold, width))
+    times = keyed.groupBy("piece").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # of each set's pieces the `spare` that most sets have are left out; those that no other set has come last in that order
+    shared = keyed.join(times, "piece")
+    most = Window.partitionBy("row", "place").orderBy(F.desc("times"), "piece")
+    kept = settled(shared.withColumn("rank", F.row_number().over(most)).where("rank > spare").select("piece", "row"))
+    first = kept.groupBy("piece").agg(F.min("row").alias("head"), F.max("row").alias("last")).where("head <> last").select("piece", "head")
+    members = settled(kept.join(first, "piece").select("piece", "head", "row"))
+    forget(kept)
+    return members
+
+
+def _components(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Of (row, doc_id, text): (row, doc_id, n, h1, h2) of all rows, and (n, h1, h2, class_row, class_id, component_row,
+    component_id) of each distinct set; a row names the least row, an id the least doc_id (null if all are)."""
     threshold = percent / 100
+    texts = docs.select("row", F.col("text").cast("string").alias("text"))
     all_rows = settled(sketches(docs, threshold, width))
-    classes = settled(all_rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class_id")))
-    heads = classes.where("class_id IS NOT NULL").select(F.col("class_id").alias("doc_id"), F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
-    whose = all_rows.join(heads, "doc_id").where("n = cn AND h1 = c1 AND h2 = c2")
-    keyed = whose.select(F.explode("pieces").alias("piece"), F.col("doc_id").alias("id"))
-    card = settled(whose.select("doc_id", "n", "bits").dropDuplicates(["doc_id", "n"]))
-
-    shared = keyed.groupBy("piece").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("piece", "head")
-    members = settled(keyed.join(shared, "piece").select("piece", "head", "id"))
+    classes = settled(all_rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("class_row"), F.min("doc_id").alias("class_id")))
+    whole = all_rows.where("n > 0")
+    copies = settled(whole.join(classes, ["n", "h1", "h2"]).where("row <> class_row").select("row"))
+    if copies.count() <= BROADCAST_IDS:
+        heads = whole.join(F.broadcast(copies), "row", "left_anti")
+    else:
+        heads = whole.join(classes.select(F.col("class_row").alias("row")), "row", "left_semi")
+    card = settled(heads.select("row", "n", "bits"))
+    members = members_of_pieces(heads, texts, threshold, width)
 
     def allowed(pairs: DataFrame) -> DataFrame:
         a, b = card.alias("x"), card.alias("y")
-        return pairs.join(a, F.col("a") == F.col("x.doc_id")).join(b, F.col("b") == F.col("y.doc_id")).where(_near("x", "y", threshold)).select("a", "b").distinct()
+        return pairs.join(a, F.col("a") == F.col("x.row")).join(b, F.col("b") == F.col("y.row")).where(_near("x", "y", threshold)).select("a", "b")
 
-    star = members.where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = settled(_verified(allowed(star), docs, percent, width))
+    star = settled(members.where("head <> row").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct())
+    links = _verified(allowed(star), texts, percent, width)
     grown = connected(links)
 
     # what the heads did not join: members of a piece that are in different components so far
-    placed = members.join(grown, "id", "left").select("piece", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.join(grown, F.col("row") == F.col("id"), "left").select("piece", "row", F.coalesce("component", "row").alias("component"))
     by_part = placed.groupBy("piece", "component").count()
     split = by_part.groupBy("piece").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", "count").alias("most")).where("low <> high").select("piece", "most")
-    mixed_up = settled(placed.join(split, "piece").join(card, F.col("id") == F.col("doc_id")).select("piece", "id", "component", "most", "n", "bits"))
+    mixed_up = settled(placed.join(split, "piece").join(card, "row").select("piece", "row", "component", "most", "n", "bits"))
     x, y = mixed_up.where("component <> most").alias("x"), mixed_up.alias("y")
     across = x.join(y, (F.col("x.piece") == F.col("y.piece")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y", threshold))
-    across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = settled(_verified(across, docs, percent, width))
+    across = across.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    more = _verified(across, texts, percent, width)
     joined = connected(links.union(more)) if more.limit(1).count() else grown
+    found = classes.join(joined, F.col("class_row") == F.col("id"), "left").withColumn("component_row", F.coalesce("component", "class_row"))
+    least = found.groupBy("component_row").agg(F.min("class_id").alias("component_id"))
+    found = settled(found.join(least, "component_row").select("n", "h1", "h2", "class_row", "class_id", "component_row", "component_id"))
+    rows = settled(all_rows.select("row", "doc_id", "n", "h1", "h2"))
+    forget(all_rows, card, members, star, mixed_up, links, more, copies, classes)
+    return rows, found
+
+
+def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of each row of (doc_id, text).
 
-    own = all_rows.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").join(joined, F.col("class_id") == F.col("id"), "left")
+    Two rows link if 100 * intersection >= percent * union of their sets of `width`-word shingles (A-Z lower-cased;
+    a shorter text is one shingle). class_id: smallest doc_id with an equal set; component_id: smallest doc_id
+    reachable by links, null where all of them are null. Rows without words, or null, link with nothing. Each row is a
+    document of its own, whether or not its doc_id repeats or is null.
+    """
+    docs, row = with_rows(docs)
+    rows, found = _components(docs.select(F.col(row).alias("row"), "doc_id", "text"), percent, width)
+    own = rows.join(found, ["n", "h1", "h2"], "left")
+    alone = F.col("n") == 0
     return own.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.when(F.col("n") > 0, F.coalesce("component", "class_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """`docs` with one document of each group of near copies: the one of the smallest doc_id."""
-    groups = settled(jaccard_groups(docs, percent, width).select("doc_id", "component_id"))
-    gone = settled(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    """`docs` with one row of each group of near copies: that of the smallest doc_id (null last), and of several such
+    rows the one with the smallest fingerprint of its set. Rows without words, or with a null text, all stay; so does
+    every row whose text is near no other's, whether or not its doc_id repeats or is null."""
+    columns = docs.columns
+    docs, row = with_rows(docs)
+    rows, found = _components(docs.select(F.col(row).alias("row"), "doc_id", "text"), percent, width)
+    placed = settled(rows.where("n > 0").join(found, ["n", "h1", "h2"]).select("row", "doc_id", "n", "h1", "h2", "component_row"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2", "row")
+    stays = placed.groupBy("component_row").agg(F.min(order)["row"].alias("stays"))
+    gone = settled(placed.join(stays, "component_row").where("row <> stays").select(F.col("row").alias(row)))
     few = gone.count() <= BROADCAST_IDS
-    rest = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    if groups.count() > groups.select("doc_id").distinct().count():
-        rest = rest.dropDuplicates(["doc_id"])
-    return rest
+    return docs.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*columns)
 
 
 def op5_query(spark, sf_dir) -> DataFrame:

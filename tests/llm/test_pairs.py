@@ -66,20 +66,85 @@ def test_groups_of_copies_and_chains(spark):
     assert {i: (len(s[i]), want[i]) for i in s} == got
 
 
-def test_pieces_meet_at_the_threshold():
-    """Sets exactly at similarity 0.75, of many sizes: all pairs share a piece."""
+def least_similar_pairs(rng, n):
+    """Pairs of sets at similarity 0.75: one within the other, and of about equal sizes."""
+    h = rng.integers(0, 2**64, n * 2, dtype=np.uint64)
+    common, extra = h[:n], h[n : n + n // 3]
+    half = len(extra) // 2
+    yield np.unique(common), np.unique(np.concatenate([common, extra]))
+    yield np.unique(np.concatenate([common, extra[:half]])), np.unique(np.concatenate([common, extra[half:]]))
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_linked_sets_share_more_pieces_than_each_may_spare(single):
     rng = np.random.default_rng(3)
-    for n in (3, 6, 9, 15, 30, 60, 120, 300, 900):
-        for _ in range(60):
-            h = rng.integers(0, 2**63, n * 2, dtype=np.uint64)
-            common, extra = h[: 3 * n // 3], h[n : n + n // 3]
-            a, b = np.unique(common), np.unique(np.concatenate([common, extra]))
-            assert 100 * len(a) >= 75 * len(b)
-            assert set(jaccard.pieces(a, 0.75)) & set(jaccard.pieces(b, 0.75))
-            half = len(extra) // 2
-            c = np.unique(np.concatenate([common, extra[:half]]))
-            d = np.unique(np.concatenate([common, extra[half:]]))
-            assert set(jaccard.pieces(c, 0.75)) & set(jaccard.pieces(d, 0.75))
+    bands = jaccard.Bands(0.75, single)
+    for n in (1, 2, 3, 4, 5, 6, 9, 15, 30, 47, 48, 49, 60, 64, 65, 120, 190, 256, 300, 768, 900, 3100):
+        for _ in range(40):
+            for a, b in least_similar_pairs(rng, n):
+                assert 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+                band = bands.of(len(b))
+                assert band in bands.both(len(a)) and band in bands.both(len(b))
+                (x, enough), (y, also) = jaccard.pieces(a, band, bands), jaccard.pieces(b, band, bands)
+                assert enough and also
+                shared = len(set(x.tolist()) & set(y.tolist()))
+                assert shared > max(bands.spare(len(a), band), bands.spare(len(b), band))
+
+
+def test_spare_pieces_by_every_partner():
+    for threshold in (0.75, 0.8, 0.9, 0.5):
+        bands = jaccard.Bands(threshold)
+        want = lambda n, band: min(n, -int(-(bands.considered(n, band) - 1e-9) // 1))
+        for n in [*range(1, 300), 1000, 1023, 1024, 1025, 5000]:
+            for band in bands.both(n):
+                for x in range(-int(-(threshold * n - 1e-9) // 1), int(n / threshold + 1e-9) + 1):
+                    if bands.of(max(n, x)) == band:
+                        apart = int(bands.bound(n, x) + 1e-9)
+                        shared = (n + x - apart) / 2 if bands.tokens_alone(band) else min(want(n, band), want(x, band)) - apart
+                        assert shared > bands.spare(n, band)
+
+
+def test_a_boilerplate_shingle_makes_no_candidates(spark, monkeypatch):
+    """20,000 short documents that share a sentence, and a few near copies among them."""
+    rng = random.Random(21)
+    word = lambda: f"v{rng.randrange(10**9)}"
+    rows = [(i, " ".join(["all rights are reserved here", *(word() for _ in range(30))])) for i in range(20_000)]
+    rows += [(20_000 + i, rows[i][1] + " end") for i in range(40)]
+    seen = []
+    inner = jaccard.members_of_pieces
+    monkeypatch.setattr(jaccard, "members_of_pieces", lambda *a: seen.append(inner(*a)) or seen[-1])
+    monkeypatch.setattr(jaccard, "forget", lambda *_: None)
+    out = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {(r["doc_id"], r["component_id"]) for r in out.where("doc_id <> component_id").collect()} == {(20_000 + i, i) for i in range(40)}
+    assert seen[0].select("row").distinct().count() == 80
+
+
+def test_bands_with_too_few_pieces_are_done_again(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LOAD", (9.0, 9.0))  # so full parts that most sets have too few
+    rng = random.Random(12)
+    texts = []
+    for n in (60, 70, 100, 190, 250, 300, 700) * 3:
+        base = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [base, base[: n - n // 6], [*base[n // 9 :], "x"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    s = {i: sets(t) for i, t in rows}
+    bands = jaccard.Bands(0.75)
+    full = [jaccard.shingles(t, jaccard.WordHashes()) for _, t in rows]
+    assert sum(not jaccard.pieces(x, k, bands)[1] for x in full for k in bands.both(len(x))) > 20
+    want = components([(i, s[i]) for i, _ in rows], lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_repeated_and_null_ids_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (1, b), (None, c), (None, b + " end"), (2, "other words"), (2, "other words"), (None, None), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash"))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs).collect())
+    assert got == Counter([(1, 36, 1), (1, 36, 1), (None, 36, None), (None, 37, 1), (2, 1, 2), (2, 1, 2), (None, 0, None), (None, 0, None), (3, 0, 3)])
+    left = jaccard.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, a), (1, b), (None, c), (2, "other words"), (None, None), (None, None), (3, "")])
 
 
 def test_bit_sketch_bounds_the_difference():
