@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
-Documents of each source are put in a shuffled order (a hash of the id) and get a virtual finish time: the words their
+Documents of each source are put in a shuffled order (a hash of id and text) and get a virtual finish time: the words their
 source has served by then, divided by the source's target. All documents are then ordered by virtual time over all
 sources and cut where the total budget is reached. A document can be served twice (the second pass follows the first).
 
@@ -51,16 +51,12 @@ def targets(sources: DataFrame, share: float = 1.5, repeats: int = 2, weights=WE
     )
 
 
-def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, weights=WEIGHTS, rows_per_bucket: int = 20000, steps: int = 4096) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each row of (doc_id, text, source); taken is 0, 1 or 2 times size.
-
-    A document is served if the middle of it lies before the cut, so a source ends within half a document of its
-    target. The order is by md5 of the id, so reruns agree; equal ids follow each other. Null sources form one source,
-    null or empty texts have size 0 and are taken 0 times. An empty table gives an empty result.
-    """
-    key = F.md5(F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def served(docs: DataFrame, share: float = 1.5, repeats: int = 2, weights=WEIGHTS, rows_per_bucket: int = 20000, steps: int = 4096) -> DataFrame:
+    """What `mix` gives, with the column row of (row, doc_id, text, source)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.md5(F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text)))
     sized = settled(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), n_words(F.col("text").cast("string")).alias("size")
+        "row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), n_words(text).alias("size")
     ))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     largest = sources.agg(F.max("n")).first()[0] or 1
@@ -73,34 +69,50 @@ def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, weights=WEIGHTS,
     starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("served"))
     starts = starts.join(goal, starts["source"].eqNullSafe(goal["source"])).select(starts["source"].alias("of"), "bucket", "served", "source_size", "target", "budget")
 
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     queue = sized.withColumn("bucket", bucket).withColumn("own", F.sum("size").over(within))
     placed = queue.join(starts, queue["source"].eqNullSafe(starts["of"]) & (queue["bucket"] == starts["bucket"]), "left")
     finish = F.col("served") + F.col("own")
-    placed = placed.select(
-        "doc_id", "size", "key", "source_size", "target", "budget",
+    placed = settled(placed.select(
+        "row", "doc_id", "size", "key", "source_size", "target", "budget",
         *[F.when((F.col("target") > 0) & (F.col("size") > 0), (finish + i * F.col("source_size") - F.col("size") / 2) / F.col("target")).alias(f"v{i}") for i in range(repeats)],
-    )
-    placed = settled(placed)
-
-    # the global order, in `steps` ranges of virtual time per unit; only the range that holds the cut is sorted
-    served = placed.select("size", "key", "doc_id", "budget", F.posexplode(F.array(*[f"v{i}" for i in range(repeats)])).alias("copy", "v")).where("v IS NOT NULL")
-    ranged = served.withColumn("range", F.floor(F.least(F.col("v"), F.lit(4.0)) * steps).cast("int"))
-    by_range = ranged.groupBy("range").agg(F.sum("size").alias("words"), F.max("budget").alias("budget")).orderBy("range").collect()
-    total, at, before = 0, None, 0
-    for r in by_range:
-        if at is None and total + r["words"] >= r["budget"]:
-            at, before = r["range"], total
-        total += r["words"]
-    if at is None:
-        cut = F.lit(float("inf")), F.lit("")
+    ))
+
+    # the global order by virtual time: ranges of it, narrowed around the cut until so few rows are left that one task sorts them
+    one = placed.select("size", "key", "doc_id", "budget", F.posexplode(F.array(*[f"v{i}" for i in range(repeats)])).alias("copy", "v")).where("v IS NOT NULL")
+    low, high, before, cut = 0.0, float(2 * repeats), 0, None
+    while True:
+        at = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit((high - low) / steps)), F.lit(steps - 1)).cast("int")
+        inside = one.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high))).withColumn("range", at)
+        total, cut = before, None
+        for r in inside.groupBy("range").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("v").alias("from"), F.max("v").alias("to"), F.max("budget").alias("budget")).orderBy("range").collect():
+            if total + r["words"] >= r["budget"]:
+                cut = r
+                break
+            total += r["words"]
+        if cut is None or cut["n"] <= 4 * rows_per_bucket or cut["to"] <= cut["from"] or (cut["from"], cut["to"]) == (low, high):
+            break
+        low, high, before = cut["from"], cut["to"], total
+    if cut is None:
+        last = float("inf"), ""
     else:
         w = Window.orderBy("v", "key", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
-        last = ranged.where(F.col("range") == at).withColumn("total", F.sum("size").over(w) + before)
-        last = last.where(F.col("total") - F.col("size") / 2 <= F.col("budget")).agg(F.max(F.struct("v", "key")).alias("last")).first()["last"]
-        cut = (F.lit(at / steps), F.lit(None)) if last is None else (F.lit(last["v"]), F.lit(last["key"]))
-    times = sum((F.when(_before(F.col(f"v{i}"), cut), 1).otherwise(0) for i in range(repeats)), F.lit(0))
-    return placed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (times * F.col("size")).cast("long").alias("taken"))
+        ranked = inside.where(F.col("range") == cut["range"]).withColumn("total", F.sum("size").over(w) + total)
+        found = ranked.where(F.col("total") - F.col("size") / 2 <= F.col("budget")).agg(F.max(F.struct("v", "key")).alias("last")).first()["last"]
+        last = (cut["from"], None) if found is None else (found["v"], found["key"])
+    times = sum((F.when(_before(F.col(f"v{i}"), (F.lit(last[0]), F.lit(last[1]))), 1).otherwise(0) for i in range(repeats)), F.lit(0))
+    return placed.select("row", "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (times * F.col("size")).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, weights=WEIGHTS, rows_per_bucket: int = 20000, steps: int = 4096) -> DataFrame:
+    """doc_id, size, source_size, target and taken of each row of (doc_id, text, source); taken is 0, 1 or 2 times size.
+
+    A document is served if the middle of it lies before the cut, so a source ends within half a document of its
+    target. The order is by md5 of the id and the text, so reruns agree; rows equal in both follow each other, and which
+    of them is taken more often is not defined. Null sources form one source, null or empty texts have size 0 and are
+    taken 0 times. An empty table gives an empty result.
+    """
+    return served(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text", "source"), share, repeats, weights, rows_per_bucket, steps).drop("row")
 
 
 def _before(v: Column, cut) -> Column:
@@ -115,7 +127,7 @@ def op6_query(spark, sf_dir) -> DataFrame:
 
 
 ORACLE = """
-WITH sized AS (SELECT row_number() OVER () AS r, doc_id, source, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS key,
+WITH sized AS (SELECT row_number() OVER () AS r, doc_id, source, md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source COLLATE C NULLS LAST) AS rank FROM sized GROUP BY source),
 weighed AS (SELECT *, [5.0, 2.0, 1.0][((rank - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS lim FROM sources),

@@ -1,6 +1,6 @@
 """Quality rules: an isolation forest over rule statistics.
 
-Every text gets a few rule statistics (symbol share, repeated words, capitals, ...). Random split trees are grown
+Every text gets rule statistics (shares of symbols, repeated words and lines, capitals; lengths). Random split trees are grown
 on a bounded sample of rows labelled good; a document whose path through them is short is isolated easily, so it is
 anomalous. The rejection threshold is calibrated on the scores of all labelled rows.
 """
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import map_columns, sampled, settled, words_of
 
 SYMBOLS = "#*$%&|<>"
-FEATURES = ("f_upper", "f_symbols", "f_repeat")
+#: Shares of capitals among letters, symbols among characters, repeated words, repeated lines; characters of a word; log of the words.
+FEATURES = ("f_upper", "f_symbols", "f_repeat", "f_dup_lines", "f_word_chars", "f_words")
 STAT_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(
     f"{f} double" for f in FEATURES
 )
@@ -56,15 +57,16 @@ def statistics(text: str | None) -> tuple:
     dup_lines, repeats = duplicate_lines(text), repeated_words(words)
     per = 1.0 / max(n, 1)
     upper, lower = int(by_byte[65:91].sum()), int(by_byte[97:123].sum())
-    return n, chars, symbols, dup_lines, repeats, upper / max(upper + lower, 1), min(symbols * per, 4.0), repeats * per
+    features = upper / max(upper + lower, 1), symbols / max(chars, 1), repeats * per, dup_lines / (1 + text.count("\n")), chars * per, math.log(max(n, 1))
+    return n, chars, symbols, dup_lines, repeats, *features
 
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the five counts and FEATURES of each row of (doc_id, text)."""
+    """row, doc_id, the five counts and FEATURES of each row of (row, doc_id, text)."""
     return map_columns(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
-        lambda ids, texts: [ids, *zip(*map(statistics, texts))] if ids else [[]] * (6 + len(FEATURES)),
-        STAT_SCHEMA,
+        docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")),
+        lambda rows, ids, texts: [rows, ids, *zip(*map(statistics, texts))] if ids else [[]] * (7 + len(FEATURES)),
+        "row long, " + STAT_SCHEMA,
     )
 
 
@@ -144,25 +146,15 @@ def calibrate(good: np.ndarray, bad: np.ndarray, most_good_lost: float = 0.002,
     return float((at[0] + at[-1]) / 2 / BINS)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 16384, trees: int = 96, rows_per_tree: int = 256, seed: int = 7) -> DataFrame:
-    """One row per document: its statistics, base_failed, anomaly score in [0, 1], threshold and kept.
-
-    docs: (doc_id, text); labels: (doc_id, quality 0/1). The forest is fitted on about `fit_rows` rows labelled good
-    (a documented bound); statistics, scores and the threshold use all rows. base_failed: fewer than 50 words, or over
-    half of the words in repeated 3-word windows; such a document is never kept. Null or empty texts have no words and
-    fail. A doc_id with contradicting labels counts as bad; without labels the forest is fitted on any rows and the
-    threshold is 0.6.
-    """
+def verdicts(docs: DataFrame, labels: DataFrame, fit_rows: int = 16384, trees: int = 96, rows_per_tree: int = 256, seed: int = 7) -> DataFrame:
+    """What `quality_rules` gives, with the column row of (row, doc_id, text)."""
     stats = settled(rule_statistics(docs))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sound = (F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words"))
     known = settled(stats.where(sound).join(marked, "doc_id").select("quality", "doc_id", *FEATURES))
-    fitted = known.where("quality = 1")
-    n = fitted.count()
-    if n < 8:
-        fitted = stats
-        n = fitted.count()
-    rows = sampled(fitted, F.col("doc_id"), n, fit_rows).select(*FEATURES).toPandas().to_numpy(float)
+    good = known.where("quality = 1")
+    fitted = good if good.limit(1).count() else stats
+    rows = sampled(fitted, F.col("doc_id"), fitted.count(), fit_rows).select(*FEATURES).toPandas().to_numpy(float)
     rows = rows[np.lexsort(rows.T[::-1])] if len(rows) else rows.reshape(0, len(FEATURES))
     forest = IsolationForest(trees, rows_per_tree, seed).fit(rows)
 
@@ -172,7 +164,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 16384, tre
         hist[1 if r["quality"] == 1 else 0, r["bin"]] += r["count"]
     threshold = calibrate(hist[1], hist[0])
 
-    counts = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    counts = ("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     scored = _scored(stats, forest, counts, ", ".join(f"{c} long" for c in counts))
     failed = ~sound
     return scored.select(
@@ -181,6 +173,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 16384, tre
     )
 
 
+def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 16384, trees: int = 96, rows_per_tree: int = 256, seed: int = 7) -> DataFrame:
+    """One row per row of (doc_id, text): its statistics, base_failed, anomaly score in [0, 1], threshold and kept.
+
+    labels: (doc_id, quality 0/1). The forest is fitted on about `fit_rows` rows labelled good (a documented bound), or
+    on any rows if none is; statistics, scores and the threshold use all rows. base_failed: fewer than 50 words, or over
+    half of the words in repeated 3-word windows; such a document is never kept. Null or empty texts have no words and
+    fail. A doc_id with contradicting labels counts as bad, a null doc_id has none; without bad labels the threshold is
+    0.6, or beyond the highest score of a good row. Rows of one doc_id are judged each by its text.
+    """
+    return verdicts(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), labels, fit_rows, trees, rows_per_tree, seed).drop("row")
+
+
 def _scored(df: DataFrame, forest: IsolationForest, keep: tuple, schema: str) -> DataFrame:
     def work(*columns):
         held, features = columns[: len(keep)], columns[len(keep) :]

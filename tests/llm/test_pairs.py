@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clustrum.llm import bpe, jaccard, mixing, secrets, vectors
+from clustrum.llm import bpe, jaccard, mixing, quality, secrets, vectors
 from clustrum.llm.common import settled, table
 
 
@@ -269,10 +269,57 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert sorted((r["doc_id"], r["ids"]) for r in kept["encoded"].collect()) == want
 
 
+def row_of(r):
+    return tuple(map(str, r))
+
+
 def test_pipeline_on_messy_and_empty_documents(spark, messy, empty, some_labels, tmp_path):
+    """Each stage keeps just the rows that its operator decides for, null and repeated ids included."""
     some_labels.coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
-    for rows in (messy, empty):
-        docs = settled(rows.select("doc_id", "text", "lang", "source", "n_chars"))
-        for _, stage in corpus_pipeline.STAGES:
-            docs = settled(stage(spark, docs, str(tmp_path)))
-        assert docs.count() >= 0
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = settled(messy.select(*columns))
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, settled(stage(spark, docs, str(tmp_path)))
+        old, new = before.collect(), Counter(map(row_of, docs.select(docs.columns[:5]).collect()))
+        if name == "quality":
+            kept = [r for r in quality.quality_rules(before, some_labels).collect()]
+            assert Counter(str(r["doc_id"]) for r in kept if r["kept"]) == Counter(r[0] for r in new.elements())
+            assert not new - Counter(map(row_of, old))
+            assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) >= 50 for r in new)
+            docs = before  # the next stages see every row
+        if name == "near_duplicates":
+            every = [(n, sets(r["text"])) for n, r in enumerate(sorted(old, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)))]
+            label = components(every, lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b))
+            assert sum(new.values()) == len(set(label.values())) < len(old)
+            texts = Counter(r["text"] for r in old)
+            assert all(new[row_of(r)] == texts[r["text"]] for r in old if r["text"] is None or not r["text"].strip())
+            assert sum(k[0] == "None" for k in new) == sum(r["doc_id"] is None for r in old)
+        if name == "secrets":
+            assert sum(new.values()) == len(old) and Counter(k[0] for k in new.elements()) == Counter(str(r["doc_id"]) for r in old)
+            assert sum(k[1] != "None" for k in new.elements()) == sum(r["text"] is not None for r in old)
+        if name == "mixture":
+            n = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+            sizes = Counter()
+            for r in old:
+                sizes[r["source"]] += n(r["text"])
+            taken = Counter()
+            for k, times in new.items():
+                assert times <= 2 * sum(row_of(r) == k for r in old) and n(k[1]) > 0
+                taken[k[3]] += times * n(k[1])
+            order = sorted(sizes, key=lambda s: (s is None, s))
+            goal = filled({s: v for s, v in sizes.items() if v}, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+            for s, v in goal.items():
+                assert abs(taken[str(s)] - v) <= max(n(r["text"]) for r in old if r["source"] == s)
+        if name == "encoded":
+            assert docs.count() == len(old) and Counter(str(r["doc_id"]) for r in docs.collect()) == Counter(str(r["doc_id"]) for r in old)
+    docs = settled(empty.select(*columns))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = settled(stage(spark, docs, str(tmp_path)))
+        assert docs.count() == 0 and (name == "encoded" or docs.columns == columns)
+
+
+def test_the_cut_is_found_by_narrowing(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "w " * rng.randrange(1, 40), rng.choice("abc")) for i in range(3000)], "doc_id long, text string, source string")
+    one = lambda **k: sorted(map(tuple, mixing.mix(docs, **k).collect()))
+    assert one(steps=2, rows_per_bucket=2) == one()
