@@ -53,11 +53,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet in the shared checkpoint folder and read it back: lineage ends there, and a lost executor costs nothing that was settled before."""
-    path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` as Parquet in the shared checkpoint folder and read it back: lineage ends there, and a lost executor
+    costs nothing that was settled before. The shuffle files of the write go with its end, as nothing reads them again."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
     return out
 

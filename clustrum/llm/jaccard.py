@@ -216,14 +216,14 @@ def members_of_pieces(heads: DataFrame, texts: DataFrame, threshold: float, widt
     again = sorted(r[0] for r in heads.where(F.size("short") > 0).select(F.explode("short")).distinct().collect())
     if again:
         keyed = keyed.union(single_pieces(texts.join(heads.select("row"), "row", "left_semi"), again, threshold, width))
-    times = keyed.groupBy("piece").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    times = settled(keyed.groupBy("piece").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     # of each set's pieces the `spare` that most sets have are left out; those that no other set has come last in that order
     shared = keyed.join(times, "piece")
     most = Window.partitionBy("row", "place").orderBy(F.desc("times"), "piece")
     kept = settled(shared.withColumn("rank", F.row_number().over(most)).where("rank > spare").select("piece", "row"))
     first = kept.groupBy("piece").agg(F.min("row").alias("head"), F.max("row").alias("last")).where("head <> last").select("piece", "head")
     members = settled(kept.join(first, "piece").select("piece", "head", "row"))
-    forget(kept)
+    forget(kept, times)
     return members
 
 
