@@ -1,10 +1,11 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-A word's probability factors into that of its class and that of the word within the class, both softmax over hashed
-features of the two words before it: the previous word, the one before that (skip), and, for the class, the pair
-(trigram). Classes are runs of the vocabulary in order of frequency; the words outside it form further classes by
-their endings, in which a word's probability is its smoothed count, so that probabilities of all words sum to one.
-The vocabulary has 1024 words or more, and grows with the root of the number of distinct words; see `shape_for`.
+A word's probability factors into that of its class, that of a group of words within the class, and that of the word
+within the group, each a softmax over hashed features of the two words before it: the previous word, the one before
+that (skip), and, for the class, the pair (trigram). Classes and groups are runs of the vocabulary in order of
+frequency, and the most frequent words are classes of their own; the words outside it form further classes by their endings, in which a word's probability is its smoothed
+count, so that probabilities of all words sum to one. The vocabulary has 8025 words or more, and grows with the root
+of the number of distinct words; see `shape_for`.
 
 Training is distributed: in each round every task runs mini-batch gradient steps over its documents of that round,
 from the same weights; the changes are averaged per block of weights. Each training document is used in one round.
@@ -28,9 +29,10 @@ from .common import remainder, settled, small_batches
 
 END = b""  # the end of a text; no word is empty
 HEAD_WORDS = 60_000
-WIDTH, CLASSES = 32, 32  # at least; words of a class, classes of the vocabulary
+ALONE = 25  # most frequent words, each a class
+SIDE = 20  # at least; classes of the further vocabulary, groups of a class, words of a group
 ENDINGS = 7  # classes of the other words
-OUTSIDE = WIDTH * CLASSES
+OUTSIDE = ALONE + SIDE**3
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
 BLOCK = 8192
 BATCH = 4096
@@ -59,24 +61,23 @@ def ending_column(word: Column) -> Column:
 
 
 class Shape(NamedTuple):
-    """Words of a class, classes of the vocabulary, rows of the class and the word weights (powers of two)."""
+    """Classes, groups of a class and words of a group; rows of the class and the word weights (powers of two)."""
 
-    width: int = WIDTH
-    classes: int = CLASSES
+    side: int = SIDE
     class_rows: int = CLASS_ROWS
     word_rows: int = WORD_ROWS
 
     @property
     def outside(self) -> int:
-        return self.width * self.classes
+        return ALONE + self.side**3
 
 
 def shape_for(distinct: int) -> Shape:
-    """A vocabulary of about 1.6 times the root of the distinct words, and feature rows of about 13 times that root;
+    """A vocabulary of at least 1.6 times the root of the distinct words, and feature rows of about 13 times that root;
     neither less than the defaults. Rows end at 2 ** 16, what 16-bit keys tell apart."""
-    side = max(WIDTH, int(np.ceil((1.6 * distinct**0.5) ** 0.5)))
+    side = max(SIDE, int(np.ceil((1.6 * distinct**0.5) ** (1 / 3))))
     rows = min(1 << 16, max(CLASS_ROWS, 1 << int(np.log2(13 * distinct**0.5 + 1))))
-    return Shape(side, side, rows, min(1 << 16, 2 * rows))
+    return Shape(side, rows, min(1 << 16, 2 * rows))
 
 
 class Powers:
@@ -186,21 +187,23 @@ def cut(text: bytes):
 
 
 class Model:
-    """Weights: class biases and rows, word biases and rows. Features index rows by hash."""
+    """Weights: class biases and rows, biases of the parts of each class and group, word rows. Features index rows by hash."""
 
     def __init__(self, vocabulary: list[bytes], mass: np.ndarray, rest: np.ndarray, shape: Shape = Shape()):
         self.vocabulary, self.shape = vocabulary, shape
         full = np.zeros(shape.outside)
         full[: len(mass)] = mass
-        grid = full.reshape(shape.classes, shape.width)
-        by_class = np.concatenate([grid.sum(1), rest])
+        words = full[ALONE:].reshape(-1, shape.side)
+        groups = words.sum(1).reshape(-1, shape.side)
+        by_class = np.concatenate([groups.sum(1), rest, full[:ALONE]])
+        grid = np.concatenate([groups, words])  # a class's groups, for each class; a group's words, for each group
         with np.errstate(divide="ignore"):
             self.class_bias = np.maximum(np.log(by_class / by_class.sum()), -30).astype(np.float32)
             inside = np.log(grid / np.maximum(grid.sum(1, keepdims=True), 1e-9))
         # a slot without a word must stay impossible; an empty class is never asked for
         self.word_bias = np.maximum(inside, -60).astype(np.float32)
-        self.class_rows = np.zeros((shape.class_rows, shape.classes + ENDINGS), np.float32)
-        self.word_rows = np.zeros((shape.word_rows, shape.width), np.float32)
+        self.class_rows = np.zeros((shape.class_rows, shape.side + ENDINGS + ALONE), np.float32)
+        self.word_rows = np.zeros((shape.word_rows, shape.side), np.float32)
 
     @staticmethod
     def features(h: np.ndarray, starts: np.ndarray):
@@ -218,27 +221,46 @@ class Model:
         return [prev, skip, pair]
 
     def at(self, word: np.ndarray, h: np.ndarray, starts: np.ndarray):
-        """Per position: class, place in the class, and rows of the class and word weights."""
-        width, classes, outside = self.shape.width, self.shape.classes, self.shape.outside
-        cls, place = np.where(word < outside, word // width, word - (outside - classes)), word % width
+        """Per position the class and its rows of weights; then, of the vocabulary words' groups and after them of the
+        words themselves: what each is chosen from (a class, a group), its place there, and its rows of weights."""
+        side, outside = self.shape.side, self.shape.outside
+        w = word - ALONE
+        cls = np.where(w < 0, side + ENDINGS + word, np.where(word < outside, w // (side * side), word - (outside - side)))
         hashed = self.features(h, starts)
         class_at = [(f >> np.uint64(40)).astype(np.uint16) & np.uint16(self.shape.class_rows - 1) for f in hashed]
-        in_class = cls.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        word_at = [((f ^ in_class) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.uint16) & np.uint16(self.shape.word_rows - 1) for f in hashed[:2]]
-        return cls, place, class_at, word_at
+        known = np.flatnonzero((w >= 0) & (word < outside))
+        w = w[known]
+        group = w // side
+        of, place = np.concatenate([w // (side * side), side + group]), np.concatenate([group % side, w % side])
+        salt = of.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        word_at = []
+        for f in hashed[:2]:
+            f = f[known]
+            word_at.append(((np.concatenate([f, f]) ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.uint16) & np.uint16(self.shape.word_rows - 1))
+        return cls, class_at, known, of, place, word_at
 
     @staticmethod
-    def _log_sum(z):
-        """Log of the sum of exponentials, for logits that are overwritten by themselves less their maximum."""
-        z -= z.max(1, keepdims=True)
-        return np.log(np.exp(z).sum(1))
+    def _sums(z):
+        """Sums of the exponentials of logits, which they replace; a matrix product is the fastest way to sum rows."""
+        np.exp(z, out=z)
+        return z @ np.ones(z.shape[1], np.float32)
 
     @staticmethod
-    def _softmax(z):
+    def _bounded(z):
+        """Logits less what keeps their exponentials finite: nothing, as a rule, for weights are small and biases below 0."""
+        if z.size and z.max() > 60:
+            z -= np.maximum(z.max(1, keepdims=True) - 60, 0)
+        return z
+
+    def _chosen(self, z, at):
+        """Log probability of one choice of each row of logits."""
+        own = self._bounded(z)[np.arange(len(at)), at]
+        return own - np.log(self._sums(z))
+
+    def _softmax(self, z):
         """The probabilities, in place of the logits."""
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        sums = self._sums(self._bounded(z))
+        z *= (1 / sums)[:, None]
         return z
 
     def _class_logits(self, class_at):
@@ -248,43 +270,36 @@ class Model:
         z += self.class_bias
         return z
 
-    def _word_logits(self, cls, word_at):
-        z = self.word_bias.take(cls, 0)
+    def _word_logits(self, of, word_at):
+        z = self.word_bias.take(of, 0)
         z += self.word_rows.take(word_at[0], 0)
         z += self.word_rows.take(word_at[1], 0)
         return z
 
     def log_prob(self, word: np.ndarray, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Natural log probability at each position of the word's class, and within it for vocabulary words."""
-        cls, place, class_at, word_at = self.at(word, h, starts)
-        out = np.empty(len(word))
+        """Natural log probability at each position of the word's class, and of the word within it if that is of the vocabulary."""
+        cls, class_at, known, of, place, word_at = self.at(word, h, starts)
+        out, inside = np.empty(len(word)), np.empty(len(of))
         for i in range(0, len(word), BATCH):
             k = slice(i, i + BATCH)
-            c = cls[k]
-            z = self._class_logits([a[k] for a in class_at])
-            total = self._log_sum(z)
-            part = (z[np.arange(len(c)), c] - total).astype(np.float64)
-            known = np.nonzero(c < self.shape.classes)[0]
-            if len(known):
-                z = self._word_logits(c[known], [a[k][known] for a in word_at])
-                total = self._log_sum(z)
-                part[known] += z[np.arange(len(known)), place[k][known]] - total
-            out[k] = part
+            out[k] = self._chosen(self._class_logits([a[k] for a in class_at]), cls[k])
+        for i in range(0, len(of), BATCH):
+            k = slice(i, i + BATCH)
+            inside[k] = self._chosen(self._word_logits(of[k], [a[k] for a in word_at]), place[k])
+        out[known] += inside[: len(known)] + inside[len(known) :]
         return out
 
     def step(self, word: np.ndarray, h: np.ndarray, starts: np.ndarray, rate: float) -> None:
         """One gradient step; a row's step is its summed gradient over the root of how often the batch uses it."""
-        cls, place, class_at, word_at = self.at(word, h, starts)
+        cls, class_at, known, of, place, word_at = self.at(word, h, starts)
         p = self._softmax(self._class_logits(class_at))
         p[np.arange(len(cls)), cls] -= 1
         for a in class_at:
             self._update(self.class_rows, a, p, rate)
-        known = np.nonzero(cls < self.shape.classes)[0]
         if len(known):
-            some = [a[known] for a in word_at]
-            p = self._softmax(self._word_logits(cls[known], some))
-            p[np.arange(len(known)), place[known]] -= 1
-            for a in some:
+            p = self._softmax(self._word_logits(of, word_at))
+            p[np.arange(len(of)), place] -= 1
+            for a in word_at:
                 self._update(self.word_rows, a, p, rate)
 
     @staticmethod
@@ -407,7 +422,9 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = 2,
 
     Learns from documents whose crc32(doc_id) mod 5 is not 1. base_score: smoothed unigram log10 probability; score:
     the model's. Null or empty texts are one end token. Without training documents the counts are 0 and every word
-    has probability 1 under the smoothing; the model then scores the end and unknown words alike.
+    has probability 1 under the smoothing; the model then scores the end and unknown words alike. Tasks take gradient
+    steps on their own documents before weights are averaged, so that score depends a little on how the table is
+    partitioned, base_score on its rows only.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", remainder(F.col("doc_id")) == 1)
@@ -418,7 +435,8 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = 2,
     total, distinct = sum(r["n"] for r in totals), sum(r["v"] for r in totals)
     least, head = frequent(counts, head_words)
     shape = shape_for(distinct)
-    ranked = sorted(head, key=lambda w: (-head[w], w))[: shape.outside]
+    top = {r["word"].encode(): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(shape.outside).collect()}
+    ranked, head = list(top), head | top
     rest = np.full(ENDINGS, 0.5)  # of an unseen word of each class
     for r in totals:
         rest[r["ending"]] += r["n"] + 0.5 * r["v"]

@@ -35,8 +35,8 @@ def test_base_scores_by_brute_force(spark, messy, messy_rows):
 
 def test_model_is_a_distribution_and_batches_agree():
     rng = np.random.default_rng(1)
-    vocabulary = [b"w%d" % i for i in range(100)]
-    mass = np.sort(rng.integers(1, 100, 100))[::-1].astype(float)
+    vocabulary = [b"w%d" % i for i in range(700)]
+    mass = np.sort(rng.integers(1, 100, 700))[::-1].astype(float)
     m = maxent.Model(vocabulary, mass, np.arange(1.0, maxent.ENDINGS + 1))
     m.class_rows += rng.normal(size=m.class_rows.shape).astype(np.float32)
     m.word_rows += rng.normal(size=m.word_rows.shape).astype(np.float32)
@@ -46,11 +46,19 @@ def test_model_is_a_distribution_and_batches_agree():
     every = [*vocabulary, *unseen.values()]  # one word stands for each class of other words
     of = lambda words: (lambda c: m.log_prob(c.word, c.hash, c.starts))(lexicon.codes([b"w3 w5 " + w for w in words]))
     last = of(every)[2::4]  # two words before, the word, and the end
-    assert abs(np.exp(last).sum() - 1) < 1e-4
-    for w, p in zip(every, last):
+    # slots without a word keep a little of the mass of a group that has some
+    assert abs(np.exp(last).sum() - 1) < 1e-3
+    for w, p in list(zip(every, last))[::7]:
         assert abs(of([w])[2] - p) < 1e-4
 
 
+def test_large_logits_stay_finite():
+    m = maxent.Model([b"a", b"b"], np.ones(2), np.ones(maxent.ENDINGS))
+    z = np.array([[500.0, 400.0], [1.0, 2.0]], np.float32)
+    assert np.allclose(m._chosen(z.copy(), np.array([1, 0])), [-100, -np.log(1 + np.e)], atol=1e-4)
+    assert np.allclose(m._softmax(z.copy()), [[1, 0], [1 / (1 + np.e), np.e / (1 + np.e)]], atol=1e-5)
+
+
 def test_update_sums_gradients_of_a_row():
     rng = np.random.default_rng(5)
     at, g = rng.integers(0, 20, 200).astype(np.uint16), rng.normal(size=(200, 4)).astype(np.float32)
@@ -94,9 +102,10 @@ def test_codes_are_those_of_split_words():
 def test_vocabulary_grows_with_the_distinct_words(spark):
     assert maxent.OUTSIDE >= 1024 and maxent.shape_for(0) == maxent.Shape()
     small, large = maxent.shape_for(1_000_000), maxent.shape_for(100_000_000)
-    assert small.outside >= 1600 and large.outside >= 16_000 and large.class_rows > small.class_rows >= maxent.CLASS_ROWS
+    assert small.outside >= 8000 and large.outside >= 16_000 and large.class_rows > small.class_rows >= maxent.CLASS_ROWS
     rng = random.Random(6)
     vocabulary = [b"w%d" % i for i in range(small.outside)]
+    assert small.outside == maxent.ALONE + small.side**3
     m, lexicon = maxent.Model(vocabulary, np.ones(small.outside), np.ones(maxent.ENDINGS), small), maxent.Lexicon(vocabulary, outside=small.outside)
     c = lexicon.codes([b"%s %s" % (v, vocabulary[-1 - i]) for i, v in enumerate(rng.choices(vocabulary[:20], k=100))])
     before = m.log_prob(c.word, c.hash, c.starts)
@@ -110,7 +119,7 @@ def test_vocabulary_grows_with_the_distinct_words(spark):
 
 def test_model_beats_the_base_on_held_out_documents(spark):
     out = maxent.score_texts(table(spark, SF, "documents")).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
-    assert out["s"] > out["b"]
+    assert out["s"] > out["b"] + 0.05 * abs(out["b"]) / 4.3
 
 
 def test_language_on_held_out_documents(spark):
