@@ -1,9 +1,10 @@
 """Secret scans: fixed rules, and character Markov models that tell random strings from ordinary identifiers.
 
-Two first-order models over character classes are trained from labelled samples: what the rules find is labelled
-random, other long tokens without a digit are labelled ordinary. A further token of 16 characters or more with a
-letter, or what the rules' spans leave of one if that is as long, is a secret if the mean
-log-likelihood ratio of its characters exceeds a threshold calibrated on the labelled samples.
+Two first-order models over characters are trained from labelled samples: what the rules find is labelled random;
+longer words and identifiers without a digit are labelled ordinary, and so are the paths, dates, versions and names
+with numbers that are put together from neighbouring ones of them (`composite`). A further token of 16 characters or
+more with a letter, or what the rules' spans leave of one if that is as long, is a secret if the mean log-likelihood
+ratio of its characters exceeds a threshold calibrated on the labelled samples. UUIDs name things and are none.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-
 _LETTER = re.compile("[A-Za-z]")
 #: What counts as ordinary in training: longer words and identifiers without a digit, which random strings seldom lack.
 ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{7,}(?![A-Za-z0-9+/_=-])")
+#: Random by design, but a name.
+UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -106,15 +109,55 @@ def all_steps(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat[inside], begin - np.arange(1, len(tokens) + 1)
 
 
+def composite(words: list[str], form: int) -> str:
+    """An ordinary token with marks and digits, of three words: a path, a dated path, a name with a number, a version,
+    a constant, a numbered slug."""
+    a, b, c = words
+    n, m = len(a) % 10, len(b) % 12 + 1
+    return (
+        f"{a}/{b}{n}/{c}", f"{a}/20{len(c) % 30:02d}/{m:02d}/{b}-{c}", f"{a.title()}{b.title()}{n}{c.title()}",
+        f"{a}_{b}_v{n}-{m}", f"{a}_{b}_{1 << len(c) % 13}".upper(), f"{a}-{m}-{b}-20{len(c) % 30:02d}",
+    )[form % 6]
+
+
+def outside(matches, spans: list[tuple[int, int]]):
+    """Each match with the ascending spans that it overlaps, in one sweep over both."""
+    first = 0
+    for m in matches:
+        while first < len(spans) and spans[first][1] <= m.start():
+            first += 1
+        last = first
+        while last < len(spans) and spans[last][0] < m.end():
+            last += 1
+        yield m, spans[first:last]
+
+
+def merged(found) -> list[tuple[int, int]]:
+    """Ascending disjoint spans that cover those of `found`, which ascend by start."""
+    out: list[tuple[int, int]] = []
+    for a, _, b, *_ in found:
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def labelled_tokens(text: str):
-    """(label, token) samples of a text: secrets of the rules are random, long words and identifiers outside them ordinary."""
+    """(label, token) samples of a text: secrets of the rules are random; long words and identifiers outside them are
+    ordinary, and composites of each three of these in a row."""
     found = base_spans(text)
     for _, _, _, secret in found:
         yield "random", secret
-    spans = [(a, b) for a, _, b, _ in found]
-    for m in ORDINARY.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in spans):
+    held: list[str] = []
+    form = len(text)
+    for m, spans in outside(ORDINARY.finditer(text), merged(found)):
+        if not spans:
             yield "ordinary", m[0]
+            held.append(m[0])
+            if len(held) == 3:
+                yield "ordinary", composite(held, form)
+                held, form = [], form + 1
 
 
 def train(docs: DataFrame) -> tuple[MarkovRatio, float]:
@@ -163,11 +206,11 @@ def all_spans(text: str, model: MarkovRatio, least: float) -> list[tuple[int, in
     found = base_spans(text)
     spans = [(a, k, b) for a, k, b, _ in found]
     more = []
-    for m in TOKEN.finditer(text):
+    for m, inside in outside(TOKEN.finditer(text), merged(found)):
         at = m.start()
-        for a, b in [*((a, b) for a, _, b in spans if a < m.end() and m.start() < b), (m.end(), m.end())]:
+        for a, b in [*inside, (m.end(), m.end())]:
             run = text[at:a]
-            if a - at >= LEAST and _LETTER.search(run) and model.score(run) > least:
+            if a - at >= LEAST and _LETTER.search(run) and model.score(run) > least and not UUID.fullmatch(run):
                 more.append((at, 3, a))
             at = max(at, b)
     return sorted(spans + more)
@@ -214,7 +257,9 @@ def redacted(text: str | None, model: MarkovRatio, least: float) -> str | None:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with each secret span replaced by its kind in angle brackets; other columns as they were."""
+    """`docs` with each secret span replaced by its kind in angle brackets; other columns as they were. Null texts stay
+    null, those without a secret as they are. Without a secret of the rules in any row there is no random sample, and
+    the threshold is that of `threshold`. Rows that repeat are treated alike."""
     small_batches(docs.sparkSession)
     model, least = fitted(docs, text)
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -184,8 +185,9 @@ def test_rare_secrets_train_the_markov_models(spark):
     for t in secret.values():
         np.add.at(random_sums, secrets.steps(t), 1)
     ordinary = np.zeros(secrets.SYMBOLS**2)
-    for t in ("configurationManager", "internationalization"):
-        np.add.at(ordinary, secrets.steps(t), 60_100)
+    for i, text in rows:
+        for t in (t for k, t in secrets.labelled_tokens(text) if k == "ordinary"):
+            np.add.at(ordinary, secrets.steps(t), 1)
     want = secrets.MarkovRatio(random_sums, ordinary)
     assert np.allclose(model.table, want.table)
     scores = sorted(round(want.score(t) * 100) / 100 for t in secret.values())
@@ -193,6 +195,41 @@ def test_rare_secrets_train_the_markov_models(spark):
     assert abs(least - max(0.4, (scores[0] + others) / 2)) < 0.02
 
 
+ORDINARY = (
+    "usr/local/lib/python3/site-packages", "blog/2023/11/how-to-cook", "123e4567-e89b-12d3-a456-426614174000", "com/example/MyApplication2Activity",
+    "release-2024-06-01-notes", "node_modules/react-dom/index", "getElementsByTagName2", "MAX_BUFFER_SIZE_1024", "images/2019/05/summer-holiday-12",
+)
+
+
+def test_ordinary_tokens_with_digits_are_left_alone(spark):
+    """Models of the real table: paths, dates, UUIDs and names with numbers are no secrets, random keys are."""
+    model, least = secrets.fitted(table(spark, "/root/testdata/sf0.1", "documents"))
+    flagged = lambda t: bool(secrets.all_spans(f"see {t} here", model, least))
+    assert [t for t in ORDINARY if flagged(t)] == []
+    rng = random.Random(4)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        for n, share in ((40, 0.97), (24, 0.9)):
+            assert sum(flagged("".join(rng.choices(alphabet, k=n))) for _ in range(300)) >= share * 300
+    names = [w for w in "manager service handler account session customer invoice report archive builder".split()]
+    made = [secrets.composite(rng.choices(names, k=3), i) for i in range(600)]
+    assert sum(map(flagged, made)) <= 6  # 1 % of composites of words that the table may not hold
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    class Never:
+        def score(self, token):
+            return -1.0
+
+    def seconds(n):
+        text = " ".join(f"token=abcdef{i} configurationManager{i}x AKIA{'A' * 20}" for i in range(n))
+        began = time.perf_counter()
+        assert len(secrets.all_spans(text, Never(), 0.5)) == 2 * n and sum(1 for _ in secrets.labelled_tokens(text)) >= 2 * n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(20_000) < 20 * max(seconds(2_000), 0.02)
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(9)
     vocabulary = {f"t{i}": rng.uniform(1, 5) for i in range(60)}
