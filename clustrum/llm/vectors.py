@@ -2,7 +2,8 @@
 
 Each half of a vector has its own codebook; the pair of nearest codewords is the vector's cell in a product grid. A
 vector looks for neighbours in its own cell and in the next ones in order of the sum of its distances to the two
-codewords (multi-sequence order), as many as reach the target recall on calibration pairs. Candidates are verified by
+codewords (the multi-sequence algorithm: a heap over the two sorted lists of codewords, so that the grid is never
+written out), as many as reach the target recall on calibration pairs. Candidates are verified by
 cosine in double precision, in blocks: a cell, however full, is cut into chunks, and a task sees two chunks at a time.
 A block returns numbers of links and a spanning forest of the links, never all pairs. A pair that only one side's
 visits find is counted for both.
@@ -10,6 +11,8 @@ visits find is counted for both.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +22,12 @@ from .common import map_columns, sampled, settled
 from .components import connected
 
 CHUNK = 1024
+#: Codewords of a half at most: enough for 4e9 vectors at 64 a cell; beyond, cells fill up and are cut into more chunks.
+MOST_CODEWORDS = 8192
+#: Sampled vectors for each codeword of a half, at least.
+PER_CODEWORD = 16
+#: Up to so many cells (24 bytes each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_CELLS = 250_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -51,17 +60,19 @@ class MultiIndex:
     def _halves(self, x):
         return x[:, : self.half], x[:, self.half :]
 
-    def sums(self, x: np.ndarray) -> np.ndarray:
-        """Distance of each row to every cell of the grid, row-major."""
+    def distances(self, x: np.ndarray) -> list[np.ndarray]:
+        """Squared distance of each row's halves to the codewords; of vectors with one half, a second list of one 0."""
         d = [squared(part, book) for part, book in zip(self._halves(x), self.books)]
-        return d[0] if len(d) == 1 else (d[0][:, :, None] + d[1][:, None, :]).reshape(len(x), -1)
+        return d if len(d) == 2 else [d[0], np.zeros((len(x), 1))]
 
     def cells(self, x: np.ndarray, visits: int) -> np.ndarray:
-        s = self.sums(x)
-        if visits >= s.shape[1]:
-            return np.argsort(s, axis=1, kind="stable")
-        near = np.argpartition(s, visits - 1, axis=1)[:, :visits]
-        return np.take_along_axis(near, np.argsort(np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+        """The `visits` nearest cells of each row, in order of the sum of both distances."""
+        one, two = self.distances(x)
+        width = two.shape[1]
+        first, second = np.argsort(one, 1, kind="stable"), np.argsort(two, 1, kind="stable")
+        a, b = np.take_along_axis(one, first, 1), np.take_along_axis(two, second, 1)
+        visits = min(visits, one.shape[1] * width)
+        return np.array([[first[r, i] * width + second[r, j] for i, j in multi_sequence(a[r].tolist(), b[r].tolist(), visits)] for r in range(len(x))], np.int64).reshape(len(x), visits)
 
     def _calibrated(self, x, threshold, recall, seed) -> int:
         """Cells to visit so that `recall` of pairs are met: sampled vectors and random neighbours of theirs, with
@@ -77,18 +88,33 @@ class MultiIndex:
             some = rng.choice(len(a), min(len(a), 4096), replace=False)
             found.append(self._ranks(x[a[some]], x[b[some]]))
         most = max(float(np.quantile(r, recall)) for r in found)
-        return int(min(self.sums(x[:1]).shape[1], max(4, np.ceil(most) + 2)))
+        return int(max(4, np.ceil(most) + 2))
 
     def _ranks(self, a, b) -> np.ndarray:
         """How many cells `a` visits until that of `b`, at most, in both directions."""
         out = []
         for p, q in ((a, b), (b, a)):
-            s = self.sums(p)
-            own = np.take_along_axis(s, self.cells(q, 1), 1)
-            out.append((s < own).sum(1) + 1)
+            one, two = self.distances(p)
+            i, j = (d.argmin(1) for d in self.distances(q))
+            own = one[np.arange(len(p)), i] + two[np.arange(len(p)), j]
+            two.sort(1)
+            out.append(np.array([np.searchsorted(two[r], own[r] - one[r], "left").sum() + 1 for r in range(len(p))]))
         return np.concatenate(out)
 
 
+def multi_sequence(a: list[float], b: list[float], many: int):
+    """The `many` pairs of places (i, j) of smallest a[i] + b[j], in that order, of two ascending lists. The heap holds
+    the next pair of each i begun; i is begun once i - 1 has given its first."""
+    heap = [(a[0] + b[0], 0, 0)]
+    for _ in range(many):
+        _, i, j = heapq.heappop(heap)
+        yield i, j
+        if j + 1 < len(b):
+            heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
+        if not j and i + 1 < len(a):
+            heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
+
+
 def unit(vectors) -> np.ndarray:
     x = np.array([np.asarray(v, np.float64) for v in vectors])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -112,8 +138,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
 
     Vectors link if their cosine is at least `threshold`. Null or zero vectors, and those with null or non-finite
     components, link with nothing (n_links 0, their own component); vectors of different lengths never link. Equal
-    vectors are one class, expanded into counts only. The codebooks are fitted on about `sample_rows` vectors and the
-    visits calibrated on 2048 of these, chosen at random (documented bounds); every vector is indexed. Rows of one vec_id count as copies of each other.
+    vectors are one class, expanded into counts only. Codewords of a half grow with the root of the vectors, to about
+    `per_cell` vectors a cell, up to MOST_CODEWORDS; they are fitted on about `sample_rows` vectors, or PER_CODEWORD for
+    each codeword if that is more, and the visits calibrated on 2048 of these, chosen at random (documented bounds).
+    Every vector is indexed. Rows of one vec_id are vectors of their own; a null vec_id is no component's name unless
+    all of a component's are null.
     """
     rows = settled(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")))
     sound = (
@@ -132,17 +161,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
         counts, edges = counts.union(c), edges.union(e)
     grown = connected(edges)
     by_class = classes.join(counts, "id", "left").join(grown, "id", "left").select("x", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    by_class = by_class.withColumn("sound", F.lit(True))
-    out = rows.withColumn("x", F.when(sound, F.transform("x", lambda v: v + F.lit(0.0)))).join(by_class, "x", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    linked = good.join(by_class, "x").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())
+    return linked.union(alone).select("vec_id", "n_links", "component_id", kept.alias("kept"))
 
 
 def _linked(classes: DataFrame, threshold: float, recall: float, sample_rows: int, per_cell: int):
     """(id, links) and (a, b) edges among classes (x, id, n) of one vector length."""
     total = classes.count()
-    sample = unit(sampled(classes, F.col("id"), total, sample_rows).orderBy("id").select("x").toPandas()["x"])
-    index = MultiIndex(sample, int(np.clip(np.ceil((total / per_cell) ** 0.5), 1, 64)), threshold, recall)
+    k = int(np.clip(np.ceil((total / per_cell) ** 0.5), 1, MOST_CODEWORDS))
+    sample = unit(sampled(classes, F.col("id"), total, max(sample_rows, PER_CODEWORD * k)).orderBy("id").select("x").toPandas()["x"])
+    index = MultiIndex(sample, k, threshold, recall)
 
     def work(ids, ns, xs):
         if not ids:
@@ -155,7 +185,7 @@ def _linked(classes: DataFrame, threshold: float, recall: float, sample_rows: in
     visits = map_columns(classes.select("id", "n", "x"), work, "id long, n long, x array<double>, cell int, rank int, visited array<int>")
     sizes = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("probes"), F.sum((F.col("rank") == 0).cast("long")).alias("members")).where("members > 0")
     chunks = sizes.select("cell", F.ceil(F.col("probes") / CHUNK).alias("pc"), F.ceil(F.col("members") / CHUNK).alias("mc"))
-    placed = visits.join(F.broadcast(chunks), "cell")  # at most 64 * 64 cells
+    placed = visits.join(F.broadcast(chunks) if k * k <= BROADCAST_CELLS else chunks, "cell")
     slot = F.xxhash64("id")
     probes = placed.select("cell", "id", "n", "x", F.element_at("visited", 1).alias("own"), F.pmod(slot, "pc").alias("p"), F.explode(F.sequence(F.lit(0), F.col("mc") - 1)).alias("m"))
     members = placed.where("rank = 0").select(
@@ -174,9 +204,12 @@ def _linked(classes: DataFrame, threshold: float, recall: float, sample_rows: in
         counts = linked @ m["copies"].to_numpy(np.int64)
         # a member that does not visit the probe's own cell finds it nowhere else
         own, visited = p["own"].to_numpy(), np.stack(m["visited"].to_numpy())
-        visits = np.zeros((len(b), max(int(own.max()), int(visited.max())) + 1), bool)
-        visits[np.arange(len(b))[:, None], visited] = True
-        back = (linked & ~visits[:, own].T).T @ p["n"].to_numpy(np.int64)
+        probe, member = np.nonzero(linked)
+        back = np.zeros(len(b), np.int64)
+        for i in range(0, len(probe), 1 << 16):
+            r, c = probe[i : i + (1 << 16)], member[i : i + (1 << 16)]
+            unseen = ~(visited[c] == own[r, None]).any(1)
+            np.add.at(back, c[unseen], p["n"].to_numpy(np.int64)[r[unseen]])
         rows, columns = forest(linked)
         head = int(linked.shape[1])
         r, c = np.nonzero(rows >= 0)[0], np.nonzero((columns >= 0) & ((columns != np.arange(head)) | (back > 0)))[0]

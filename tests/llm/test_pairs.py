@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from clustrum.llm import bpe, jaccard, mixing, quality, secrets, vectors
 from clustrum.llm.common import settled, table
+from tests.checks import agree, connect
 
 
 def sets(text, width=5):
@@ -176,16 +177,54 @@ def test_calibration_does_not_look_at_the_first_rows_only(monkeypatch):
     assert len(seen[0]) == 2048 and (seen[0][:, 1] < sample[2048, 1]).any()
 
 
-def test_vectors_recall(spark):
+def planted(rng, groups, size, dim, alone, spread):
+    """Vectors around centers, with cosines on either side of 0.95, among others."""
+    centers = rng.normal(size=(groups, dim))
+    x = np.concatenate([rng.normal(size=(alone, dim)), np.repeat(centers, size, 0) + rng.normal(size=(groups * size, dim)) * spread])
+    return x[rng.permutation(len(x))]
+
+
+@pytest.mark.parametrize("per_cell", [64, 2])
+def test_planted_links_by_brute_force(spark, per_cell):
     rng = np.random.default_rng(6)
-    centers = rng.normal(size=(40, 16))
-    x = np.concatenate([rng.normal(size=(900, 16)), np.repeat(centers, 8, 0) + rng.normal(size=(320, 16)) * 0.12])
+    x = planted(rng, 60, 8, 16, 900, 0.12)
+    x = np.concatenate([x, x[:50] * 2])  # copies but for their length
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     linked = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
-    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df).collect()}
-    found = np.array([got[i] for i in range(len(x))])
-    assert (found <= linked.sum(1)).all() and found.sum() >= 0.99 * linked.sum() > 500
+    got = {r["vec_id"]: r for r in vectors.near_vectors(df, per_cell=per_cell).collect()}
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= linked.sum(1)).all() and found.sum() >= 0.99 * linked.sum() > 1000 and found.sum() % 2 == 0
+    whole = np.flatnonzero(found == linked.sum(1))
+    assert len(whole) >= 0.98 * len(x)
+    want = components([(i, i) for i in range(len(x))], lambda a, b: bool(linked[a, b]))
+    missed = {want[i] for i in range(len(x)) if found[i] < linked[i].sum()}  # of these a component may have come apart
+    assert all(got[i]["component_id"] == want[i] for i in range(len(x)) if want[i] not in missed) and len(missed) <= 12
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+
+
+def test_planted_links_agree_with_sql(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = planted(rng, 30, 6, 12, 200, 0.04)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = vectors.op7_query(spark, str(tmp_path))
+    assert got.agg(F.sum("n_links")).first()[0] > 500
+    agree(got, vectors.ORACLE, connect(str(tmp_path)))
+
+
+def test_cells_in_order_of_their_sums():
+    rng = np.random.default_rng(2)
+    x = vectors.unit(rng.normal(size=(500, 6)))
+    index = vectors.MultiIndex(x, 9, 0.95)
+    one, two = index.distances(x[:40])
+    sums = (one[:, :, None] + two[:, None, :]).reshape(40, -1)
+    for many in (1, 5, 81):
+        got = index.cells(x[:40], many)
+        assert np.allclose(np.take_along_axis(sums, got, 1), np.sort(sums, 1)[:, :many])
+        assert all(len(set(r)) == many for r in got.tolist())
+    own = index.cells(x[40:80], 1)
+    ranks = (sums < np.take_along_axis(sums, own, 1) - 1e-12).sum(1) + 1
+    assert np.abs(index._ranks(x[:40], x[40:80])[:40] - ranks).max() <= 1
 
 
 def filled(sizes, weights, budget, repeats=2):
