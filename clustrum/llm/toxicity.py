@@ -43,7 +43,7 @@ def counted(text: str | None, vocabulary) -> dict[str, int]:
 class BlockMaxIndex:
     """Normalised TF-IDF vectors of labelled examples; `nearest` finds the k of largest cosine exactly."""
 
-    def __init__(self, vocabulary: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], k: int = 16):
+    def __init__(self, vocabulary: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], k: int = 5):
         self.idf, self.k = vocabulary, k
         self.term = {t: i for i, t in enumerate(sorted(vocabulary))}
         vectors = [(i, y, v) for i, y, v in ((i, y, self.vector(n)) for i, y, n in examples) if v]
@@ -88,9 +88,9 @@ class BlockMaxIndex:
         return best
 
     def vote(self, found: list[tuple[float, int]], prior: float, weight: float = 0.5) -> float:
-        """Share of toxic labels among the neighbours, weighted by cosine, drawn to the prior where they are far."""
-        total = sum(s for s, _ in found)
-        return (sum(s * self.labels[i] for s, i in found) + weight * prior) / (total + weight)
+        """Share of toxic labels among the neighbours, weighted by the cube of the cosine, drawn to the prior where they are far."""
+        total = sum(s**3 for s, _ in found)
+        return (sum(s**3 * self.labels[i] for s, i in found) + weight * prior) / (total + weight)
 
 
 def isotonic(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
@@ -186,7 +186,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 2000, least_chi
     """doc_id, held_out, score, predicted and evidence of each row of (doc_id, text).
 
     Learns from labels (doc_id, toxic) of documents whose crc32(doc_id) mod 5 is not 0, about `examples` of each label
-    for the index and for calibration (documented bounds); document frequencies are of all documents. A text without a
+    for the index and for calibration, and from these examples at most the `most_terms` terms of highest chi-square of
+    those that reach `least_chi` (documented bounds of the fit); document frequencies are of all documents. A text without a
     marking term, so also a null or empty one, has no neighbours and the calibrated score of that. Without labels of
     both kinds every score is 0. evidence: the three nearest examples as id:label:cosine.
     """
