@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _present(cost: Column, message: Column) -> Column:
+    """A cost that a table must hold: a symbol without one is an error, not a null that a minimum would skip."""
+    return F.coalesce(cost, F.raise_error(message).cast("double"))
+
+
 @dataclass(frozen=True)
 class Costs:
     """Costs of inserting or deleting a symbol, and of switching two: constants, or tables by symbol."""
@@ -38,13 +43,15 @@ class Costs:
     def indel_column(self, symbol: Column) -> Column:
         if not isinstance(self.indel, dict):
             return F.lit(float(self.indel))
-        return F.element_at(F.create_map(*[F.lit(x) for kv in self.indel.items() for x in (kv[0], float(kv[1]))]), symbol)
+        cost = F.element_at(F.create_map(*[F.lit(x) for kv in self.indel.items() for x in (kv[0], float(kv[1]))]), symbol)
+        return _present(cost, F.concat(F.lit("no indel cost of "), symbol.cast("string")))
 
     def switch_column(self, a: Column, b: Column) -> Column:
         if not isinstance(self.switch, dict):
             return F.when(a == b, 0.0).otherwise(float(self.switch))
         table = F.create_map(*[F.lit(x) for (p, q), v in self.switch.items() for x in (f"{p}|{q}", float(v))])
-        return F.when(a == b, 0.0).otherwise(F.element_at(table, F.concat_ws("|", a.cast("string"), b.cast("string"))))
+        pair = F.concat_ws("|", a.cast("string"), b.cast("string"))
+        return F.when(a == b, 0.0).otherwise(_present(F.element_at(table, pair), F.concat(F.lit("no switch cost of "), pair)))
 
 
 def symbols(s: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ STATE = "id long, x array<double>, a1 int, d1 double, a2 int, d2 double"
 
 def nearest2_dense(samples: DataFrame, centers: DataFrame, metric: str = "l2") -> DataFrame:
     """The state of dense samples (id, x): row-local in Arrow batches, no shuffle. Ties go to the lowest k; a medoid
-    (centers with an `id`) belongs to itself. With one center a2 and d2 are null.
+    (centers with an `id`) belongs to itself. With one center a2 and d2 are null. A null vector, or one with a null or
+    NaN component, has no distance: its four columns are null. A vector of another length than the centers' is an error.
 
     The centers go to every task, as K rows of the vectors' length: the model, not the data.
     """
@@ -30,25 +32,45 @@ def nearest2_dense(samples: DataFrame, centers: DataFrame, metric: str = "l2") -
     own = {r["id"]: i for i, r in enumerate(rows)} if "id" in centers.columns else {}
     m = Metric(metric)
 
+    def near(ids, x):
+        """a1, d1, a2, d2 of vectors that are all sound."""
+        d = m.kernel(x, c)
+        order = d.copy()
+        for row, i in enumerate(ids) if own else ():
+            if i in own:
+                order[row, own[i]] = -1.0
+        at = np.arange(len(d))
+        one = order.argmin(1)
+        first = d[at, one]
+        if len(ks) == 1:
+            return ks[one], first, None, None
+        order[at, one] = np.inf
+        two = order.argmin(1)
+        return ks[one], first, ks[two], d[at, two]
+
     def run(batches):
         for batch in batches:
             ids, x = batch.column(0), batch.column(1)
-            if not batch.num_rows:
-                continue
-            flat = np.asarray(x.flatten(), float).reshape(batch.num_rows, -1)
-            d = m.kernel(flat, c)
-            order = d.copy()
-            for row, i in enumerate(ids.to_pylist()) if own else ():
-                if i in own:
-                    order[row, own[i]] = -1.0
-            at = np.arange(len(d))
-            one = order.argmin(1)
-            first, second = d[at, one], [pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.float64())]
-            if len(ks) > 1:
-                order[at, one] = np.inf
-                two = order.argmin(1)
-                second = [pa.array(ks[two], pa.int32()), pa.array(d[at, two])]
-            yield pa.RecordBatch.from_arrays([ids, x, pa.array(ks[one], pa.int32()), pa.array(first), *second], names=["id", "x", "a1", "d1", "a2", "d2"])
+            sizes = pc.list_value_length(x)
+            odd = pc.sum(pc.not_equal(sizes, c.shape[1])).as_py()
+            if odd:
+                raise ValueError(f"{odd} vectors have another length than the centers' {c.shape[1]}")
+            filled = x.drop_null()
+            flat = filled.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(filled), -1)  # nulls are NaN
+            sound = ~np.isnan(flat).any(1) if len(flat) else np.zeros(0, bool)
+            where = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))[sound]
+            found = near(np.asarray(ids)[where].tolist() if own else (), flat[sound]) if len(where) else (None,) * 4
+            out = [ids, x]
+            for v, kind in zip(found, (pa.int32(), pa.float64()) * 2):
+                if v is None:
+                    out.append(pa.nulls(batch.num_rows, kind))
+                elif len(where) == batch.num_rows:
+                    out.append(pa.array(v, kind))
+                else:
+                    place = np.full(batch.num_rows, -1)
+                    place[where] = np.arange(len(where))
+                    out.append(pa.array(v, kind).take(pa.array(place, pa.int64(), mask=place < 0)))
+            yield pa.RecordBatch.from_arrays(out, names=["id", "x", "a1", "d1", "a2", "d2"])
 
     return samples.select(F.col("id").cast("long"), F.col("x").cast("array<double>")).mapInArrow(run, STATE)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import key, uniform, uniform_value
 from ..functions.energy import Energy
 from ..session import settled
+from . import seeding
 from .assign import mean_energy
 
 
@@ -50,6 +51,26 @@ def screened(state: DataFrame, proposed: DataFrame, energy: Energy, distance, se
     return proposed.join(F.broadcast(good), "p", "left_semi")
 
 
+def swapped(state: DataFrame, medoids: DataFrame, k: int, new_id: int, x, assign, distance) -> DataFrame:
+    """The state after sample new_id, x, has become medoid k: one distance a sample decides for all whose two nearest
+    centers can be told from it. The others are assigned anew to `medoids` (the new ones): members of k that another
+    center is now nearest to, those that lose k as second, medoids, and ties."""
+    dp, inner = F.col("dp"), F.col("dp") < F.col("d1")
+    ids = [r["id"] for r in medoids.select("id").collect()]
+    tied = (F.col("dp") == F.col("d1")) | (F.col("dp") == F.col("d2"))
+    lost = ((F.col("a1") == k) | (F.col("a2") == k)) & (F.col("dp") > F.col("d2"))
+    again = F.coalesce(tied | lost, F.lit(True)) | F.col("id").isin(ids) | (F.col("id") == int(new_id))
+    near = settled(state.withColumn("dp", distance(F.col("x"), seeding.literal(x))).withColumn("again", again))
+    own = F.col("a1") == k
+    kept = near.where("NOT again").select(
+        "id", "x",
+        F.when(own | inner, k).otherwise(F.col("a1")).cast("int").alias("a1"), F.when(own | inner, dp).otherwise(F.col("d1")).alias("d1"),
+        F.when(own, F.col("a2")).when(inner, F.col("a1")).when(dp < F.col("d2"), k).otherwise(F.col("a2")).cast("int").alias("a2"),
+        F.when(own, F.col("d2")).when(inner, F.col("d1")).when(dp < F.col("d2"), dp).otherwise(F.col("d2")).alias("d2"),
+    )
+    return kept.unionByName(assign(near.where("again").select("id", "x"), medoids))
+
+
 @dataclass
 class Rounds:
     """What the rounds did, and why they ended."""
@@ -103,7 +124,11 @@ def clarans(samples, medoids, assign, energy, distance, seed, max_rounds, max_pr
             break
         new = offered.where(F.col("p") == swap[0]).select(F.col("k").alias("nk"), F.col("id").alias("nid"), F.col("x").alias("nx"))
         medoids = settled(medoids.join(F.broadcast(new), F.col("k") == F.col("nk"), "left").select("k", F.coalesce("nid", "id").alias("id"), F.coalesce("nx", "x").alias("x")))
-        state = settled(assign(samples, medoids))
+        one = new.first()
+        if isinstance(one["nx"], dict):  # a sparse vector is no literal
+            state = settled(assign(samples, medoids))
+        else:
+            state = settled(swapped(state, medoids, one["nk"], one["nid"], one["nx"], assign, distance))
         m_e += swap[1] / n
         accepted += 1
         rounds.add("clarans", accepted, m_e, rejected + 1, swap[1], time.perf_counter() - began)

@@ -61,10 +61,15 @@ def uniform_ids(samples: DataFrame, k: int, seed: int, purpose: str = "uniform",
     return [r["id"] for r in rest.select("id", key(seed, purpose, F.col("id")).alias("h")).orderBy("h", "id").limit(k).collect()]
 
 
+def literal(x):
+    """A sample's value as a literal: a string, or an array whose elements keep their type, as symbols of integer
+    sequences are looked up in cost tables."""
+    return F.array(*map(F.lit, x)) if isinstance(x, (list, tuple)) else F.lit(x)
+
+
 def _closer(state: DataFrame, x, k: int, new_id: int, distance) -> DataFrame:
     """The state after center k at the sample new_id joins."""
-    vector = F.array(*[F.lit(float(v)) for v in x]) if isinstance(x, (list, tuple)) else F.lit(x)
-    dp = distance(F.col("x"), vector)
+    dp = distance(F.col("x"), literal(x))
     near = state.withColumn("dp", dp)
     first = F.col("d1").isNull() | (F.col("dp") < F.col("d1")) | (F.col("id") == new_id)
     second = F.col("d2").isNull() | (F.col("dp") < F.col("d2"))
@@ -121,19 +126,17 @@ def _vector(samples: DataFrame, sample_id: int):
 def _best(state: DataFrame, samples: DataFrame, picks: list[int], energy: Energy, distance) -> int:
     """Of the candidates (in order drawn), the one whose joining lowers the energy most; a later one on ties."""
     vectors = {i: _vector(samples, i) for i in set(picks)}
-    lit = lambda x: F.array(*[F.lit(float(v)) for v in x]) if isinstance(x, list) else F.lit(x)
     e1 = energy.column(F.col("d1"))
-    gains = state.agg(*[F.sum(F.greatest(e1 - energy.column(distance(F.col("x"), lit(vectors[i]))), F.lit(0.0))).alias(f"g{c}") for c, i in enumerate(picks)]).first()
+    gains = state.agg(*[F.sum(F.greatest(e1 - energy.column(distance(F.col("x"), literal(vectors[i]))), F.lit(0.0))).alias(f"g{c}") for c, i in enumerate(picks)]).first()
     return max(((gains[c], c, i) for c, i in enumerate(picks)))[2]
 
 
 def afkmc2_ids(samples: DataFrame, k: int, chain: int, seed: int, energy: Energy, distance) -> list[int]:
     """Assumption-free k-MC2: proposals from an even mixture of E(distance to the first center) and uniform, drawn in
-    a few passes; then chains of length `chain` over the collected proposals, which are k * chain rows."""
+    a few passes; then chains of length `chain` over the proposals, whose energies follow each center that is chosen."""
     first = uniform_ids(samples, 1, seed, "first")[0]
     x0 = _vector(samples, first)
-    lit = lambda x: F.array(*[F.lit(float(v)) for v in x]) if isinstance(x, list) else F.lit(x)
-    base = samples.select("id", energy.column(distance(F.col("x"), lit(x0))).alias("e0"))
+    base = samples.select("id", energy.column(distance(F.col("x"), literal(x0))).alias("e0"))
     total = base.agg(F.sum("e0").alias("s"), F.count(F.lit(1)).alias("n")).first()
     n = total["n"]
     q = (F.col("e0") / total["s"] + 1.0 / n) / 2 if total["s"] else F.lit(1.0 / n)
@@ -144,22 +147,29 @@ def afkmc2_ids(samples: DataFrame, k: int, chain: int, seed: int, energy: Energy
         part = draws[at : at + RACES_PER_JOB]
         row = weighed.agg(*[F.min_by(F.struct("id", "q"), race(F.col("q"), seed, "mc2", s, j, F.col("id"))).alias(f"p{s}_{j}") for s, j in part]).first()
         picks += [(s, j, row[f"p{s}_{j}"]["id"], row[f"p{s}_{j}"]["q"]) for s, j in part]
-    ids = sorted({p[2] for p in picks} | {first})
-    pairs = samples.where(F.col("id").isin(ids)).select("id", "x")
-    apart = pairs.alias("a").join(F.broadcast(pairs.alias("b")), F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), energy.column(distance(F.col("a.x"), F.col("b.x"))).alias("e"))
-    e = {(r["i"], r["j"]): r["e"] for r in apart.collect()}
-    far = float("inf")  # of a uniform fall-back pick, which the collected proposals need not hold
-    cost = lambda i, chosen: min(0.0 if i == c else e.get((min(i, c), max(i, c)), far) for c in chosen)
+    # the proposals, k * chain at most; each new center costs a pass over these rows, and their energies come back
+    wanted = samples.sparkSession.createDataFrame([(int(i),) for i in sorted({p[2] for p in picks})] or [(first,)], "id long")
+    proposed = settled(samples.join(F.broadcast(wanted), "id", "left_semi").select("id", "x"))
+    near: dict[int, float] = {}
+
+    def joins(center: int) -> None:
+        e = energy.column(distance(F.col("x"), literal(_vector(samples, center))))
+        for r in proposed.select("id", e.alias("e")).collect():
+            near[r["id"]] = 0.0 if r["id"] == center else min(r["e"], near.get(r["id"], float("inf")))
+
+    joins(first)
     chosen = [first]
     for s in range(1, k):
         now, weight = None, 0.0
         for _, j, i, q_i in (p for p in picks if p[0] == s):
-            new = cost(i, chosen) / q_i
+            new = near[i] / q_i
             if now is None or (new > 0 and (weight == 0 or uniform_value(seed, "accept", s, j) < new / weight)):
                 now, weight = i, new
         if weight == 0:  # the chain met chosen places only
             now = uniform_ids(samples, 1, seed, f"rest-{s}", tuple(chosen))[0]
         chosen.append(now)
+        if s + 1 < k:
+            joins(now)
     return chosen
 
 

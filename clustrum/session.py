@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def session(app: str = "clustrum", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; `conf` keys may use `__` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -17,12 +20,26 @@ def session(app: str = "clustrum", **conf: str) -> SparkSession:
 
 def settled(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder of spark.checkpoint.dir and read it back, so that rounds of a loop neither
-    recompute earlier ones nor depend on an executor's memory. A temporary folder serves where the setting is unset."""
+    recompute earlier ones nor depend on an executor's memory."""
     spark = df.sparkSession
+    path = f"{_shared(spark)}/round-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads the shuffle files of this write again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or of setCheckpointDir; a temporary one on a local master, an error else."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = getattr(spark, "_clustrum_rounds", None) or tempfile.mkdtemp(prefix="clustrum-")
-        spark._clustrum_rounds = named
-    path = f"{named.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = folder.get() if folder.isDefined() else getattr(spark, "_clustrum_rounds", None)
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = spark._clustrum_rounds = tempfile.mkdtemp(prefix="clustrum-")
+    return named.rstrip("/")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clustrum.functions import edit
 from clustrum.functions.energy import Energy
 from clustrum.functions.metrics import Metric
 from clustrum.operators import assign, balance, kmedoids, refine, remap, seeding
@@ -195,3 +196,55 @@ def test_stream_scoring(spark, points, tmp_path):
     q.awaitTermination()
     got = {(r["id"], r["k"]) for r in spark.table("scored").collect()}
     assert got == {(r["id"], r["a1"]) for r in dense(df, m).collect()}
+
+
+def test_null_ragged_and_nan_vectors(spark):
+    centers = spark.createDataFrame([(0, [0.0, 0.0]), (1, [9.0, 9.0])], "k int, x array<double>")
+    nan = float("nan")
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [8.0, 9.0]), (3, [1.0, None]), (4, [nan, 1.0])]
+    got = {r["id"]: (r["a1"], r["d1"], r["a2"]) for r in assign.nearest2_dense(spark.createDataFrame(rows, "id long, x array<double>").coalesce(1), centers).collect()}
+    assert got == {0: (0, 5**0.5, 1), 1: (None, None, None), 2: (1, 1.0, 0), 3: (None, None, None), 4: (None, None, None)}
+    ragged = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0, 4.0, 5.0, 6.0])], "id long, x array<double>").coalesce(1)
+    with pytest.raises(Exception, match="another length"):
+        assign.nearest2_dense(ragged, centers).collect()
+
+
+@pytest.mark.parametrize("swap", [(0, 7), (1, 30), (2, 99), (3, 61)])
+def test_a_swap_updates_the_state_as_assignment_from_scratch(spark, points, swap):
+    df, x = points
+    k, new = swap
+    ids = [3, 30 if k != 1 else 31, 60, 62]
+    before = dense(df, seeding.from_indices(df, ids, 4))
+    ids[k] = new
+    m = spark.createDataFrame([(i, n, x[n].tolist()) for i, n in enumerate(ids)], "k int, id long, x array<double>")
+    seen = []
+    got = kmedoids.swapped(before, m, k, new, x[new].tolist(), lambda s, c: seen.append(s.count()) or dense(s, c), L2)
+    row = lambda r: (r["id"], r["a1"], round(r["d1"], 9), r["a2"], round(r["d2"], 9))
+    assert sorted(map(row, got.collect())) == sorted(map(row, dense(df, m).collect()))
+    assert seen[0] < len(x)
+
+
+def sequences_with_tables():
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(0, 4, rng.integers(10, 30)).tolist()) for i in range(60)]
+    switch = {(a, b): float(8 + (a + b) % 4) for a in range(4) for b in range(4) if a != b}
+    return rows, edit.Costs({0: 10.0, 1: 11.0, 2: 10.0, 3: 9.0}, switch)
+
+
+@pytest.mark.parametrize("init", ["kmeans++", "kmeans++~3", "afk-mc2-4"])
+def test_seeding_of_integer_sequences_uses_the_cost_tables(spark, init):
+    """Distances that seeding works with are those of the kernel, so that the same ids come out of a table of distances."""
+    rows, costs = sequences_with_tables()
+    df = spark.createDataFrame(rows, "id long, x array<int>").cache()
+    by_columns = lambda a, b: edit.distance(a, b, costs, strings=False)
+    by_kernel = F.udf(lambda a, b: edit.kernel(a, b, costs), "double")
+    one = [r["id"] for r in seeding.seed_medoids(df, 5, init, 3, Energy("identity"), by_columns).collect()]
+    two = [r["id"] for r in seeding.seed_medoids(df, 5, init, 3, Energy("identity"), by_kernel).collect()]
+    assert one == two and len(set(one)) == 5
+
+
+def test_a_lacking_cost_is_an_error(spark):
+    _, costs = sequences_with_tables()
+    df = spark.createDataFrame([([0, 1], [0, 7])], "a array<int>, b array<int>")
+    with pytest.raises(Exception, match="cost of"):
+        df.select(edit.distance(F.col("a"), F.col("b"), costs, strings=False)).collect()
