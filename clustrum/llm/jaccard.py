@@ -262,7 +262,8 @@ def _components(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, D
     more = _verified(across, texts, percent, width)
     joined = connected(links.union(more)) if more.limit(1).count() else grown
     found = classes.join(joined, F.col("class_row") == F.col("id"), "left").withColumn("component_row", F.coalesce("component", "class_row"))
-    least = found.groupBy("component_row").agg(F.min("class_id").alias("component_id"))
+    # settled, so that the join deals out both sides anew and can split a component that holds many rows
+    least = settled(found.groupBy("component_row").agg(F.min("class_id").alias("component_id")))
     found = settled(found.join(least, "component_row").select("n", "h1", "h2", "class_row", "class_id", "component_row", "component_id"))
     rows = settled(all_rows.select("row", "doc_id", "n", "h1", "h2"))
     forget(all_rows, card, members, star, mixed_up, links, more, copies, classes)
@@ -296,7 +297,7 @@ def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame
     rows, found = _components(docs.select(F.col(row).alias("row"), "doc_id", "text"), percent, width)
     placed = settled(rows.where("n > 0").join(found, ["n", "h1", "h2"]).select("row", "doc_id", "n", "h1", "h2", "component_row"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2", "row")
-    stays = placed.groupBy("component_row").agg(F.min(order)["row"].alias("stays"))
+    stays = settled(placed.groupBy("component_row").agg(F.min(order)["row"].alias("stays")))
     gone = settled(placed.join(stays, "component_row").where("row <> stays").select(F.col("row").alias(row)))
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*columns)

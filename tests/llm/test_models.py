@@ -332,7 +332,7 @@ def test_scores_by_brute_force(spark):
 
     examples = [(i, int(y), vector(texts[i])) for i, y in zip(judge.index.ids, judge.index.labels)]
     toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    assert len(examples) > 50 and all(y == toxic[i] and crc32(str(i).encode()) % 5 != 0 for i, y, _ in examples)
+    assert len(examples) > 20 and all(y == toxic[i] and crc32(str(i).encode()) % 5 != 0 for i, y, _ in examples)
     some = 0
     for r in toxicity.toxicity(docs, labels).where("doc_id % 4 = 0").collect():
         v = vector(texts[r["doc_id"]])
