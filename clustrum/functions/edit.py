@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +109,44 @@ def kernel(a, b, costs: Costs = Costs()) -> float:
     return float(row[-1])
 
 
+def bounded(a, b, limit: float, costs: Costs = Costs()) -> float | None:
+    """The same distance if it is at most `limit`, else None. Cells farther from the diagonal than the limit allows
+    are left out, and a row whose least value exceeds the limit ends the search."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)  # costs are symmetric
+    tables = isinstance(costs.indel, dict)
+    insert = np.array([costs.indel[q] for q in b] if tables else [costs.indel] * len(b), float)
+    least = min([*insert, *([costs.indel[p] for p in a] if tables else [costs.indel])], default=1.0)
+    if (len(b) - len(a)) * least > limit:
+        return None
+    band = len(b) if np.isinf(limit) else min(len(b), int(limit / least))
+    prefix = np.concatenate([[0.0], np.cumsum(insert)])
+    row = np.where(np.arange(len(b) + 1) <= band, prefix, np.inf)
+    for i, p in enumerate(a, 1):
+        low, high = max(0, i - band), min(len(b), i + band)
+        up = row[low : high + 1] + (costs.indel[p] if tables else costs.indel)
+        start = max(low, 1)
+        if start <= high:
+            switch = [0.0 if p == q else (costs.switch[p, q] if tables else costs.switch) for q in b[start - 1 : high]]
+            up[start - low :] = np.minimum(up[start - low :], row[start - 1 : high] + np.array(switch))
+        part = prefix[low : high + 1]
+        row = np.full(len(b) + 1, np.inf)
+        row[low : high + 1] = np.minimum.accumulate(up - part) + part
+        if row.min() > limit:
+            return None
+    return float(row[-1]) if row[-1] <= limit else None
+
+
+def within(costs: Costs = Costs(), limit: float = float("inf")):
+    """A function of two string columns, in Arrow batches: their distance if it is at most `limit`, else null; null if
+    a string is null."""
+
+    @F.pandas_udf("double")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else bounded(p, q, limit, costs) for p, q in zip(a, b)], dtype="float64")
+
+    return near
+
+
 def violations(indel: DataFrame, switch: DataFrame, normalised: bool = False) -> DataFrame:
     """(rule, a, b, c): breaches of what makes the costs a metric; empty if they do.
 

@@ -56,7 +56,7 @@ def nearest2_dense(samples: DataFrame, centers: DataFrame, metric: str = "l2") -
             if odd:
                 raise ValueError(f"{odd} vectors have another length than the centers' {c.shape[1]}")
             filled = x.drop_null()
-            flat = filled.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(filled), -1)  # nulls are NaN
+            flat = filled.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, c.shape[1])  # nulls are NaN
             sound = ~np.isnan(flat).any(1) if len(flat) else np.zeros(0, bool)
             where = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))[sound]
             found = near(np.asarray(ids)[where].tolist() if own else (), flat[sound]) if len(where) else (None,) * 4

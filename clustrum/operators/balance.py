@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .assign import center_distances
 
 FACTOR = 1.5
+RANGES = 1024
 
 
 def least_size(n: int, k: int) -> int:
@@ -29,6 +30,20 @@ def transfer_plan(sizes: dict[int, int], apart: dict[tuple[int, int], float], le
     return plan
 
 
+def last_rows(labelled: DataFrame, most: dict[int, int]) -> DataFrame:
+    """(id, k, rank): of each cluster in `most` its last rows by id, ranked from 1 downwards. Ids are cut into RANGES
+    ranges; counts by range tell which ranges hold such rows, and only those are sorted, each on its own."""
+    ends = labelled.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    at = F.least(F.lit(RANGES - 1), F.floor((F.col("id") - F.col("low")) / (F.col("high") - F.col("low") + 1) * RANGES)).cast("int")
+    ranged = labelled.select("id", "k").join(F.broadcast(ends), "k").select("id", "k", at.alias("range"))
+    later = Window.partitionBy("k").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("k", "range").count().select("k", "range", F.coalesce(F.sum("count").over(later), F.lit(0)).alias("before"))
+    wanted = before.where(F.col("before") < F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("k")))
+    inside = Window.partitionBy("k", "range").orderBy(F.desc("id"))
+    ranked = ranged.join(F.broadcast(wanted), ["k", "range"]).select("id", "k", (F.row_number().over(inside) + F.col("before")).alias("rank"))
+    return ranked.where(F.col("rank") <= F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("k")))
+
+
 def balance(labelled: DataFrame, centers: DataFrame, distance) -> DataFrame:
     """(id, k) from (id, k) labels and (k, x) centers, such that each cluster has at least the least size.
 
@@ -46,9 +61,7 @@ def balance(labelled: DataFrame, centers: DataFrame, distance) -> DataFrame:
         at = given.get(donor, 0)
         moves.append((donor, to, at + 1, at + rows))
         given[donor] = at + rows
-    most = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
-    spared = labelled.where(F.col("k").isin(list(given))).withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("id")))).where(F.col("rank") <= max(given.values()))
-    spared = spared.where(F.col("rank") <= F.element_at(most, F.col("k")))
+    spared = last_rows(labelled.where(F.col("k").isin(list(given))), given)
     route = labelled.sparkSession.createDataFrame(moves, "donor int, receiver int, low int, high int")
     moved = spared.join(F.broadcast(route), (F.col("k") == F.col("donor")) & F.col("rank").between(F.col("low"), F.col("high"))).select(F.col("id").alias("mid"), "receiver")
     return labelled.join(moved, F.col("id") == F.col("mid"), "left").select("id", F.coalesce("receiver", "k").cast("int").alias("k"))

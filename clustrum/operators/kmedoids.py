@@ -10,16 +10,22 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import key, uniform, uniform_value
 from ..functions.energy import Energy
+from ..functions.metrics import Metric
 from ..session import settled
 from . import seeding
 from .assign import mean_energy
 
 
+BLOCK = 1024
+
+
 def proposals(state: DataFrame, medoid_ids: list[int], ordinals: list[int], seed: int) -> DataFrame:
     """(p, k, id, x): for each ordinal a cluster, uniform, and a sample that is no medoid, uniform, that would replace its medoid."""
     k = len(medoid_ids)
@@ -44,11 +50,40 @@ def swap_deltas(state: DataFrame, proposed: DataFrame, energy: Energy, distance)
     return state.crossJoin(offered).groupBy("p").agg(F.sum(after - energy.column(F.col("d1"))).alias("delta"))
 
 
-def screened(state: DataFrame, proposed: DataFrame, energy: Energy, distance, seed: int, share: float = 0.25) -> DataFrame:
-    """Proposals that also improve a hash sample of the samples; an early rejection that may lose good swaps."""
-    some = state.where(uniform(seed, "screen", F.col("id")) < share)
-    good = swap_deltas(some, proposed, energy, distance).where("delta < 0").select("p")
-    return proposed.join(F.broadcast(good), "p", "left_semi")
+def swap_deltas_dense(state: DataFrame, proposed: DataFrame, energy: Energy, metric: str) -> DataFrame:
+    """The same for dense vectors: a NumPy matrix of samples by proposals for each Arrow batch, and one partial sum a
+    proposal for each task. Samples without a center (null or NaN vectors) add nothing."""
+    offers = proposed.select("p", "k", "x").orderBy("p").collect()  # a batch of proposals
+    p, k, m = np.array([o["p"] for o in offers]), np.array([o["k"] for o in offers]), Metric(metric)
+    c = np.array([o["x"] for o in offers], float)
+
+    def run(batches):
+        total = np.zeros(len(p))
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            if not batch.num_rows or not len(p):
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, c.shape[1])
+            a1, d1, d2 = (batch.column(j).to_numpy(zero_copy_only=False) for j in (1, 2, 3))
+            stay = np.where(a1[:, None] == k, d2[:, None].astype(float), d1[:, None])
+            after = energy.values(np.fmin(stay, m.kernel(x, c)))  # fmin ignores the missing d2 of a single cluster
+            total += (after - energy.values(d1)[:, None]).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(total)], names=["p", "delta"])
+
+    sums = state.select("x", "a1", "d1", "d2").mapInArrow(run, "p int, delta double")
+    return sums.groupBy("p").agg(F.sum("delta").alias("delta"))
+
+
+def screened(state: DataFrame, proposed: DataFrame, deltas, seed: int, shares=(0.0625, 0.25)) -> DataFrame:
+    """Proposals that also improve growing hash samples of the samples, each of which holds the one before; an early
+    rejection that may lose good swaps. Those that are left are judged on all samples."""
+    for share in shares:
+        some = state.where(uniform(seed, "screen", F.col("id")) < share)
+        good = [r["p"] for r in deltas(some, proposed).where("delta < 0").select("p").collect()]
+        proposed = proposed.where(F.col("p").isin(good))
+        if not good:
+            break
+    return proposed
 
 
 def swapped(state: DataFrame, medoids: DataFrame, k: int, new_id: int, x, assign, distance) -> DataFrame:
@@ -78,23 +113,28 @@ class Rounds:
     log: list[tuple] = field(default_factory=list)
     halt_reason: str = ""
 
-    SCHEMA = "phase string, r int, mE double, n_proposals int, delta double, seconds double"
+    SCHEMA = "phase string, r int, mE double, n_proposals int, delta double, seconds double, n_dist long"
 
-    def add(self, phase: str, r: int, m_e: float, n: int, delta: float, seconds: float) -> None:
-        self.log.append((phase, r, float(m_e), int(n), float(delta), float(seconds)))
+    def add(self, phase: str, r: int, m_e: float, n: int, delta: float, seconds: float, n_dist: int = 0) -> None:
+        """n_dist: distances that the round asked for (rows times centers, proposals or members), the screen's not counted."""
+        self.log.append((phase, r, float(m_e), int(n), float(delta), float(seconds), int(n_dist)))
 
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.log, self.SCHEMA)
 
 
-def clarans(samples, medoids, assign, energy, distance, seed, max_rounds, max_proposals, patient, level=0, batch=16, min_me=0.0, deadline=None, rounds=None):
-    """(state, medoids, rounds) after at most max_rounds accepted swaps; ends after max_proposals rejections in a row."""
+def clarans(samples, medoids, assign, energy, distance, seed, max_rounds, max_proposals, patient, level=0, batch=16, min_me=0.0, deadline=None, rounds=None, deltas=None):
+    """(state, medoids, rounds) after at most max_rounds accepted swaps; ends after max_proposals rejections in a row.
+
+    `deltas(state, proposed)` judges a batch of proposals; by default swap_deltas with the given distance.
+    """
+    deltas = deltas or (lambda s, p: swap_deltas(s, p, energy, distance))
     rounds = rounds if rounds is not None else Rounds()
     medoids = settled(medoids)
     state = settled(assign(samples, medoids))
     m_e = mean_energy(state, energy)
-    rounds.add("clarans", 0, m_e, 0, 0.0, 0.0)
-    n = state.count()
+    n, n_medoids = state.count(), medoids.count()
+    rounds.add("clarans", 0, m_e, 0, 0.0, 0.0, n * n_medoids)
     ordinal, accepted = 0, 0
     while True:
         if accepted >= max_rounds:
@@ -103,15 +143,17 @@ def clarans(samples, medoids, assign, energy, distance, seed, max_rounds, max_pr
         if m_e <= min_me:
             rounds.halt_reason = "min_mE"
             break
-        began, rejected, swap = time.perf_counter(), 0, None
+        began, rejected, swap, judgements = time.perf_counter(), 0, None, 0
         ids = [r["id"] for r in medoids.orderBy("k").collect()]
         while swap is None and rejected < max_proposals:
             if deadline is not None and time.perf_counter() > deadline:
                 break
             todo = list(range(ordinal, ordinal + int(min(batch, max_proposals - rejected))))
             offered = settled(proposals(state, ids, todo, seed))
-            judged = screened(state, offered, energy, distance, seed) if level == 3 else offered
-            good = sorted((r["p"], r["delta"]) for r in swap_deltas(state, judged, energy, distance).where("delta < 0").collect())
+            judged = screened(state, offered, deltas, seed) if level == 3 else offered
+            found = deltas(state, judged).collect()
+            judgements += len(found)
+            good = sorted((r["p"], r["delta"]) for r in found if r["delta"] < 0)
             if good:
                 swap = min(good, key=lambda g: (g[1], g[0])) if patient else good[0]
                 used = len(todo) if patient else swap[0] - ordinal + 1
@@ -131,15 +173,20 @@ def clarans(samples, medoids, assign, energy, distance, seed, max_rounds, max_pr
             state = settled(swapped(state, medoids, one["nk"], one["nid"], one["nx"], assign, distance))
         m_e += swap[1] / n
         accepted += 1
-        rounds.add("clarans", accepted, m_e, rejected + 1, swap[1], time.perf_counter() - began)
+        rounds.add("clarans", accepted, m_e, rejected + 1, swap[1], time.perf_counter() - began, n * (judgements + 1))
     return state, medoids, rounds
 
 
 def medoid_costs(state: DataFrame, energy: Energy, distance) -> DataFrame:
     """(k, id, cost): for each member, the summed energy of its cluster if it were the medoid. All pairs within a
-    cluster are what the definition asks for; use CLARANS where clusters are large."""
-    i, j = state.select(F.col("a1").alias("k"), F.col("x").alias("xi")), state.select(F.col("a1").alias("k"), "id", F.col("x").alias("xj"))
-    return i.join(j, "k").groupBy("k", "id").agg(F.sum(energy.column(distance(F.col("xi"), F.col("xj")))).alias("cost"))
+    cluster are what the definition asks for; use CLARANS where clusters are large. Members are spread over blocks of
+    about BLOCK rows and blocks meet in pairs, so one key holds BLOCK * BLOCK pairs however large its cluster is."""
+    blocks = F.broadcast(state.groupBy(F.col("a1").alias("k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    members = state.select(F.col("a1").alias("k"), "id", "x").join(blocks, "k")
+    own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    i = members.select("k", own.alias("bi"), every.alias("bj"), F.col("x").alias("xi"))
+    j = members.select("k", own.alias("bj"), every.alias("bi"), "id", F.col("x").alias("xj"))
+    return i.join(j, ["k", "bi", "bj"]).groupBy("k", "id").agg(F.sum(energy.column(distance(F.col("xi"), F.col("xj")))).alias("cost"))
 
 
 def voronoi(samples, medoids, assign, energy, distance, max_rounds, min_me=0.0, deadline=None, rounds=None):
@@ -147,12 +194,14 @@ def voronoi(samples, medoids, assign, energy, distance, max_rounds, min_me=0.0,
     rounds = rounds if rounds is not None else Rounds()
     medoids = settled(medoids)
     state = settled(assign(samples, medoids))
-    rounds.add("voronoi", 0, mean_energy(state, energy), 0, 0.0, 0.0)
+    n, n_medoids = state.count(), medoids.count()
+    rounds.add("voronoi", 0, mean_energy(state, energy), 0, 0.0, 0.0, n * n_medoids)
     for r in range(1, int(max_rounds) + 1):
         if deadline is not None and time.perf_counter() > deadline:
             rounds.halt_reason = "max_time"
             return state, medoids, rounds
         began = time.perf_counter()
+        pairs = state.groupBy("a1").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
         moved = voronoi_update(state, medoids, energy, distance)
         moved = settled(moved)
         changed = moved.where("moved").count()
@@ -162,7 +211,7 @@ def voronoi(samples, medoids, assign, energy, distance, max_rounds, min_me=0.0,
         medoids = settled(moved.select("k", "id").join(samples.select("id", "x"), "id").select("k", "id", "x"))
         state = settled(assign(samples, medoids))
         m_e = mean_energy(state, energy)
-        rounds.add("voronoi", r, m_e, changed, 0.0, time.perf_counter() - began)
+        rounds.add("voronoi", r, m_e, changed, 0.0, time.perf_counter() - began, pairs + n * n_medoids)
         if m_e <= min_me:
             rounds.halt_reason = "min_mE"
             return state, medoids, rounds

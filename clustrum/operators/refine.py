@@ -54,6 +54,7 @@ def refine(samples, centers, metric: str, energy: Energy, max_rounds: int, deadl
     assign = (lambda s, c: nearest2(s, c, distance)) if is_sparse else (lambda s, c: nearest2_dense(s, c, metric))
     centers = settled(centers.select("k", "x"))
     state = settled(assign(samples, centers))
+    n_dist = state.count() * centers.count()
     for r in range(1, int(max_rounds) + 1):
         if deadline is not None and time.perf_counter() > deadline:
             rounds.halt_reason = "rf_max_time"
@@ -66,7 +67,7 @@ def refine(samples, centers, metric: str, energy: Energy, max_rounds: int, deadl
         centers = moved.select("k", "x")
         still = not moved.where(shift("old", "x", is_sparse)).limit(1).count()
         state = settled(assign(samples, centers))
-        rounds.add("refine", r, mean_energy(state, energy), 0, 0.0, time.perf_counter() - began)
+        rounds.add("refine", r, mean_energy(state, energy), 0, 0.0, time.perf_counter() - began, n_dist)
         if still:
             rounds.halt_reason = "no center moved"
             break

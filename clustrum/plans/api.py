@@ -39,7 +39,7 @@ class Clusterer:
 
     Controls that do not depend on the clock come first: max_rounds, max_proposals, min_mE. max_time (seconds) and
     max_itok (total time in initialisation times) are looked at between jobs. Levels 0 to 2 evaluate the same swaps;
-    3 screens proposals on a sample first. nthreads and rooted are accepted for familiarity and change nothing.
+    3 screens proposals on growing samples first. nthreads and rooted are accepted for familiarity and change nothing.
     """
 
     K: int = 0
@@ -83,7 +83,10 @@ class Clusterer:
         m = Metric(self.metric)
         if do_vdimap:
             samples = settled(remap.remap(samples, self.metric, self.seed))
-        return self._run(samples, lambda s, c: nearest2_dense(s, c, self.metric), m.dense, do_refinement, rf_max_rounds, rf_max_time)
+        return self._run(
+            samples, lambda s, c: nearest2_dense(s, c, self.metric), m.dense, do_refinement, rf_max_rounds, rf_max_time,
+            deltas=lambda s, p: kmedoids.swap_deltas_dense(s, p, self._energy, self.metric),
+        )
 
     def sparse(self, samples: DataFrame, do_refinement: bool = False, rf_max_rounds: int = 100, rf_max_time: float = 1e9) -> Result:
         """Cluster (id, x MAP<BIGINT, DOUBLE>)."""
@@ -123,7 +126,7 @@ class Clusterer:
         if bad:
             raise ValueError("the costs are no metric: " + "; ".join(f"{r['rule']} {r['a']} {r['b'] or ''}".strip() for r in bad))
 
-    def _run(self, samples, assign, distance, do_refinement=False, rf_max_rounds=100, rf_max_time=1e9, is_sparse=False) -> Result:
+    def _run(self, samples, assign, distance, do_refinement=False, rf_max_rounds=100, rf_max_time=1e9, is_sparse=False, deltas=None) -> Result:
         if do_refinement and self.do_balance_labels:
             raise ValueError("balancing does not go with refinement")
         if do_refinement:
@@ -140,7 +143,7 @@ class Clusterer:
             state, medoids, rounds = kmedoids.voronoi(samples, medoids, assign, self._energy, distance, self.max_rounds, self.min_mE, deadline, rounds)
         else:
             state, medoids, rounds = kmedoids.clarans(
-                samples, medoids, assign, self._energy, distance, self.seed, self.max_rounds, self.max_proposals, self.patient, self.level, self.batch, self.min_mE, deadline, rounds
+                samples, medoids, assign, self._energy, distance, self.seed, self.max_rounds, self.max_proposals, self.patient, self.level, self.batch, self.min_mE, deadline, rounds, deltas
             )
         centers = medoids.select("k", "x")
         if do_refinement:

@@ -134,6 +134,41 @@ rows AS (SELECT a, b, 0 AS i, [2.0::DOUBLE * j FOR j IN range(0, length(b) + 1)]
   UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc::DOUBLE[], least(r[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 3.0 END, r[j + 1] + 2.0, acc[-1] + 2.0)), [2.0::DOUBLE * (i + 1)]) FROM rows WHERE i < length(a))"""
 
 
+TABLED = f"""WITH RECURSIVE {NAMES},
+rows AS (SELECT a, b, 0 AS i, [coalesce(list_sum([2 + ascii(b[m]) % 3 * 0.25 FOR m IN range(1, j + 1)]), 0)::DOUBLE FOR j IN range(0, length(b) + 1)] AS r FROM pairs
+  UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc::DOUBLE[], least(r[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 + abs(ascii(a[i + 1]) - ascii(b[j])) / 64.0::DOUBLE END,
+  r[j + 1] + 2 + ascii(a[i + 1]) % 3 * 0.25, acc[-1] + 2 + ascii(b[j]) % 3 * 0.25)::DOUBLE), [r[1] + 2 + ascii(a[i + 1]) % 3 * 0.25::DOUBLE]) FROM rows WHERE i < length(a))"""
+
+BALANCE = f"""two AS (SELECT a.k AS k, b.k AS j, {_fold('a.x', 'b.x', 'l2')} AS d FROM c a JOIN c b ON a.k <> b.k),
+steps AS (SELECT row_number() OVER (ORDER BY k, d, j) AS n, k, j FROM two), z AS (SELECT a1 AS k, count(*) AS n FROM st GROUP BY a1),
+lim AS (SELECT greatest(2, floor((SELECT count(*) FROM st) / 15.0)::BIGINT) AS least),
+plan AS (SELECT 0::BIGINT AS n, (SELECT list(n ORDER BY k) FROM z) AS sizes, [0::BIGINT FOR q IN range(0, 10)] AS given, NULL::INT AS donor, NULL::INT AS receiver, 0::BIGINT AS low, 0::BIGINT AS high
+ UNION ALL SELECT n, [sizes[q] + CASE WHEN q = k + 1 THEN m WHEN q = j + 1 THEN -m ELSE 0 END FOR q IN range(1, 11)], [given[q] + CASE WHEN q = j + 1 THEN m ELSE 0 END FOR q IN range(1, 11)], j, k, given[j + 1] + 1, given[j + 1] + m
+ FROM (SELECT s.n, s.k, s.j, p.sizes, p.given, greatest(0, least(p.sizes[s.j + 1] - l.least, l.least - p.sizes[s.k + 1])) AS m FROM plan p JOIN steps s ON s.n = p.n + 1, lim l)),
+ranked AS (SELECT id, a1, row_number() OVER (PARTITION BY a1 ORDER BY id DESC) AS r FROM st)"""
+
+
+def _afkmc2(k: int, chain: int) -> str:
+    """Chains unrolled: pick j of chain s is taken over what stands before it by its energy over its weight."""
+    ctes = [f"s AS MATERIALIZED ({X})", f"c0 AS MATERIALIZED (SELECT id, x FROM s WHERE id = {_first()})",
+            f"e0 AS MATERIALIZED (SELECT s.id, s.x, power({_fold('s.x', 'c0.x', 'l2')}, 2) AS e FROM s, c0)",
+            "q AS MATERIALIZED (SELECT id, x, (e / (SELECT sum(e) FROM e0) + 1.0::DOUBLE / (SELECT count(*) FROM e0)) / 2 AS q FROM e0 WHERE id NOT IN (SELECT id FROM c0))"]
+    for s in range(1, k):
+        for j in range(chain):
+            draw = _race("q", "'1011'", "'mc2'", f"'{s}'", f"'{j}'", "id")
+            ctes.append(f"p{s}_{j} AS MATERIALIZED (SELECT q.id, q.x, e.e / q.q AS w FROM (SELECT * FROM q ORDER BY {draw} NULLS LAST LIMIT 1) q JOIN e{s - 1} e ON e.id = q.id)")
+            if j == 0:
+                ctes.append(f"t{s}_0 AS MATERIALIZED (SELECT * FROM p{s}_0)")
+                continue
+            u, before = _u("'1011'", "'accept'", f"'{s}'", f"'{j}'"), f"t{s}_{j - 1}"
+            take = f"p.w > 0 AND (t.w = 0 OR {u} < p.w / nullif(t.w, 0))"
+            ctes.append(f"t{s}_{j} AS MATERIALIZED (SELECT CASE WHEN {take} THEN p.id ELSE t.id END AS id, CASE WHEN {take} THEN p.x ELSE t.x END AS x, CASE WHEN {take} THEN p.w ELSE t.w END AS w FROM p{s}_{j} p, {before} t)")
+        ctes.append(f"c{s} AS MATERIALIZED (SELECT id, x FROM t{s}_{chain - 1})")
+        ctes.append(f"e{s} AS MATERIALIZED (SELECT p.id, p.x, CASE WHEN p.id = c.id THEN 0 ELSE least(p.e, power({_fold('p.x', 'c.x', 'l2')}, 2)) END AS e FROM e{s - 1} p, c{s} c)")
+    picks = " UNION ALL ".join(f"SELECT id FROM c{i}" for i in range(k))
+    return f"WITH {', '.join(ctes)} SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, id FROM ({picks})"
+
+
 def oracle_sql() -> dict[str, str]:
     stats = f"""WITH {STATE}, f AS (SELECT st.*, st.id IN (SELECT id FROM c) AS med, d1 * d1 AS e1, d2 * d2 AS e2 FROM st)
 SELECT a1 AS k, count(*) AS size, round(sum(e1), 6) AS energy, round(coalesce(sum(e1) / nullif(count(*) - 1, 0), 0), 6) AS mean_energy,
@@ -160,6 +195,10 @@ SELECT k, count(*) AS size, round(avg(d), 4) AS mean_d, round(max(d), 4) AS max_
         "nearest_center": f"WITH s AS ({X}), c AS ({SEEDS}), {cc}, two AS (SELECT * FROM cc UNION ALL SELECT kp, k, d FROM cc) SELECT k, arg_min(kp, (d, kp)) AS nearest, round(min(d), 6) AS d FROM two GROUP BY k",
         "seed_uniform": f"WITH s AS ({X}) SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, id FROM (SELECT id FROM s ORDER BY md5('1011|uniform|' || id), id LIMIT 8)",
         "seed_kmeanspp": _kmeanspp(5),
+        "seed_kmeanspp_binned": _kmeanspp(53, 20),
+        "seed_afkmc2": _afkmc2(4, 5),
+        "edit_tables": f"{TABLED} SELECT a, b, round(r[-1], 6) AS d, CASE WHEN r[-1] <= 14.0 THEN round(r[-1], 6) END AS near FROM rows WHERE i = length(a)",
+        "balance_labels": f"WITH RECURSIVE {STATE}, {BALANCE} SELECT coalesce(p.receiver, r.a1)::INT AS k, count(*) AS size, min(r.id) AS first_id FROM ranked r LEFT JOIN plan p ON p.donor = r.a1 AND r.r BETWEEN p.low AND p.high GROUP BY 1",
         "seed_kmeanspp_greedy": _greedy(4, 3),
         "swap_delta": f"WITH {STATE}, o AS MATERIALIZED {_offers('c', 'st', '0', 16)} SELECT p, k, id, round(delta, 6) AS delta FROM {_deltas('st', 'o')}",
         "clarans_greedy": _clarans(False),

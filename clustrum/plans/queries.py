@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..sources import text, vectors
 K = 10
 SEED = 1011
 INDEL, SWITCH = 2.0, 3.0
+TABLE_LIMIT = 14.0
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +49,21 @@ def dist_dense(spark, sf_dir) -> DataFrame:
 
 
 def terms(spark, sf_dir) -> DataFrame:
-    """Documents as sparse counts of lower-case letters and digits by code point."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "")).alias("c")).where("c RLIKE '^[a-z0-9]$'")
-    return vectors.sparse_long(d, F.col("doc_id"), F.ascii("c"), F.lit(1.0))
+    """Documents as sparse counts of lower-case letters and digits by code point: row-local counts of UTF-8 bytes in
+    Arrow batches, no shuffle."""
+    codes = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)
+
+    def count(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            n = np.array([np.bincount(np.frombuffer(t or b"", np.uint8), minlength=256)[codes] for t in texts]).reshape(-1, len(codes))
+            row, at = np.nonzero(n)
+            ends = np.concatenate([[0], np.cumsum((n > 0).sum(1))])
+            x = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes[at], pa.int64()), pa.array(n[row, at], pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["id", "x"])
+
+    low = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("t"))
+    return low.mapInArrow(count, "id long, x map<bigint,double>").where(F.size("x") > 0)
 
 
 def dist_sparse(spark, sf_dir) -> DataFrame:
@@ -77,6 +92,14 @@ def edit_weighted(spark, sf_dir) -> DataFrame:
     return _name_pairs(spark, sf_dir).select("a", "b", F.round(edit.distance(a, b, costs), 6).alias("d"), F.round(edit.distance(a, b, costs, normalised=True), 6).alias("normalised"))
 
 
+def edit_tables(spark, sf_dir) -> DataFrame:
+    """Names under costs by symbol: the distance, and whether it is found within a limit (null beyond it)."""
+    used = [r["symbol"] for r in text.alphabet(names(spark, sf_dir)).collect()]
+    costs = edit.Costs({a: 2 + ord(a) % 3 * 0.25 for a in used}, {(a, b): 1 + abs(ord(a) - ord(b)) / 64 for a in used for b in used if a != b})
+    pairs = _name_pairs(spark, sf_dir)
+    return pairs.select("a", "b", F.round(edit.within(costs)("a", "b"), 6).alias("d"), F.round(edit.within(costs, TABLE_LIMIT)("a", "b"), 6).alias("near"))
+
+
 def event_sequences(spark, sf_dir) -> DataFrame:
     """Per user the events in order, one letter each: position of the type in the sorted list of types."""
     e = table(spark, sf_dir, "events")
@@ -159,7 +182,7 @@ def seed_afkmc2(spark, sf_dir) -> DataFrame:
 def swap_delta(spark, sf_dir) -> DataFrame:
     s = settled(state(spark, sf_dir))
     offered = settled(kmedoids.proposals(s, list(range(K)), list(range(16)), SEED))
-    d = kmedoids.swap_deltas(s, offered, Energy(), Metric("l2").dense)
+    d = kmedoids.swap_deltas_dense(s, offered, Energy(), "l2")
     return offered.join(d, "p").select("p", "k", "id", F.round("delta", 6).alias("delta"))
 
 
@@ -173,7 +196,7 @@ def clarans_patient(spark, sf_dir) -> DataFrame:
 
 def _clarans(spark, sf_dir, patient) -> DataFrame:
     x = samples(spark, sf_dir)
-    out = kmedoids.clarans(x, medoids(spark, sf_dir), lambda s, c: assign.nearest2_dense(s, c, "l2"), Energy(), Metric("l2").dense, SEED, 2, 64, patient, batch=16)
+    out = kmedoids.clarans(x, medoids(spark, sf_dir), lambda s, c: assign.nearest2_dense(s, c, "l2"), Energy(), Metric("l2").dense, SEED, 2, 64, patient, batch=16, deltas=lambda s, p: kmedoids.swap_deltas_dense(s, p, Energy(), "l2"))
     s, m, _ = out
     per = s.groupBy(F.col("a1").alias("k")).agg(F.count(F.lit(1)).alias("size"), F.round(F.sum(F.col("d1") * F.col("d1")), 6).alias("energy"))
     return m.select("k", "id").join(per, "k")
@@ -256,7 +279,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             assign_nearest2, assign_nearest2_l1_columns, assign_items, cluster_stats, dist_dense, dist_sparse, energies, center_center, nearest_center,
-            edit_unit, edit_weighted, event_sequences_edit, seed_uniform, seed_kmeanspp, seed_kmeanspp_binned, seed_kmeanspp_greedy, seed_afkmc2,
+            edit_unit, edit_weighted, edit_tables, event_sequences_edit, seed_uniform, seed_kmeanspp, seed_kmeanspp_binned, seed_kmeanspp_greedy, seed_afkmc2,
             swap_delta, clarans_greedy, clarans_patient, voronoi_round, voronoi, vcenters, vmedians, refine_l2, refine_l1, refine_sparse_l2,
             balance_labels, dim_variance_order, vdimap_distances, alphabet, cost_violations,
         )

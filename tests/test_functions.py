@@ -105,3 +105,21 @@ def test_cost_violations(spark):
     assert rules == {"asymmetric", "triangle", "switch above two indels", "indel above switch and indel", "unequal indels"}
     good = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "a string, b string, cost double")
     assert edit.violations(indel.where("a < 'c'"), good, True).count() == 0
+
+
+def test_bounded_edit_distance_equals_the_kernel():
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcd"), n)) for n in (0, 1, 2, 5, 9, 14, 14, 20)]
+    tables = edit.Costs({c: 1 + i / 4 for i, c in enumerate("abcd")}, {(p, q): 1 + abs(ord(p) - ord(q)) / 8 for p in "abcd" for q in "abcd" if p != q})
+    for costs in (edit.Costs(), edit.Costs(2.0, 3.0), tables):
+        for a in words:
+            for b in words:
+                want = edit.kernel(a, b, costs)
+                for limit in (0.0, 1.5, 4.0, 9.0, float("inf")):
+                    got = edit.bounded(a, b, limit, costs)
+                    assert (got is None) == (want > limit + 1e-9) and (got is None or abs(got - want) < 1e-9)
+
+
+def test_within_a_limit_as_a_column(spark):
+    df = spark.createDataFrame([("kitten", "sitting"), ("a", "zzzzzz"), (None, "a"), ("", "")], "a string, b string")
+    assert [r[0] for r in df.select(edit.within(edit.Costs(), 3.0)("a", "b")).collect()] == [3.0, None, None, 0.0]

@@ -248,3 +248,45 @@ def test_a_lacking_cost_is_an_error(spark):
     df = spark.createDataFrame([([0, 1], [0, 7])], "a array<int>, b array<int>")
     with pytest.raises(Exception, match="cost of"):
         df.select(edit.distance(F.col("a"), F.col("b"), costs, strings=False)).collect()
+
+
+def test_dense_swap_deltas_equal_those_of_columns(spark, points):
+    df, _ = points
+    s = dense(df, seeding.from_indices(df, [3, 30, 60, 61], 4)).cache()
+    offers = kmedoids.proposals(s, [3, 30, 60, 61], list(range(8)), 5).cache()
+    for energy in (Energy(), Energy("identity"), Energy("exp", exponent_coeff=0.5)):
+        want = {r["p"]: r["delta"] for r in kmedoids.swap_deltas(s, offers, energy, L2).collect()}
+        got = {r["p"]: r["delta"] for r in kmedoids.swap_deltas_dense(s, offers, energy, "l2").collect()}
+        assert sorted(got) == sorted(want) and np.allclose([got[p] for p in sorted(got)], [want[p] for p in sorted(want)])
+    lone = dense(df.union(spark.createDataFrame([(100, None)], df.schema)), seeding.from_indices(df, [3], 1))
+    got = {r["p"]: r["delta"] for r in kmedoids.swap_deltas_dense(lone, offers.withColumn("k", F.lit(0)), Energy(), "l2").collect()}
+    assert sorted(got) == list(range(8)) and all(np.isfinite(v) for v in got.values())
+
+
+def test_medoid_costs_do_not_depend_on_blocks(spark, points, monkeypatch):
+    df, x = points
+    s = dense(df, seeding.from_indices(df, [3, 60], 2)).cache()
+    one = {r["id"]: r["cost"] for r in kmedoids.medoid_costs(s, Energy(), L2).collect()}
+    monkeypatch.setattr(kmedoids, "BLOCK", 7)
+    many = {r["id"]: r["cost"] for r in kmedoids.medoid_costs(s, Energy(), L2).collect()}
+    assert sorted(one) == sorted(many) == list(range(100)) and all(abs(one[i] - many[i]) < 1e-9 for i in one)
+
+
+@pytest.mark.parametrize("far", [0, 10**12])
+def test_last_rows_of_uneven_ids(spark, far):
+    rows = [(i, i % 2) for i in range(200)] + [(far + 1000, 0)]
+    got = {(r["id"], r["rank"]) for r in balance.last_rows(spark.createDataFrame(rows, "id long, k int"), {0: 5, 1: 3}).where("k = 0").collect()}
+    assert got == {(far + 1000, 1), (198, 2), (196, 3), (194, 4), (192, 5)}
+    whole = balance.last_rows(spark.createDataFrame(rows, "id long, k int"), {0: 101, 1: 100})
+    assert whole.count() == 201 and {r["rank"] for r in whole.where("k = 1").collect()} == set(range(1, 101))
+
+
+def test_screening_rejects_only(spark, points):
+    df, _ = points
+    s = dense(df, seeding.from_indices(df, [3, 30, 60, 61], 4)).cache()
+    offers = kmedoids.proposals(s, [3, 30, 60, 61], list(range(16)), 5).cache()
+    deltas = lambda a, b: kmedoids.swap_deltas_dense(a, b, Energy(), "l2")
+    left = {r["p"] for r in kmedoids.screened(s, offers, deltas, 5).collect()}
+    assert left <= set(range(16))
+    again = {r["p"] for r in deltas(s.where(kmedoids.uniform(5, "screen", F.col("id")) < 0.25), offers).where("delta < 0").collect()}
+    assert left <= again
