@@ -1,7 +1,7 @@
 """Edit distances between sequences: strings (by code point) or integer arrays.
 
-Unit costs use Spark's own levenshtein for strings. Other costs run the row-by-row recurrence as nested aggregates, so
-the distance stays an expression; `kernel` is the same recurrence in NumPy for long sequences in Arrow batches.
+Unit costs use Spark's own levenshtein for strings. Other costs run the recurrence in NumPy over Arrow batches
+(`batched`, `bounded`); `distance` is the same as an expression of nested aggregates, for use inside array functions.
 """
 
 from __future__ import annotations
@@ -147,6 +147,32 @@ def within(costs: Costs = Costs(), limit: float = float("inf")):
     return near
 
 
+def between(a, b, limit: float, costs: Costs, normalised: bool = False) -> float | None:
+    """The distance, or the normalised one, of two sequences if it is at most `limit`, else None. The limit has slack for
+    rounding, so a distance equal to it is found."""
+    if not normalised:
+        return bounded(a, b, limit * (1 + 1e-9), costs)
+    whole = costs.largest_indel * (len(a) + len(b))
+    if whole == 0:
+        return None
+    d = bounded(a, b, limit * whole / (2 - limit) * (1 + 1e-9) if limit < 1 else float("inf"), costs)
+    return None if d is None else 2 * d / (whole + d)
+
+
+def batched(costs: Costs = Costs(), normalised: bool = False):
+    """`distance` as a function of two columns, in Arrow batches; null if a sequence is null. A symbol without a cost is
+    an error."""
+
+    @F.pandas_udf("double")
+    def d(a: pd.Series, b: pd.Series) -> pd.Series:
+        try:
+            return pd.Series([None if p is None or q is None else between(p, q, float("inf"), costs, normalised) for p, q in zip(a, b)], dtype="float64")
+        except KeyError as e:
+            raise ValueError(f"no cost of {e}") from e
+
+    return d
+
+
 def violations(indel: DataFrame, switch: DataFrame, normalised: bool = False) -> DataFrame:
     """(rule, a, b, c): breaches of what makes the costs a metric; empty if they do.
 

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import edit
 from ..functions.energy import Energy
 from ..functions.metrics import Metric
 
@@ -87,6 +88,40 @@ def nearest2(samples: DataFrame, centers: DataFrame, distance) -> DataFrame:
     return near.select("id", "x", first["k"].alias("a1"), first["d"].alias("d1"), second["k"].alias("a2"), second["d"].alias("d2"))
 
 
+def nearest2_edit(samples: DataFrame, centers: DataFrame, costs: edit.Costs = edit.Costs(), normalised: bool = False) -> DataFrame:
+    """The same for sequences by the edit distance, row-local in Arrow batches. Centers are visited by how near their
+    length is to the sample's, and a distance is given up once it exceeds the second-least so far. A null sequence has no
+    distance: its four columns are null. A symbol without a cost is an error."""
+    rows = sorted(centers.collect(), key=lambda r: r["k"])
+    if not rows:
+        raise ValueError("there are no centers")
+    ks, xs = [r["k"] for r in rows], [r["x"] for r in rows]
+    own = {r["id"]: i for i, r in enumerate(rows)} if "id" in centers.columns else {}
+
+    def near(i, x):
+        found = [(0, edit.between(x, xs[own[i]], float("inf"), costs, normalised), own[i])] if i in own else []
+        for j in sorted(range(len(xs)), key=lambda j: abs(len(xs[j]) - len(x))):
+            if j == own.get(i):
+                continue
+            d = edit.between(x, xs[j], found[1][1] if len(found) == 2 else float("inf"), costs, normalised)
+            if d is not None:
+                found = sorted([*found, (1, d, j)])[:2]
+        first, second = (*found, None, None)[:2]
+        return [v for f in (first, second) for v in ((ks[f[2]], f[1]) if f else (None, None))]
+
+    def run(batches):
+        for batch in batches:
+            try:
+                out = [near(i, x) if x is not None else [None] * 4 for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            except KeyError as e:
+                raise ValueError(f"no cost of {e}") from e
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.float64()) * 2)] if out else [pa.array([], kind) for kind in (pa.int32(), pa.float64()) * 2]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "x", "a1", "d1", "a2", "d2"])
+
+    kind = dict(samples.dtypes)["x"]
+    return samples.select(F.col("id").cast("long").alias("id"), "x").mapInArrow(run, f"id long, x {kind}, a1 int, d1 double, a2 int, d2 double")
+
+
 def cluster_statistics(state: DataFrame, energy: Energy, n_centers_inside: bool = True) -> DataFrame:
     """Per cluster: size, energy, mean energy of the non-medoids, and what bounds swaps: maximum and sum of the margin
     e2 - e1, r1 and r2, the maxima of d1 and d2, and the margins over the number of non-medoids (0 without any)."""

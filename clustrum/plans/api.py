@@ -14,7 +14,7 @@ from ..functions.energy import Energy
 from ..functions.metrics import Metric
 from ..operators import balance as balancing
 from ..operators import kmedoids, refine, remap, seeding
-from ..operators.assign import nearest2, nearest2_dense
+from ..operators.assign import nearest2, nearest2_dense, nearest2_edit
 from ..session import settled
 from ..sources import text as text_source
 
@@ -101,8 +101,11 @@ class Clusterer:
         size = F.length("x") if strings else F.size("x")
         if samples.where(F.col("x").isNull() | (size == 0)).limit(1).count():
             raise ValueError("there is an empty sequence")
-        d = lambda a, b: edit.distance(a, b, costs, self.metric.startswith("norm"), strings)
-        return self._run(samples, lambda s, c: nearest2(s, c, d), d)
+        normalised = self.metric.startswith("norm")
+        if costs.unit and strings:
+            d = lambda a, b: edit.distance(a, b, costs, normalised)
+            return self._run(samples, lambda s, c: nearest2(s, c, d), d)
+        return self._run(samples, lambda s, c: nearest2_edit(s, c, costs, normalised), edit.batched(costs, normalised))
 
     def text(self, spark: SparkSession, files: list[str], costs_file: str, out: str | None = None) -> Result:
         """Cluster the sequences of plain or FASTA files; `out` gets them with their labels."""

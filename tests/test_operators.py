@@ -290,3 +290,48 @@ def test_screening_rejects_only(spark, points):
     assert left <= set(range(16))
     again = {r["p"] for r in deltas(s.where(kmedoids.uniform(5, "screen", F.col("id")) < 0.25), offers).where("delta < 0").collect()}
     assert left <= again
+
+
+@pytest.mark.parametrize("normalised", [False, True])
+@pytest.mark.parametrize("medoids", [False, True])
+def test_nearest_sequences_equal_all_distances(spark, normalised, medoids):
+    rows, costs = sequences_with_tables()
+    rows += [(60 + i, rows[i][1]) for i in range(5)]  # repeated sequences tie
+    of = {i: x for i, x in rows}
+    df = spark.createDataFrame([*rows, (99, None)], "id long, x array<int>")
+    chosen = [3, 60, 0, 17, 40]
+    c = spark.createDataFrame([(k, i, of[i]) for k, i in enumerate(chosen)], "k int, id long, x array<int>")
+    c = c if medoids else c.drop("id")
+
+    def d(a, b):
+        v = edit.kernel(a, b, costs)
+        return 2 * v / (11.0 * (len(a) + len(b)) + v) if normalised else v
+
+    for r in assign.nearest2_edit(df, c, costs, normalised).collect():
+        if r["id"] == 99:
+            assert [r["a1"], r["d1"], r["a2"], r["d2"]] == [None] * 4
+            continue
+        want = sorted(((0 if medoids and i == r["id"] else 1, round(d(r["x"], of[i]), 9), k) for k, i in enumerate(chosen)))[:2]
+        assert [r["a1"], r["a2"]] == [w[2] for w in want] and [r["d1"], r["d2"]] == pytest.approx([w[1] for w in want])
+
+
+def test_batched_distances_equal_the_expression(spark):
+    rows, costs = sequences_with_tables()
+    df = spark.createDataFrame([(rows[i][1], rows[i + 1][1]) for i in range(20)] + [(rows[0][1], None), ([], [1, 2])], "a array<int>, b array<int>")
+    for normalised in (False, True):
+        got = df.select(edit.batched(costs, normalised)("a", "b").alias("x"), edit.distance(F.col("a"), F.col("b"), costs, normalised, strings=False).alias("y")).collect()
+        assert [r["x"] for r in got] == pytest.approx([r["y"] for r in got]) and got[20]["x"] is None
+    with pytest.raises(Exception, match="no cost of"):
+        spark.createDataFrame([([0, 1], [0, 7])], "a array<int>, b array<int>").select(edit.batched(costs)("a", "b")).collect()
+
+
+@pytest.mark.parametrize("algorithm,init", [("clarans", "kmeans++-2"), ("clarans", "kmeans++~2"), ("voronoi", "afk-mc2-3")])
+def test_clusters_of_integer_sequences_with_tables(spark, algorithm, init):
+    rows, costs = sequences_with_tables()
+    df = spark.createDataFrame(rows, "id long, x array<int>").cache()
+    c = Clusterer(K=3, algorithm=algorithm, level=0, metric="levenshtein", energy="identity", init=init, max_rounds=2, max_proposals=20, max_time=1e6)
+    r = c.sequences(df, costs)
+    centers = {m["k"]: m["x"] for m in r.medoids.collect()}
+    of = dict(rows)
+    for q in r.labels.collect():
+        assert q["d"] == pytest.approx(min(edit.kernel(of[q["id"]], x, costs) for x in centers.values()))
