@@ -1,7 +1,7 @@
 """Text sources and sinks: lines, FASTA records, cost files, labelled output.
 
-Files are read whole (each is one record of bounded size, as sequence files are) and joined by position, so ids follow
-the order of the files given and of the lines in them.
+Files are read by splits, so a file may be of any size. Lines are numbered by the splits' counts and their place in the
+split; ids follow the order of the files given and of the lines in them.
 """
 
 from __future__ import annotations
@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 
 from ..functions.edit import Costs
 
+#: Lines of a chunk: what a task sorts at a time. Only one row a chunk takes part in running sums over a file.
+CHUNK = 1 << 16
+
 
 def numbered_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(file, line, text): lines of the files in order; a last line without a line feed counts."""
+    """(file, line, text): lines of the files in order; a last line without a line feed counts. Carriage returns before
+    a line feed and blanks at the end of a line are left out."""
     parts = []
     for n, path in enumerate(files):
-        whole = spark.read.text(path, wholetext=True)
-        lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-        parts.append(lines.select(F.lit(n).alias("file"), "line", F.regexp_replace("text", " +$", "").alias("text")))
+        rows = spark.read.option("lineSep", "\n").text(path)
+        # row numbers grow along a split, and a split is read by one task
+        parts.append(rows.select(F.lit(n).alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", " *\r?$", "").alias("text")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    splits = out.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    at = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return out.join(F.broadcast(at), ["file", "start"]).select("file", (F.col("before") + F.col("row") - F.col("first")).alias("line"), "text")
 
 
 def is_fasta(lines: DataFrame) -> bool:
@@ -30,17 +37,19 @@ def is_fasta(lines: DataFrame) -> bool:
     return lines.where(F.col("text").startswith(">")).limit(1).count() > 0
 
 
+def _chunks(rows: DataFrame, *sums) -> tuple[DataFrame, DataFrame]:
+    """The rows with their chunk, and a table of the given aggregates by (file, chunk)."""
+    rows = rows.withColumn("chunk", F.floor(F.col("line") / CHUNK))
+    return rows, rows.groupBy("file", "chunk").agg(*sums)
+
+
 def _ids(rows: DataFrame) -> DataFrame:
-    """Ids 0, 1, ... in order of (file, line): offsets of the files from their counts, then ranks within a file."""
-    counts = {r["file"]: r["count"] for r in rows.groupBy("file").count().collect()}
-    starts, at = [], 0
-    for f in sorted(counts):
-        starts += [F.lit(f), F.lit(at)]
-        at += counts[f]
-    if not starts:
-        return rows.withColumn("id", F.lit(None).cast("long"))
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
-    return rows.withColumn("id", (rank + F.element_at(F.create_map(*starts), F.col("file"))).cast("long"))
+    """Ids 0, 1, ... in order of (file, line): offsets of the chunks from their counts, then ranks within a chunk."""
+    rows, counts = _chunks(rows, F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("file", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("file", "chunk").orderBy("line")) - 1
+    return rows.withColumn("rank", rank).join(starts, ["file", "chunk"]).withColumn("id", (F.col("rank") + F.col("before")).cast("long"))
 
 
 def sequences(lines: DataFrame) -> DataFrame:
@@ -58,9 +67,13 @@ def fasta(lines: DataFrame) -> DataFrame:
     name without content.
     """
     body = lines.where(~F.col("text").startswith("#"))
-    by_line = Window.partitionBy("file").orderBy("line")
-    flagged = body.withColumn("head", F.col("text").startswith(">"))
-    numbered = flagged.withColumn("record", F.sum(F.col("head").cast("int")).over(by_line)).withColumn("before", F.lag("text").over(by_line))
+    flagged, sums = _chunks(body.withColumn("head", F.col("text").startswith(">")), F.sum(F.col("head").cast("int")).alias("heads"), F.max_by("text", "line").alias("last"))
+    in_file = Window.partitionBy("file").orderBy("chunk")
+    heads = F.coalesce(F.sum("heads").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = sums.select("file", "chunk", heads.alias("heads"), F.lag("last").over(in_file).alias("last"))
+    in_chunk = Window.partitionBy("file", "chunk").orderBy("line")
+    ranked = flagged.withColumn("own", F.sum(F.col("head").cast("int")).over(in_chunk)).withColumn("above", F.lag("text").over(in_chunk))
+    numbered = ranked.join(carried, ["file", "chunk"]).withColumn("record", F.col("own") + F.col("heads")).withColumn("before", F.coalesce("above", "last"))
     numbered = numbered.withColumn("head_before", F.coalesce(F.col("before").startswith(">"), F.lit(False)))
     blank = F.col("text") == ""
     # a blank ends a record: content after it within the same record is an error

@@ -95,3 +95,25 @@ def test_images_joins_and_scales(spark, tmp_path):
 def test_round_log(spark):
     df = spark.createDataFrame([("R=0  mE=1.5  Tp=3",), ("other",), ("R=1\tmE=- nprops=4",)], "text string")
     assert sorted((r["r"], r["mE"]) for r in text.round_log(df).collect()) == [(0, 1.5), (1, -1.0)]
+
+
+def test_lines_over_many_splits_and_chunks(spark, tmp_path, monkeypatch):
+    lines = [f"line {i}" + " " * (i % 3) + "x" * (i % 7) for i in range(500)]
+    a, b = write(tmp_path, "a.txt", "\n".join(lines) + "\n"), tmp_path / "b.txt"
+    b.write_bytes("\r\n".join(lines[:50]).encode())
+    monkeypatch.setattr(text, "CHUNK", 7)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        got = [(r["file"], r["line"], r["text"]) for r in text.numbered_lines(spark, [a, str(b)]).orderBy("file", "line").collect()]
+        assert got == [(0, i, s.rstrip(" ")) for i, s in enumerate(lines)] + [(1, i, s.rstrip(" ")) for i, s in enumerate(lines[:50])]
+        assert text.numbered_lines(spark, [a]).rdd.getNumPartitions() > 10
+        seqs = text.read_sequences(spark, [str(b), a]).orderBy("id").collect()
+        assert [(r["id"], r["s"]) for r in seqs] == list(enumerate(s.rstrip(" ") for s in lines[:50] + lines))
+        fasta = write(tmp_path, "c.fa", "".join(f">g{i}\n" + "ac\n" * (i % 9 + 1) + "\n" * (i % 2) + "# no\n" for i in range(60)))
+        got = text.read_sequences(spark, [fasta, fasta]).orderBy("id").collect()
+        assert [(r["id"], r["name"], r["s"]) for r in got] == [(i, f"g{i % 60}", "AC" * (i % 60 % 9 + 1)) for i in range(120)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
