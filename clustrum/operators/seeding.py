@@ -62,8 +62,10 @@ def uniform_ids(samples: DataFrame, k: int, seed: int, purpose: str = "uniform",
 
 
 def literal(x):
-    """A sample's value as a literal: a string, or an array whose elements keep their type, as symbols of integer
-    sequences are looked up in cost tables."""
+    """A sample's value as a literal: a string, a sparse vector, or an array whose elements keep their type, as symbols of
+    integer sequences are looked up in cost tables."""
+    if isinstance(x, dict):
+        return F.map_from_arrays(F.array(*map(F.lit, x)).cast("array<bigint>"), F.array(*map(F.lit, x.values())).cast("array<double>"))
     return F.array(*map(F.lit, x)) if isinstance(x, (list, tuple)) else F.lit(x)
 
 
@@ -102,17 +104,18 @@ def kmeanspp_ids(samples: DataFrame, k: int, seed: int, energy: Energy, distance
         if step <= from_bins:
             pool = state.where(F.floor(uniform(seed, "bin", F.col("id")) * bins) == (step - 1) % bins)
         names = [f"p{c}" for c in range(candidates)]
-        drawn = pool.agg(*[F.min_by("id", race(weight, seed, "draw", step, c, F.col("id"))).alias(n) for c, n in enumerate(names)]).first()
-        picks = [drawn[n] for n in names if drawn[n] is not None]
+        drawn = pool.agg(*[F.min_by(F.struct("id", "x"), race(weight, seed, "draw", step, c, F.col("id"))).alias(n) for c, n in enumerate(names)]).first()
+        picks = [tuple(drawn[n]) for n in names if drawn[n] is not None]
         if not picks:
             if step <= from_bins:
                 from_bins = 0  # a bin without energy: go on with all samples
-                picks = [state.agg(F.min_by("id", race(weight, seed, "draw", step, 0, F.col("id")))).first()[0]]
-            if not picks or picks[0] is None:
+                again = state.agg(F.min_by(F.struct("id", "x"), race(weight, seed, "draw", step, 0, F.col("id")))).first()[0]
+                picks = [tuple(again)] if again is not None else []
+            if not picks:
                 return chosen + uniform_ids(samples, k - step, seed, "rest", tuple(chosen))
-        pick = picks[0] if len(picks) == 1 else _best(state, samples, picks, energy, distance)
+        pick, x = picks[0] if len(picks) == 1 else _best(state, picks, energy, distance)
         chosen.append(pick)
-        state = _closer(state, _vector(samples, pick), step, pick, distance)
+        state = _closer(state, x, step, pick, distance)
         if step % SETTLE_EVERY == 0:
             state = settled(state)
     return chosen
@@ -123,12 +126,11 @@ def _vector(samples: DataFrame, sample_id: int):
     return list(x) if isinstance(x, list) else x
 
 
-def _best(state: DataFrame, samples: DataFrame, picks: list[int], energy: Energy, distance) -> int:
-    """Of the candidates (in order drawn), the one whose joining lowers the energy most; a later one on ties."""
-    vectors = {i: _vector(samples, i) for i in set(picks)}
+def _best(state: DataFrame, picks: list[tuple], energy: Energy, distance) -> tuple:
+    """Of the candidates (id, x) in order drawn, the one whose joining lowers the energy most; a later one on ties."""
     e1 = energy.column(F.col("d1"))
-    gains = state.agg(*[F.sum(F.greatest(e1 - energy.column(distance(F.col("x"), literal(vectors[i]))), F.lit(0.0))).alias(f"g{c}") for c, i in enumerate(picks)]).first()
-    return max(((gains[c], c, i) for c, i in enumerate(picks)))[2]
+    gains = state.agg(*[F.sum(F.greatest(e1 - energy.column(distance(F.col("x"), literal(x))), F.lit(0.0))).alias(f"g{c}") for c, (_, x) in enumerate(picks)]).first()
+    return picks[max((gains[c], c) for c in range(len(picks)))[1]]
 
 
 def afkmc2_ids(samples: DataFrame, k: int, chain: int, seed: int, energy: Energy, distance) -> list[int]:

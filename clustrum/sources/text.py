@@ -15,21 +15,27 @@ from ..functions.edit import Costs
 CHUNK = 1 << 16
 
 
+def numbered(rows: DataFrame, within_file: bool = True) -> DataFrame:
+    """Rows (file, start, row, ...) of file splits with their place, `line`, in the file or in all files, from 0. `row`
+    grows by one along a split, as monotonically_increasing_id does, since one task reads a split."""
+    splits = rows.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("file").orderBy("start") if within_file else Window.orderBy("file", "start")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = splits.select("file", "start", (before - F.col("first")).alias("shift"))
+    return rows.join(F.broadcast(at), ["file", "start"]).withColumn("line", F.col("row") + F.col("shift")).drop("start", "row", "shift")
+
+
 def numbered_lines(spark: SparkSession, files: list[str]) -> DataFrame:
     """(file, line, text): lines of the files in order; a last line without a line feed counts. Carriage returns before
     a line feed and blanks at the end of a line are left out."""
     parts = []
     for n, path in enumerate(files):
         rows = spark.read.option("lineSep", "\n").text(path)
-        # row numbers grow along a split, and a split is read by one task
-        parts.append(rows.select(F.lit(n).alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", " *\r?$", "").alias("text")))
+        parts.append(rows.select(F.lit(n).alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", " *\\r?$", "").alias("text")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    splits = out.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    at = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return out.join(F.broadcast(at), ["file", "start"]).select("file", (F.col("before") + F.col("row") - F.col("first")).alias("line"), "text")
+    return numbered(out).select("file", "line", "text")
 
 
 def is_fasta(lines: DataFrame) -> bool:

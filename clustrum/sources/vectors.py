@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import numbered
+
+def _in_order(rows: DataFrame, x: Column) -> DataFrame:
+    """(id, x): ids 0, 1, ... in the order of the files' names and of the lines in them."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")]
+    return numbered(rows.select(*place, x.alias("x")), within_file=False).select(F.col("line").alias("id"), "x")
+
+
 
 def dense(df: DataFrame, id_column: str, *columns: str) -> DataFrame:
     """From one array column, or from several numeric ones."""
@@ -27,18 +35,18 @@ def sparse_long(df: DataFrame, id_column: Column, index: Column, value: Column)
 
 
 def read_table(spark: SparkSession, path: str, header: bool = True, skip: int = 1, sep: str = ",") -> DataFrame:
-    """(id, x) of a delimited file without its first `skip` columns; `?` and blanks are 0. Ids are the line order
-    Spark reads, so one file is one partition's order."""
+    """(id, x) of a delimited file without its first `skip` columns; `?` and blanks are 0. Ids are places of
+    the rows, from 0."""
     raw = spark.read.csv(path, header=header, sep=sep, nullValue="?")
     x = F.array(*[F.coalesce(F.expr(f"try_cast(`{c}` AS double)"), F.lit(0.0)) for c in raw.columns[skip:]])
-    return raw.select(F.monotonically_increasing_id().alias("id"), x.alias("x"))
+    return _in_order(raw, x)
 
 
 def read_indexed(spark: SparkSession, path: str) -> DataFrame:
-    """(id, x) of lines `[label] i:v i:v ...`."""
+    """(id, x) of lines `[label] i:v i:v ...`; ids are places of the lines that are not blank, from 0."""
     entries = F.filter(F.split(F.trim("value"), r"\s+"), lambda e: e.contains(":"))
     pairs = F.transform(entries, lambda e: F.struct(F.split(e, ":")[0].cast("bigint").alias("key"), F.split(e, ":")[1].cast("double").alias("value")))
-    return spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("id"), F.map_from_entries(pairs).alias("x"))
+    return _in_order(spark.read.text(path).where(F.trim("value") != ""), F.map_from_entries(pairs))
 
 
 def projected(samples: DataFrame, dimensions: int, seed: int = 0) -> DataFrame:

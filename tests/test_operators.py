@@ -335,3 +335,14 @@ def test_clusters_of_integer_sequences_with_tables(spark, algorithm, init):
     of = dict(rows)
     for q in r.labels.collect():
         assert q["d"] == pytest.approx(min(edit.kernel(of[q["id"]], x, costs) for x in centers.values()))
+
+
+@pytest.mark.parametrize("init", ["kmeans++", "kmeans++-2", "kmeans++~2", "afk-mc2-3", "uniform"])
+def test_sparse_vectors_with_each_seeding(spark, init):
+    rows = [(i, {j: float((i * 7 + j * 3) % 5 + 1) for j in range(i % 4)}) for i in range(40)]  # some are empty
+    df = spark.createDataFrame(rows, "id long, x map<bigint,double>").cache()
+    r = Clusterer(K=3, init=init, max_rounds=2, max_proposals=10, max_time=1e6, level=0).sparse(df)
+    centers, of = [m["x"] for m in r.medoids.collect()], dict(rows)
+    far = lambda a, b: sum((a.get(j, 0) - b.get(j, 0)) ** 2 for j in {*a, *b}) ** 0.5
+    for q in r.labels.collect():
+        assert q["d"] == pytest.approx(min(far(of[q["id"]], c) for c in centers))

@@ -117,3 +117,17 @@ def test_lines_over_many_splits_and_chunks(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
         spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+
+
+def test_vector_files_over_many_splits(spark, tmp_path):
+    table = write(tmp_path, "t.csv", "name,a,b\n" + "".join(f"n{i},{i},?\n" for i in range(200)))
+    indexed = write(tmp_path, "i.txt", "\n".join(f"1 0:{i} 5:2" for i in range(200)) + "\n\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        assert [(r["id"], r["x"]) for r in vectors.read_table(spark, table).orderBy("id").collect()] == [(i, [float(i), 0.0]) for i in range(200)]
+        assert [(r["id"], r["x"]) for r in vectors.read_indexed(spark, indexed).orderBy("id").collect()] == [(i, {0: float(i), 5: 2.0}) for i in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
