@@ -136,3 +136,13 @@ def _arrow_schema(struct):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def duckdb_crc32(text: str) -> str:
+    """crc32 of a VARCHAR of ASCII characters in DuckDB, byte by byte over a table made by rule."""
+    entries = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        entries.append(i)
+    return f"xor(list_reduce([ascii(c)::BIGINT FOR c IN string_split({text}, '')], lambda acc, b: xor(acc >> 8, ({entries}::BIGINT[])[(xor(acc, b) & 255) + 1]), 4294967295), 4294967295)"

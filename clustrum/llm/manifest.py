@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, remainder, settled, table
+from .common import duckdb_crc32, forget, remainder, settled, table
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: What an empty path entry says: the node is alone in its run.
@@ -139,23 +139,13 @@ def op13_query(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-def _crc(text: str) -> str:
-    """crc32 of a VARCHAR of ASCII characters in DuckDB, byte by byte over a table made by rule."""
-    entries = []
-    for i in range(256):
-        for _ in range(8):
-            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
-        entries.append(i)
-    return f"xor(list_reduce([ascii(c)::BIGINT FOR c IN string_split({text}, '')], lambda acc, b: xor(acc >> 8, ({entries}::BIGINT[])[(xor(acc, b) & 255) + 1]), 4294967295), 4294967295)"
-
-
 def _field(name: str) -> str:
     return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
 
 
 ORACLE = f"""
 WITH RECURSIVE leaves AS MATERIALIZED (SELECT doc_id, lang AS g, sha256({" || ".join(map(_field, FIELDS))}) AS leaf,
-    CASE WHEN {_crc("doc_id::VARCHAR")} % 7 = 0 THEN sha256({" || ".join(_field("(n_chars + 1)" if c == "n_chars" else c) for c in FIELDS)}) END AS changed,
+    CASE WHEN {duckdb_crc32("doc_id::VARCHAR")} % 7 = 0 THEN sha256({" || ".join(_field("(n_chars + 1)" if c == "n_chars" else c) for c in FIELDS)}) END AS changed,
     row_number() OVER (PARTITION BY lang ORDER BY doc_id, sha256({" || ".join(map(_field, FIELDS))})) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents),
 low AS (SELECT 0 AS lvl, g, pos, n, leaf AS node FROM leaves
     UNION ALL SELECT max(lvl) + 1, g, pos // 2, max((n + 1) // 2), sha256(string_agg(node, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY g, pos // 2),
