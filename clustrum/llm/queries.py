@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, language, licenses, manifest, maxent, mixing, quality, runs, secrets, toxicity, vectors
+from . import bpe, jaccard, language, licenses, manifest, maxent, mixing, quality, repeats, runs, secrets, toxicity, vectors
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op8_bpe_round_trip": bpe.op8_query,
         "op9_secret_scan": secrets.op9_query,
         "op10_toxicity": toxicity.op10_query,
+        "op11_repeated_bytes": repeats.op11_query,
         "op12_periodic_runs": runs.op12_query,
         "op13_merkle_manifest": manifest.op13_query,
         "pipeline": pipeline,
@@ -35,6 +36,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard_join": jaccard.ORACLE,
         "op6_source_mixing": mixing.ORACLE,
         "op7_near_vectors": vectors.ORACLE,
+        "op11_repeated_bytes": repeats.ORACLE,
         "op12_periodic_runs": runs.ORACLE,
         "op13_merkle_manifest": manifest.ORACLE,
     }
