@@ -4,7 +4,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from clustrum.llm import bpe, jaccard, language, licenses, maxent, mixing, quality, secrets, toxicity, vectors
+from clustrum.llm import bpe, jaccard, language, licenses, manifest, maxent, mixing, quality, repeats, runs, secrets, toxicity, vectors
 
 OPERATORS = {
     "quality": lambda d, l: quality.quality_rules(d, l),
@@ -16,6 +16,9 @@ OPERATORS = {
     "bpe": lambda d, l: bpe.bpe_round_trip(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
     "secrets": lambda d, l: secrets.secret_scan(d),
     "toxicity": lambda d, l: toxicity.toxicity(d, l),
+    "repeats": lambda d, l: repeats.remove_repeats(d),
+    "runs": lambda d, l: runs.periodic_runs(d),
+    "manifest": lambda d, l: manifest.manifest(d),
 }
 
 
