@@ -35,7 +35,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = squared(x, centers).argmin(1)
+        near = np.concatenate([squared(x[i : i + CHUNK], centers).argmin(1) for i in range(0, len(x), CHUNK)])
         sums = np.zeros_like(centers)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)
@@ -141,8 +141,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     vectors are one class, expanded into counts only. Codewords of a half grow with the root of the vectors, to about
     `per_cell` vectors a cell, up to MOST_CODEWORDS; they are fitted on about `sample_rows` vectors, or PER_CODEWORD for
     each codeword if that is more, and the visits calibrated on 2048 of these, chosen at random (documented bounds).
-    Every vector is indexed. Rows of one vec_id are vectors of their own; a null vec_id is no component's name unless
-    all of a component's are null.
+    Every vector is indexed. Rows of one vec_id are vectors of their own, told apart by their values; components that do not
+    meet may so have one name. A null vec_id is no component's name unless all of a component's are null.
     """
     rows = settled(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")))
     sound = (
@@ -150,7 +150,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
         & F.coalesce(F.exists("x", lambda v: v != 0), F.lit(False))
     )
     good = rows.where(sound).withColumn("x", F.transform("x", lambda v: v + F.lit(0.0)))
-    classes = settled(good.groupBy("x").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    classes = settled(good.groupBy("x").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
     results = []
     for size in [r["d"] for r in classes.select(F.size("x").alias("d")).distinct().orderBy("d").collect()]:
         results.append(_linked(classes.where(F.size("x") == size), threshold, recall, sample_rows, per_cell))
@@ -160,18 +160,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     for c, e in results[1:]:
         counts, edges = counts.union(c), edges.union(e)
     grown = connected(edges)
-    by_class = classes.join(counts, "id", "left").join(grown, "id", "left").select("x", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = good.join(by_class, "x").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    placed = settled(classes.join(counts, "id", "left").join(grown, "id", "left").select("x", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))  # nulls name nothing
+    by_class = placed.join(names, "component").select("x", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    linked = good.join(by_class, "x").select("vec_id", "n_links", "component_id")
     alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())
     return linked.union(alone).select("vec_id", "n_links", "component_id", kept.alias("kept"))
 
 
 def _linked(classes: DataFrame, threshold: float, recall: float, sample_rows: int, per_cell: int):
-    """(id, links) and (a, b) edges among classes (x, id, n) of one vector length."""
+    """(id, links) and (a, b) edges among classes (x, id, n) of one vector length; id is a number of the class alone."""
     total = classes.count()
     k = int(np.clip(np.ceil((total / per_cell) ** 0.5), 1, MOST_CODEWORDS))
-    sample = unit(sampled(classes, F.col("id"), total, max(sample_rows, PER_CODEWORD * k)).orderBy("id").select("x").toPandas()["x"])
+    sample = unit(sampled(classes, F.col("x"), total, max(sample_rows, PER_CODEWORD * k)).orderBy("x").select("x").toPandas()["x"])
     index = MultiIndex(sample, k, threshold, recall)
 
     def work(ids, ns, xs):
@@ -182,7 +184,7 @@ def _linked(classes: DataFrame, threshold: float, recall: float, sample_rows: in
         return [np.repeat(ids, k).tolist(), np.repeat(ns, k).tolist(), [x for x in xs for _ in range(k)], visited.ravel().tolist(), list(range(k)) * len(ids), [v for v in visited.tolist() for _ in range(k)]]
 
     # rank 0 is the vector's own cell: there it is both a member and a probe
-    visits = map_columns(classes.select("id", "n", "x"), work, "id long, n long, x array<double>, cell int, rank int, visited array<int>")
+    visits = map_columns(classes.select("id", "n", "x"), work, "id long, n long, x array<double>, cell int, rank int, visited array<int>", rows=256)
     sizes = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("probes"), F.sum((F.col("rank") == 0).cast("long")).alias("members")).where("members > 0")
     chunks = sizes.select("cell", F.ceil(F.col("probes") / CHUNK).alias("pc"), F.ceil(F.col("members") / CHUNK).alias("mc"))
     placed = visits.join(F.broadcast(chunks) if k * k <= BROADCAST_CELLS else chunks, "cell")

@@ -1,5 +1,6 @@
 """Every operator on messy tables and on empty ones: as many rows as came in, and nothing crashes."""
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +42,25 @@ def test_vectors_messy_and_empty(spark):
             (9, 1, 8, False), (10, 2, 10, True), (10, 2, 10, True), (11, 0, 11, True), (12, 0, 12, True), (13, 2, 10, False)]
     assert got == want
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_of_repeated_and_null_ids(spark):
+    """n_links and component_id by brute force over rows, whatever their ids; ids above 2 ** 53 stay whole."""
+    big = 2**60 + 1
+    sets = [
+        [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01])],
+        [(None, [-1.0, 0.0]), (7, [-1.0, 0.01]), (8, [0.0, 1.0])],
+        [(None, [1.0, 0.0]), (None, [1.0, 0.02]), (None, [0.0, 1.0]), (big, [0.0, -1.0]), (big + 1, [0.01, -1.0]), (big, [-1.0, 0.0])],
+        [(5, [1.0, 0.0]), (5, [1.0, 0.1]), (5, [1.0, 0.2]), (3, [1.0, 0.3]), (5, [0.0, 1.0]), (5, [0.0, 1.0])],
+    ]
+    for rows in sets:
+        x = np.array([r[1] for r in rows])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        link = x @ x.T >= 0.95
+        reach = np.linalg.matrix_power(link.astype(int), len(rows)) > 0
+        want = []
+        for i, (vec_id, _) in enumerate(rows):
+            name = min((rows[j][0] for j in np.flatnonzero(reach[i]) if rows[j][0] is not None), default=None)
+            want.append((vec_id, int(link[i].sum()) - 1, name, vec_id == name))
+        got = [tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
