@@ -14,7 +14,9 @@ for chance; where one has not, its band is done again with a part for each token
 
 Candidates whose sizes or bitwise sketches (Hamming distance again) exceed the bound are dropped, the others verified
 on the sets themselves. Equal sets are one class from the start. Within a piece, members are first verified against
-one head; then only members of different components are compared. No group is expanded into all of its pairs.
+one head; then only members of different components are compared. Where that would still be many pairs, as of texts that
+share a template but not enough of it, the members meet on single tokens by their sizes (`sized_pieces`), on which such
+texts share nothing that they may not leave out. No group is expanded into all of its pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +41,10 @@ LEAST_SHARED = 0.74
 BITS = 1024
 #: Up to so many ids (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 400_000
+#: A piece with more pairs than this across its components is hot: its members meet on single tokens by their sizes instead.
+HOT_PAIRS = 100_000
+#: Sizes up to EXACT are size classes of their own, larger ones share one with sizes up to GROWTH times theirs.
+EXACT, GROWTH = 32, 1.04
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -227,6 +233,65 @@ def members_of_pieces(heads: DataFrame, texts: DataFrame, threshold: float, widt
     return members
 
 
+def class_of(n: int) -> int:
+    """The size class of sets of n: n itself, or a range of sizes."""
+    c = n if n <= EXACT else EXACT + max(1, math.floor(math.log(n / EXACT, GROWTH)))
+    while least_of(c + 1) <= n:
+        c += 1
+    while least_of(c) > n:
+        c -= 1
+    return c
+
+
+def least_of(c: int) -> int:
+    """The smallest size of a class."""
+    return c if c <= EXACT + 1 else max(c, math.ceil(EXACT * GROWTH ** (c - EXACT)))
+
+
+def sized_pieces(rows: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(piece, row, cls, other) of the sets of rows: single tokens on which a set meets those of the size class `other`.
+
+    Two sets of n and m tokens that link share S(n, m) = t / (1 + t) (n + m) of them, so each may leave out the S - 1
+    that most of these sets have. As S is that of the sizes at hand, not of the smallest partner, sets that share less,
+    a template for instance, leave out all that they share, and do not meet.
+    """
+    hashes = WordHashes()
+
+    def work(rows, texts):
+        out: list[list] = [[], [], [], []]
+        for row, text in zip(rows, texts):
+            s = shingles(text, hashes, width)
+            n = len(s)
+            own = class_of(n)
+            for c in range(class_of(max(1, math.ceil(threshold * n - 1e-9))), class_of(int(n / threshold + 1e-9)) + 1):
+                least = max(least_of(c), math.ceil(threshold * n - 1e-9))
+                for to, v in zip(out, (row, own, c, max(0, math.ceil(threshold / (1 + threshold) * (n + least) - 1e-9) - 1))):
+                    to.append(v)
+        return out
+
+    def tokens(rows, texts):
+        found = [shingles(t, hashes, width).view(np.int64) for t in texts]
+        return [np.repeat(np.array(rows, np.int64), [len(f) for f in found]), np.concatenate([NONE, *found])]
+
+    own = settled(texts.join(rows, "row", "left_semi"))
+    keyed = settled(map_columns(own, tokens, "row long, token long", rows=64))
+    times = settled(keyed.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    most = Window.partitionBy("row").orderBy(F.desc("times"), "token")
+    ranked = keyed.join(times, "token").withColumn("rank", F.row_number().over(most)).select("row", "token", "rank")
+    partners = map_columns(own, work, "row long, cls int, other int, spare int")
+    pairs = F.least("cls", "other"), F.greatest("cls", "other")
+    out = settled(ranked.join(partners, "row").where("rank > spare").select(F.xxhash64("token", *pairs).alias("piece"), "row", "cls", "other"))
+    forget(own, keyed, times)
+    return out
+
+
+def _split(placed: DataFrame) -> DataFrame:
+    """(piece, members, same, most): pieces whose members are of several components, the one that most are of and how many these are."""
+    parts = placed.groupBy("piece", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("piece").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
+    return whole.where("components > 1").select("piece", "members", F.col("top.n").alias("same"), F.col("top.component").alias("most"))
+
+
 def _components(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
     """Of (row, doc_id, text): (row, doc_id, n, h1, h2) of all rows, and (n, h1, h2, class_row, class_id, component_row,
     component_id) of each distinct set; a row names the least row, an id the least doc_id (null if all are)."""
@@ -253,11 +318,18 @@ def _components(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, D
 
     # what the heads did not join: members of a piece that are in different components so far
     placed = members.join(grown, F.col("row") == F.col("id"), "left").select("piece", "row", F.coalesce("component", "row").alias("component"))
-    by_part = placed.groupBy("piece", "component").count()
-    split = by_part.groupBy("piece").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", "count").alias("most")).where("low <> high").select("piece", "most")
-    mixed_up = settled(placed.join(split, "piece").join(card, "row").select("piece", "row", "component", "most", "n", "bits"))
+    placed = placed.withColumn("cls", F.lit(0)).withColumn("other", F.lit(0))
+    split = settled(_split(placed))
+    hot = split.where((F.col("members") - F.col("same")) * F.col("members") > HOT_PAIRS)
+    meeting = placed.join(split.where((F.col("members") - F.col("same")) * F.col("members") <= HOT_PAIRS).select("piece", "most"), "piece")
+    hot_rows = settled(placed.join(hot.select("piece"), "piece").select("row", "component").distinct())
+    if hot_rows.limit(1).count():
+        sized = settled(sized_pieces(hot_rows.select("row"), texts, threshold, width).join(hot_rows, "row").select("piece", "row", "component", "cls", "other"))
+        meeting = meeting.unionByName(sized.join(_split(sized).select("piece", "most"), "piece"))
+    mixed_up = settled(meeting.join(card, "row").select("piece", "row", "component", "most", "cls", "other", "n", "bits"))
     x, y = mixed_up.where("component <> most").alias("x"), mixed_up.alias("y")
-    across = x.join(y, (F.col("x.piece") == F.col("y.piece")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y", threshold))
+    meet = (F.col("x.piece") == F.col("y.piece")) & (F.col("x.cls") == F.col("y.other")) & (F.col("x.other") == F.col("y.cls"))
+    across = x.join(y, meet & (F.col("x.component") != F.col("y.component")) & _near("x", "y", threshold))
     across = across.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = _verified(across, texts, percent, width)
     joined = connected(links.union(more)) if more.limit(1).count() else grown

@@ -120,6 +120,52 @@ def test_a_boilerplate_shingle_makes_no_candidates(spark, monkeypatch):
     assert seen[0].select("row").distinct().count() == 80
 
 
+def test_size_classes():
+    for n in [*range(1, 3000), 10**4, 10**6]:
+        c = jaccard.class_of(n)
+        assert jaccard.least_of(c) <= n < jaccard.least_of(c + 1)
+        assert c == n or jaccard.least_of(c + 1) <= 1.04 * jaccard.least_of(c) + 1
+
+
+@pytest.mark.parametrize("n", [4, 8, 40, 200])
+def test_linked_sets_meet_on_tokens_by_their_sizes(spark, monkeypatch, n):
+    """All pieces hot: groups of all similarities around the threshold, against all pairs."""
+    monkeypatch.setattr(jaccard, "HOT_PAIRS", 0)
+    rng = random.Random(n)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(n + 4)]
+        texts.append(base)
+        for _ in range(5):
+            t = list(base)
+            for _ in range(rng.randrange(1 + n // 20)):
+                t[rng.randrange(len(t))] = word()
+            texts.append(t[: len(t) - rng.randrange(1 + n // 3)] + [word() for _ in range(rng.randrange(1 + n // 6))])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    s = {i: sets(t) for i, t in rows}
+    want = components([(i, s[i]) for i, _ in rows], lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("shared, own", [(7, 1), (60, 13), (250, 60)])
+def test_a_template_that_is_most_of_a_text_makes_few_candidates(spark, monkeypatch, shared, own):
+    """Texts that share most of their words, but under the threshold: pairs stay in proportion to the texts."""
+    rng = random.Random(2)
+    template = [f"t{i}" for i in range(shared)]
+    many = 4000 if shared < 10 else 1000
+    rows = [(i, " ".join([*template, *(f"u{i}x{j}" for j in range(own))])) for i in range(many)]
+    rows += [(many, rows[5][1] + " a"), (many + 1, rows[7][1])] if shared > 10 else [(many, rows[7][1])]
+    seen = []
+    inner = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: seen.append(pairs.count()) or inner(pairs, *a))
+    out = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    linked = {(r["doc_id"], r["component_id"]) for r in out.where("doc_id <> component_id").collect()}
+    assert linked == ({(many, 5), (many + 1, 7)} if shared > 10 else {(many, 7)})
+    assert max(seen) <= 4 * len(rows)
+
+
 def test_bands_with_too_few_pieces_are_done_again(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LOAD", (9.0, 9.0))  # so full parts that most sets have too few
     rng = random.Random(12)
