@@ -29,3 +29,18 @@ def uniform_value(*parts) -> float:
 def race(weight: Column, *parts) -> Column:
     """Arrival time in an exponential race: null (never) where the weight is 0."""
     return -F.log(uniform(*parts)) / F.nullif(weight, F.lit(0.0))
+
+
+PRIME = 2147483647
+
+
+def row_hash(seed, row_id: Column) -> Column:
+    """A row's own number below PRIME, from which any number of orders of the rows can be made without hashing again."""
+    return F.pmod(F.conv(F.substring(key(seed, "row", row_id), 1, 8), 16, 10).cast("long"), F.lit(PRIME))
+
+
+def order_of(h, *parts):
+    """Where a row of hash h (a column or an array) stands in the order named by the parts: a * h + b modulo PRIME."""
+    named = hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    a, b = 1 + int(named[:8], 16) % (PRIME - 1), int(named[8:16], 16) % PRIME
+    return (h * F.lit(a) + F.lit(b)) % F.lit(PRIME) if isinstance(h, Column) else (h * a + b) % PRIME

@@ -19,12 +19,101 @@ from ..functions.metrics import Metric
 STATE = "id long, x array<double>, a1 int, d1 double, a2 int, d2 double"
 
 
-def nearest2_dense(samples: DataFrame, centers: DataFrame, metric: str = "l2") -> DataFrame:
+class Centers:
+    """K centers as a matrix, ready to find the two nearest of each row of a block.
+
+    From PRUNE_FROM centers on they are grouped around root(K) pivots of their own (each next one the farthest from those
+    before). A group is looked into by those rows only to which it can be nearer than the second-least distance so far:
+    no member of it is nearer than the pivot's distance less the group's radius. `n_dist` counts distances computed.
+    """
+
+    PRUNE_FROM = 64
+    SLACK = 1e-9
+
+    def __init__(self, c: np.ndarray, metric: Metric, own: dict[int, int] | None = None, pruned: bool = True):
+        self.c, self.metric, self.own, self.n_dist = c, metric, own or {}, 0
+        self.groups: list[np.ndarray] = []
+        if pruned and len(c) >= self.PRUNE_FROM:
+            self._group()
+
+    def _group(self) -> None:
+        pivots, many = [0], int(np.ceil(len(self.c) ** 0.5))
+        near = self.metric.kernel(self.c, self.c[:1])[:, 0]
+        home = np.zeros(len(self.c), int)
+        while len(pivots) < many and near.max() > 0:
+            pivots.append(int(near.argmax()))
+            d = self.metric.kernel(self.c, self.c[pivots[-1:]])[:, 0]
+            home[d < near] = len(pivots) - 1
+            near = np.minimum(near, d)
+        self.pivots = np.array(pivots)
+        self.groups = [np.flatnonzero(home == g) for g in range(len(pivots))]
+        self.radius = np.array([near[g].max(initial=0.0) for g in self.groups])
+
+    def two_nearest(self, ids, x: np.ndarray):
+        """(index, distance) of the nearest center, and of the second, of the rows of x; the lowest index on ties, but a
+        medoid's own center is its nearest. With one center the second are None."""
+        if not self.groups:
+            return self._all(ids, x)
+        one, d1, two, d2 = self._pruned(x)
+        if self.own:
+            mine = np.flatnonzero(np.isin(ids, list(self.own)))
+            if len(mine):
+                for to, v in zip((one, d1, two, d2), self._all(np.asarray(ids)[mine], x[mine])):
+                    to[mine] = v
+        return one, d1, two, d2
+
+    def _all(self, ids, x):
+        d = self.metric.kernel(x, self.c)
+        self.n_dist += d.size
+        order = d.copy()
+        for row, i in enumerate(np.asarray(ids).tolist()) if self.own else ():
+            if i in self.own:
+                order[row, self.own[i]] = -1.0
+        at = np.arange(len(d))
+        one = order.argmin(1)
+        first = d[at, one]
+        if len(self.c) == 1:
+            return one, first, None, None
+        order[at, one] = np.inf
+        two = order.argmin(1)
+        return one, first, two, d[at, two]
+
+    def _pruned(self, x):
+        n, top = len(x), min(2, len(self.pivots))
+        to_pivots = self.metric.kernel(x, self.c[self.pivots])
+        self.n_dist += to_pivots.size
+        home = to_pivots.argmin(1)
+        k = np.full((n, 2), len(self.c))
+        d = np.full((n, 2), np.inf)
+        # pivots are centers: the second-least distance to them is a limit from the start
+        limit = np.partition(to_pivots, 1, axis=1)[:, 1] if top == 2 else np.full(n, np.inf)
+        for at_home in (True, False):
+            for g, members in enumerate(self.groups):
+                if at_home:
+                    rows = np.flatnonzero(home == g)
+                else:
+                    rows = np.flatnonzero((home != g) & (to_pivots[:, g] - self.radius[g] <= limit * (1 + self.SLACK) + 1e-300))
+                if not len(rows):
+                    continue
+                found = self.metric.kernel(x[rows], self.c[members])
+                self.n_dist += found.size
+                many = min(2, len(members))
+                best = np.argsort(found, 1, kind="stable")[:, :many] if len(members) > 2 else np.tile(np.arange(many), (len(rows), 1))
+                kk = np.concatenate([k[rows], members[best]], 1)
+                dd = np.concatenate([d[rows], np.take_along_axis(found, best, 1)], 1)
+                order = np.lexsort((kk, dd), axis=1)[:, :2]
+                k[rows], d[rows] = np.take_along_axis(kk, order, 1), np.take_along_axis(dd, order, 1)
+            limit = np.minimum(limit, d[:, 1])
+        return k[:, 0], d[:, 0], k[:, 1], d[:, 1]
+
+
+def nearest2_dense(samples: DataFrame, centers: DataFrame, metric: str = "l2", counted=None) -> DataFrame:
     """The state of dense samples (id, x): row-local in Arrow batches, no shuffle. Ties go to the lowest k; a medoid
     (centers with an `id`) belongs to itself. With one center a2 and d2 are null. A null vector, or one with a null or
     NaN component, has no distance: its four columns are null. A vector of another length than the centers' is an error.
 
-    The centers go to every task, as K rows of the vectors' length: the model, not the data.
+    The centers go to every task, as K rows of the vectors' length: the model, not the data. Many centers are pruned in
+    groups by the triangle inequality. `counted`, an accumulator, gets the number of distances computed.
     """
     rows = sorted(centers.collect(), key=lambda r: r["k"])
     if not rows:
@@ -33,23 +122,8 @@ def nearest2_dense(samples: DataFrame, centers: DataFrame, metric: str = "l2") -
     own = {r["id"]: i for i, r in enumerate(rows)} if "id" in centers.columns else {}
     m = Metric(metric)
 
-    def near(ids, x):
-        """a1, d1, a2, d2 of vectors that are all sound."""
-        d = m.kernel(x, c)
-        order = d.copy()
-        for row, i in enumerate(ids) if own else ():
-            if i in own:
-                order[row, own[i]] = -1.0
-        at = np.arange(len(d))
-        one = order.argmin(1)
-        first = d[at, one]
-        if len(ks) == 1:
-            return ks[one], first, None, None
-        order[at, one] = np.inf
-        two = order.argmin(1)
-        return ks[one], first, ks[two], d[at, two]
-
     def run(batches):
+        near = Centers(c, m, own)
         for batch in batches:
             ids, x = batch.column(0), batch.column(1)
             sizes = pc.list_value_length(x)
@@ -60,18 +134,22 @@ def nearest2_dense(samples: DataFrame, centers: DataFrame, metric: str = "l2") -
             flat = filled.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, c.shape[1])  # nulls are NaN
             sound = ~np.isnan(flat).any(1) if len(flat) else np.zeros(0, bool)
             where = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))[sound]
-            found = near(np.asarray(ids)[where].tolist() if own else (), flat[sound]) if len(where) else (None,) * 4
+            found = near.two_nearest(np.asarray(ids)[where] if own else (), flat[sound]) if len(where) else (None,) * 4
             out = [ids, x]
-            for v, kind in zip(found, (pa.int32(), pa.float64()) * 2):
+            for j, (v, kind) in enumerate(zip(found, (pa.int32(), pa.float64()) * 2)):
                 if v is None:
                     out.append(pa.nulls(batch.num_rows, kind))
-                elif len(where) == batch.num_rows:
+                    continue
+                v = ks[v] if j % 2 == 0 else v
+                if len(where) == batch.num_rows:
                     out.append(pa.array(v, kind))
                 else:
                     place = np.full(batch.num_rows, -1)
                     place[where] = np.arange(len(where))
                     out.append(pa.array(v, kind).take(pa.array(place, pa.int64(), mask=place < 0)))
             yield pa.RecordBatch.from_arrays(out, names=["id", "x", "a1", "d1", "a2", "d2"])
+        if counted is not None:
+            counted.add(near.n_dist)
 
     return samples.select(F.col("id").cast("long"), F.col("x").cast("array<double>")).mapInArrow(run, STATE)
 

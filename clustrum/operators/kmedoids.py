@@ -10,102 +10,18 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import key, uniform, uniform_value
 from ..functions.energy import Energy
-from ..functions.metrics import Metric
-from ..session import settled
-from . import seeding
+from ..session import forget, settled
 from .assign import mean_energy
+from .swaps import ColumnSearch, DenseSearch, shares
 
 
 BLOCK = 1024
 
 
-def proposals(state: DataFrame, medoid_ids: list[int], ordinals: list[int], seed: int) -> DataFrame:
-    """(p, k, id, x): for each ordinal a cluster, uniform, and a sample that is no medoid, uniform, that would replace its medoid."""
-    k = len(medoid_ids)
-    free = state.where(~F.col("id").isin(medoid_ids))
-    row = free.agg(*[F.min_by("id", key(seed, "sample", p, F.col("id"))).alias(f"p{p}") for p in ordinals]).first()
-    spark = state.sparkSession
-    plan = [(p, int(uniform_value(seed, "cluster", p) * k), row[f"p{p}"]) for p in ordinals if row[f"p{p}"] is not None]
-    drawn = spark.createDataFrame(plan, "p int, k int, id long")
-    return drawn.join(state.select("id", "x"), "id").select("p", "k", "id", "x")
-
-
-def swap_deltas(state: DataFrame, proposed: DataFrame, energy: Energy, distance) -> DataFrame:
-    """(p, delta): change of the total energy if sample x took the place of medoid k, exact over all samples.
-
-    Members of k fall back to their second center, others keep their first, and each may move to the proposed one;
-    medoids are rows with d1 = 0, so the replaced medoid's own cost is part of the sum.
-    """
-    offered = F.broadcast(proposed.select("p", F.col("k").alias("pk"), F.col("x").alias("px")))  # a batch of proposals
-    stay = F.when(F.col("a1") == F.col("pk"), F.col("d2")).otherwise(F.col("d1"))
-    dp = distance(F.col("x"), F.col("px"))
-    after = energy.column(F.least(stay, dp))  # least ignores the null d2 of a single cluster
-    return state.crossJoin(offered).groupBy("p").agg(F.sum(after - energy.column(F.col("d1"))).alias("delta"))
-
-
-def swap_deltas_dense(state: DataFrame, proposed: DataFrame, energy: Energy, metric: str) -> DataFrame:
-    """The same for dense vectors: a NumPy matrix of samples by proposals for each Arrow batch, and one partial sum a
-    proposal for each task. Samples without a center (null or NaN vectors) add nothing."""
-    offers = proposed.select("p", "k", "x").orderBy("p").collect()  # a batch of proposals
-    p, k, m = np.array([o["p"] for o in offers]), np.array([o["k"] for o in offers]), Metric(metric)
-    c = np.array([o["x"] for o in offers], float)
-
-    def run(batches):
-        total = np.zeros(len(p))
-        for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            if not batch.num_rows or not len(p):
-                continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, c.shape[1])
-            a1, d1, d2 = (batch.column(j).to_numpy(zero_copy_only=False) for j in (1, 2, 3))
-            stay = np.where(a1[:, None] == k, d2[:, None].astype(float), d1[:, None])
-            after = energy.values(np.fmin(stay, m.kernel(x, c)))  # fmin ignores the missing d2 of a single cluster
-            total += (after - energy.values(d1)[:, None]).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(total)], names=["p", "delta"])
-
-    sums = state.select("x", "a1", "d1", "d2").mapInArrow(run, "p int, delta double")
-    return sums.groupBy("p").agg(F.sum("delta").alias("delta"))
-
-
-def screened(state: DataFrame, proposed: DataFrame, deltas, seed: int, shares=(0.0625, 0.25)) -> DataFrame:
-    """Proposals that also improve growing hash samples of the samples, each of which holds the one before; an early
-    rejection that may lose good swaps. Those that are left are judged on all samples."""
-    for share in shares:
-        some = state.where(uniform(seed, "screen", F.col("id")) < share)
-        good = [r["p"] for r in deltas(some, proposed).where("delta < 0").select("p").collect()]
-        proposed = proposed.where(F.col("p").isin(good))
-        if not good:
-            break
-    return proposed
-
-
-def swapped(state: DataFrame, medoids: DataFrame, k: int, new_id: int, x, assign, distance) -> DataFrame:
-    """The state after sample new_id, x, has become medoid k: one distance a sample decides for all whose two nearest
-    centers can be told from it. The others are assigned anew to `medoids` (the new ones): members of k that another
-    center is now nearest to, those that lose k as second, medoids, and ties."""
-    dp, inner = F.col("dp"), F.col("dp") < F.col("d1")
-    ids = [r["id"] for r in medoids.select("id").collect()]
-    tied = (F.col("dp") == F.col("d1")) | (F.col("dp") == F.col("d2"))
-    lost = ((F.col("a1") == k) | (F.col("a2") == k)) & (F.col("dp") > F.col("d2"))
-    again = F.coalesce(tied | lost, F.lit(True)) | F.col("id").isin(ids) | (F.col("id") == int(new_id))
-    near = settled(state.withColumn("dp", distance(F.col("x"), seeding.literal(x))).withColumn("again", again))
-    own = F.col("a1") == k
-    kept = near.where("NOT again").select(
-        "id", "x",
-        F.when(own | inner, k).otherwise(F.col("a1")).cast("int").alias("a1"), F.when(own | inner, dp).otherwise(F.col("d1")).alias("d1"),
-        F.when(own, F.col("a2")).when(inner, F.col("a1")).when(dp < F.col("d2"), k).otherwise(F.col("a2")).cast("int").alias("a2"),
-        F.when(own, F.col("d2")).when(inner, F.col("d1")).when(dp < F.col("d2"), dp).otherwise(F.col("d2")).alias("d2"),
-    )
-    return kept.unionByName(assign(near.where("again").select("id", "x"), medoids))
-
-
 @dataclass
 class Rounds:
     """What the rounds did, and why they ended."""
@@ -116,26 +32,31 @@ class Rounds:
     SCHEMA = "phase string, r int, mE double, n_proposals int, delta double, seconds double, n_dist long"
 
     def add(self, phase: str, r: int, m_e: float, n: int, delta: float, seconds: float, n_dist: int = 0) -> None:
-        """n_dist: distances that the round asked for (rows times centers, proposals or members), the screen's not counted."""
+        """n_dist: distances that the round computed, screens, bounds and retried tasks included."""
         self.log.append((phase, r, float(m_e), int(n), float(delta), float(seconds), int(n_dist)))
 
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.log, self.SCHEMA)
 
 
-def clarans(samples, medoids, assign, energy, distance, seed, max_rounds, max_proposals, patient, level=0, batch=16, min_me=0.0, deadline=None, rounds=None, deltas=None):
+def clarans(samples, medoids, assign, energy, distance, seed, max_rounds, max_proposals, patient, level=0, batch=16, min_me=0.0, deadline=None, rounds=None, metric=None, state=None):
     """(state, medoids, rounds) after at most max_rounds accepted swaps; ends after max_proposals rejections in a row.
 
-    `deltas(state, proposed)` judges a batch of proposals; by default swap_deltas with the given distance.
+    Levels 0 to 2 accept the same swaps, with fewer distances computed the higher they are; level 3 screens proposals on
+    growing samples of the samples first, an early rejection that may lose good swaps. With a `metric` the samples are
+    dense vectors and a NumPy kernel is used. `state` is the assignment to the medoids, if it is known already.
     """
-    deltas = deltas or (lambda s, p: swap_deltas(s, p, energy, distance))
     rounds = rounds if rounds is not None else Rounds()
     medoids = settled(medoids)
-    state = settled(assign(samples, medoids))
-    m_e = mean_energy(state, energy)
-    n, n_medoids = state.count(), medoids.count()
-    rounds.add("clarans", 0, m_e, 0, 0.0, 0.0, n * n_medoids)
-    ordinal, accepted = 0, 0
+    first = state if state is not None else settled(assign(samples, medoids))
+    m_e = mean_energy(first, energy)
+    n, n_medoids = first.count(), medoids.count()
+    search = DenseSearch(first, medoids, metric, energy, seed, level) if metric else ColumnSearch(first, medoids, assign, distance, energy, seed, level)
+    if state is None:
+        forget(first)
+        search.n_dist += n * n_medoids
+    rounds.add("clarans", 0, m_e, 0, 0.0, 0.0, search.n_dist)
+    ordinal, accepted, screens = 0, 0, shares(n, n_medoids) if level == 3 else []
     while True:
         if accepted >= max_rounds:
             rounds.halt_reason = "max_rounds"
@@ -143,17 +64,16 @@ def clarans(samples, medoids, assign, energy, distance, seed, max_rounds, max_pr
         if m_e <= min_me:
             rounds.halt_reason = "min_mE"
             break
-        began, rejected, swap, judgements = time.perf_counter(), 0, None, 0
-        ids = [r["id"] for r in medoids.orderBy("k").collect()]
+        began, rejected, swap, counted = time.perf_counter(), 0, None, search.n_dist
         while swap is None and rejected < max_proposals:
             if deadline is not None and time.perf_counter() > deadline:
                 break
             todo = list(range(ordinal, ordinal + int(min(batch, max_proposals - rejected))))
-            offered = settled(proposals(state, ids, todo, seed))
-            judged = screened(state, offered, deltas, seed) if level == 3 else offered
-            found = deltas(state, judged).collect()
-            judgements += len(found)
-            good = sorted((r["p"], r["delta"]) for r in found if r["delta"] < 0)
+            offers = left = search.draw(todo)
+            for share in screens:
+                promising = search.deltas(left, share)
+                left = [o for o in left if promising[o["p"]] < 0]
+            good = sorted((p, delta) for p, delta in search.deltas(left).items() if delta < 0)
             if good:
                 swap = min(good, key=lambda g: (g[1], g[0])) if patient else good[0]
                 used = len(todo) if patient else swap[0] - ordinal + 1
@@ -164,14 +84,11 @@ def clarans(samples, medoids, assign, energy, distance, seed, max_rounds, max_pr
         if swap is None:
             rounds.halt_reason = "max_time" if rejected < max_proposals else "max_proposals"
             break
-        new = offered.where(F.col("p") == swap[0]).select(F.col("k").alias("nk"), F.col("id").alias("nid"), F.col("x").alias("nx"))
-        medoids = settled(medoids.join(F.broadcast(new), F.col("k") == F.col("nk"), "left").select("k", F.coalesce("nid", "id").alias("id"), F.coalesce("nx", "x").alias("x")))
-        one = new.first()
-        state = settled(swapped(state, medoids, one["nk"], one["nid"], one["nx"], assign, distance))
+        search.accept(next(o for o in offers if o["p"] == swap[0]))
         m_e += swap[1] / n
         accepted += 1
-        rounds.add("clarans", accepted, m_e, rejected + 1, swap[1], time.perf_counter() - began, n * (judgements + 1))
-    return state, medoids, rounds
+        rounds.add("clarans", accepted, m_e, rejected + 1, swap[1], time.perf_counter() - began, search.n_dist - counted)
+    return search.state(), search.medoids(), rounds
 
 
 def medoid_costs(state: DataFrame, energy: Energy, distance) -> DataFrame:

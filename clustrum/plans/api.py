@@ -38,8 +38,8 @@ class Clusterer:
     """K-medoids around K samples that minimise the summed energy of distances, with optional refinement.
 
     Controls that do not depend on the clock come first: max_rounds, max_proposals, min_mE. max_time (seconds) and
-    max_itok (total time in initialisation times) are looked at between jobs. Levels 0 to 2 evaluate the same swaps;
-    3 screens proposals on growing samples first. nthreads and rooted are accepted for familiarity and change nothing.
+    max_itok (total time in initialisation times) are looked at between jobs. Levels 0 to 2 accept the same swaps,
+    with fewer distances each; 3 screens proposals on growing samples first. nthreads and rooted are accepted for familiarity and change nothing.
     """
 
     K: int = 0
@@ -83,10 +83,7 @@ class Clusterer:
         m = Metric(self.metric)
         if do_vdimap:
             samples = settled(remap.remap(samples, self.metric, self.seed))
-        return self._run(
-            samples, lambda s, c: nearest2_dense(s, c, self.metric), m.dense, do_refinement, rf_max_rounds, rf_max_time,
-            deltas=lambda s, p: kmedoids.swap_deltas_dense(s, p, self._energy, self.metric),
-        )
+        return self._run(samples, lambda s, c: nearest2_dense(s, c, self.metric), m.dense, do_refinement, rf_max_rounds, rf_max_time, metric=self.metric)
 
     def sparse(self, samples: DataFrame, do_refinement: bool = False, rf_max_rounds: int = 100, rf_max_time: float = 1e9) -> Result:
         """Cluster (id, x MAP<BIGINT, DOUBLE>)."""
@@ -129,7 +126,7 @@ class Clusterer:
         if bad:
             raise ValueError("the costs are no metric: " + "; ".join(f"{r['rule']} {r['a']} {r['b'] or ''}".strip() for r in bad))
 
-    def _run(self, samples, assign, distance, do_refinement=False, rf_max_rounds=100, rf_max_time=1e9, is_sparse=False, deltas=None) -> Result:
+    def _run(self, samples, assign, distance, do_refinement=False, rf_max_rounds=100, rf_max_time=1e9, is_sparse=False, metric=None) -> Result:
         if do_refinement and self.do_balance_labels:
             raise ValueError("balancing does not go with refinement")
         if do_refinement:
@@ -138,7 +135,8 @@ class Clusterer:
         if not 1 <= self.K < n:
             raise ValueError(f"K must be at least 1 and less than the {n} samples")
         began = time.perf_counter()
-        medoids = settled(seeding.seed_medoids(samples, self.K, self.init, self.seed, self._energy, distance))
+        medoids, state = seeding.seeded(samples, self.K, self.init, self.seed, self._energy, distance, metric)
+        medoids = settled(medoids)
         now = time.perf_counter()
         deadline = min(began + self.max_time, began + (self.max_itok + 1) * (now - began))
         rounds = kmedoids.Rounds()
@@ -146,7 +144,7 @@ class Clusterer:
             state, medoids, rounds = kmedoids.voronoi(samples, medoids, assign, self._energy, distance, self.max_rounds, self.min_mE, deadline, rounds)
         else:
             state, medoids, rounds = kmedoids.clarans(
-                samples, medoids, assign, self._energy, distance, self.seed, self.max_rounds, self.max_proposals, self.patient, self.level, self.batch, self.min_mE, deadline, rounds, deltas
+                samples, medoids, assign, self._energy, distance, self.seed, self.max_rounds, self.max_proposals, self.patient, self.level, self.batch, self.min_mE, deadline, rounds, metric, state
             )
         centers = medoids.select("k", "x")
         if do_refinement:

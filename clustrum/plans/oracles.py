@@ -39,7 +39,7 @@ def _first(seed: int = 1011) -> str:
     return f"(SELECT id FROM s ORDER BY md5('{seed}|first|' || id), id LIMIT 1)"
 
 
-def _kmeanspp(k: int, bins: int = 1) -> str:
+def _kmeanspp(k: int, bins: int = 1, state: bool = False) -> str:
     ctes = [f"s AS MATERIALIZED ({X})", f"c0 AS MATERIALIZED (SELECT id, x FROM s WHERE id = {_first()})",
             f"d0 AS MATERIALIZED (SELECT s.id, s.x, {_fold('s.x', 'c0.x', 'l2')} AS d FROM s, c0)"]
     from_bins = max(0, k - max(min(k, 50), -(-k // bins))) if bins > 1 else 0
@@ -49,6 +49,9 @@ def _kmeanspp(k: int, bins: int = 1) -> str:
         ctes.append(f"c{i} AS MATERIALIZED (SELECT id, x FROM d{i - 1} {pool} ORDER BY {weight} NULLS LAST LIMIT 1)")
         ctes.append(f"d{i} AS MATERIALIZED (SELECT p.id, p.x, least(p.d, {_fold('p.x', f'c{i}.x', 'l2')}) AS d FROM d{i - 1} p, c{i})")
     picks = " UNION ALL ".join(f"SELECT id FROM c{i}" for i in range(k))
+    if state:
+        ctes.append(f"c AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, s.id, s.x FROM s JOIN ({picks}) USING (id))")
+        return f"WITH {', '.join(ctes)} SELECT id, a1, round(d1, 6) AS d1, a2, round(d2, 6) AS d2 FROM {_near('s', 'c', 'l2')}"
     return f"WITH {', '.join(ctes)} SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, id FROM ({picks})"
 
 
@@ -68,10 +71,16 @@ def _greedy(k: int, n: int) -> str:
     return f"WITH {', '.join(ctes)} SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, id FROM ({union})"
 
 
+def _hex(key: str, at: int) -> str:
+    return f"('0x' || substr(md5({key}), {at}, 8))::BIGINT"
+
+
 def _offers(medoids: str, state: str, first: str, n: int) -> str:
-    """(p, k, id, x): proposals p = first .. first + n - 1 against the medoids."""
-    return f"""(WITH o AS (SELECT unnest(range(0, {n})) + {first} AS p), r AS (SELECT o.p, s.id, s.x, row_number() OVER (PARTITION BY o.p ORDER BY md5('1011|sample|' || o.p || '|' || s.id)) AS r
-    FROM o, {state} s WHERE s.id NOT IN (SELECT id FROM {medoids}))
+    """(p, k, id, x): proposals p = first .. first + n - 1 against the medoids; rows are ordered by a * h + b modulo a prime, a and b by p."""
+    named = "'1011|sample|' || p"
+    return f"""(WITH o AS (SELECT p, 1 + {_hex(named, 1)} % 2147483646 AS a, {_hex(named, 9)} % 2147483647 AS b FROM (SELECT unnest(range(0, {n})) + {first} AS p)),
+h AS (SELECT id, x, {_hex("'1011|row|' || id", 1)} % 2147483647 AS h FROM {state}),
+r AS (SELECT o.p, h.id, h.x, row_number() OVER (PARTITION BY o.p ORDER BY (h.h * o.a + o.b) % 2147483647, h.id) AS r FROM o, h WHERE h.id NOT IN (SELECT id FROM {medoids}))
 SELECT p::INT AS p, floor({_u("'1011'", "'cluster'", "p")} * 10)::INT AS k, id, x FROM r WHERE r = 1)"""
 
 
@@ -195,14 +204,17 @@ SELECT k, count(*) AS size, round(avg(d), 4) AS mean_d, round(max(d), 4) AS max_
         "nearest_center": f"WITH s AS ({X}), c AS ({SEEDS}), {cc}, two AS (SELECT * FROM cc UNION ALL SELECT kp, k, d FROM cc) SELECT k, arg_min(kp, (d, kp)) AS nearest, round(min(d), 6) AS d FROM two GROUP BY k",
         "seed_uniform": f"WITH s AS ({X}) SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, id FROM (SELECT id FROM s ORDER BY md5('1011|uniform|' || id), id LIMIT 8)",
         "seed_kmeanspp": _kmeanspp(5),
+        "seed_state": _kmeanspp(5, state=True),
         "seed_kmeanspp_binned": _kmeanspp(53, 20),
         "seed_afkmc2": _afkmc2(4, 5),
         "edit_tables": f"{TABLED} SELECT a, b, round(r[-1], 6) AS d, CASE WHEN r[-1] <= 14.0 THEN round(r[-1], 6) END AS near FROM rows WHERE i = length(a)",
         "balance_labels": f"WITH RECURSIVE {STATE}, {BALANCE} SELECT coalesce(p.receiver, r.a1)::INT AS k, count(*) AS size, min(r.id) AS first_id FROM ranked r LEFT JOIN plan p ON p.donor = r.a1 AND r.r BETWEEN p.low AND p.high GROUP BY 1",
         "seed_kmeanspp_greedy": _greedy(4, 3),
-        "swap_delta": f"WITH {STATE}, o AS MATERIALIZED {_offers('c', 'st', '0', 16)} SELECT p, k, id, round(delta, 6) AS delta FROM {_deltas('st', 'o')}",
+        **dict.fromkeys(("swap_delta", "swap_delta_pruned"), f"WITH {STATE}, o AS MATERIALIZED {_offers('c', 'st', '0', 16)} SELECT p, k, id, round(delta, 6) AS delta FROM {_deltas('st', 'o')}"),
         "clarans_greedy": _clarans(False),
         "clarans_patient": _clarans(True),
+        "clarans_level1": _clarans(False),
+        "clarans_level2": _clarans(True),
         "voronoi_round": f"WITH {STATE}, e AS (SELECT a.a1 AS k, b.id, round(sum(power({_fold('a.x', 'b.x', 'l2')}, 2)), 9) AS cost FROM st a JOIN st b ON a.a1 = b.a1 GROUP BY 1, 2) SELECT k, arg_min(id, (cost, id)) AS id, round(min(cost), 6) AS cost FROM e GROUP BY k",
         "voronoi": _voronoi(2),
         "vcenters": "SELECT k, pos::INT AS pos, round(avg(v), 6) AS v FROM (SELECT label AS k, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY k, pos",

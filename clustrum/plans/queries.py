@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import edit
 from ..functions.energy import NAMES, Energy
 from ..functions.metrics import Metric
-from ..operators import assign, balance, kmedoids, refine, remap, seeding
+from ..operators import assign, balance, kmedoids, refine, remap, seeding, swaps
 from ..session import settled
 from ..sources import text, vectors
 
@@ -164,15 +164,21 @@ def seed_uniform(spark, sf_dir) -> DataFrame:
 
 
 def seed_kmeanspp(spark, sf_dir) -> DataFrame:
-    return _ids(spark, seeding.kmeanspp_ids(samples(spark, sf_dir), 5, SEED, Energy(), Metric("l2").dense))
+    return _ids(spark, seeding.kmeanspp_ids(samples(spark, sf_dir), 5, SEED, Energy(), Metric("l2").dense, metric="l2"))
+
+
+def seed_state(spark, sf_dir) -> DataFrame:
+    """The state that k-means++ hands on: nearest and second-nearest of its 5 centers, without assigning the samples again."""
+    _, s = seeding.kmeanspp(samples(spark, sf_dir), 5, SEED, Energy(), Metric("l2").dense, metric="l2")
+    return _rounded(s.drop("x"), "d1", "d2")
 
 
 def seed_kmeanspp_binned(spark, sf_dir) -> DataFrame:
-    return _ids(spark, seeding.kmeanspp_ids(samples(spark, sf_dir), 53, SEED, Energy(), Metric("l2").dense, bins=20))
+    return _ids(spark, seeding.kmeanspp_ids(samples(spark, sf_dir), 53, SEED, Energy(), Metric("l2").dense, bins=20, metric="l2"))
 
 
 def seed_kmeanspp_greedy(spark, sf_dir) -> DataFrame:
-    return _ids(spark, seeding.kmeanspp_ids(samples(spark, sf_dir), 4, SEED, Energy(), Metric("l2").dense, candidates=3))
+    return _ids(spark, seeding.kmeanspp_ids(samples(spark, sf_dir), 4, SEED, Energy(), Metric("l2").dense, candidates=3, metric="l2"))
 
 
 def seed_afkmc2(spark, sf_dir) -> DataFrame:
@@ -180,10 +186,20 @@ def seed_afkmc2(spark, sf_dir) -> DataFrame:
 
 
 def swap_delta(spark, sf_dir) -> DataFrame:
-    s = settled(state(spark, sf_dir))
-    offered = settled(kmedoids.proposals(s, list(range(K)), list(range(16)), SEED))
-    d = kmedoids.swap_deltas_dense(s, offered, Energy(), "l2")
-    return offered.join(d, "p").select("p", "k", "id", F.round("delta", 6).alias("delta"))
+    search = swaps.DenseSearch(state(spark, sf_dir), medoids(spark, sf_dir), "l2", Energy(), SEED, 0)
+    return _judged(spark, search)
+
+
+def swap_delta_pruned(spark, sf_dir) -> DataFrame:
+    """The same by bounds: whole clusters and most samples are settled without a distance."""
+    search = swaps.DenseSearch(state(spark, sf_dir), medoids(spark, sf_dir), "l2", Energy(), SEED, 2)
+    return _judged(spark, search)
+
+
+def _judged(spark, search) -> DataFrame:
+    offers = search.draw(list(range(16)))
+    found = search.deltas(offers)
+    return spark.createDataFrame([(o["p"], o["k"], o["id"], found[o["p"]]) for o in offers], "p int, k int, id long, delta double").withColumn("delta", F.round("delta", 6))
 
 
 def clarans_greedy(spark, sf_dir) -> DataFrame:
@@ -194,10 +210,19 @@ def clarans_patient(spark, sf_dir) -> DataFrame:
     return _clarans(spark, sf_dir, True)
 
 
-def _clarans(spark, sf_dir, patient) -> DataFrame:
+def clarans_level1(spark, sf_dir) -> DataFrame:
+    """Greedy search with clusters eliminated by their radii."""
+    return _clarans(spark, sf_dir, False, 1)
+
+
+def clarans_level2(spark, sf_dir) -> DataFrame:
+    """Patient search with center distances kept across swaps."""
+    return _clarans(spark, sf_dir, True, 2)
+
+
+def _clarans(spark, sf_dir, patient, level=0) -> DataFrame:
     x = samples(spark, sf_dir)
-    out = kmedoids.clarans(x, medoids(spark, sf_dir), lambda s, c: assign.nearest2_dense(s, c, "l2"), Energy(), Metric("l2").dense, SEED, 2, 64, patient, batch=16, deltas=lambda s, p: kmedoids.swap_deltas_dense(s, p, Energy(), "l2"))
-    s, m, _ = out
+    s, m, _ = kmedoids.clarans(x, medoids(spark, sf_dir), lambda s, c: assign.nearest2_dense(s, c, "l2"), Energy(), Metric("l2").dense, SEED, 2, 64, patient, level, batch=16, metric="l2")
     per = s.groupBy(F.col("a1").alias("k")).agg(F.count(F.lit(1)).alias("size"), F.round(F.sum(F.col("d1") * F.col("d1")), 6).alias("energy"))
     return m.select("k", "id").join(per, "k")
 
@@ -279,8 +304,8 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             assign_nearest2, assign_nearest2_l1_columns, assign_items, cluster_stats, dist_dense, dist_sparse, energies, center_center, nearest_center,
-            edit_unit, edit_weighted, edit_tables, event_sequences_edit, seed_uniform, seed_kmeanspp, seed_kmeanspp_binned, seed_kmeanspp_greedy, seed_afkmc2,
-            swap_delta, clarans_greedy, clarans_patient, voronoi_round, voronoi, vcenters, vmedians, refine_l2, refine_l1, refine_sparse_l2,
+            edit_unit, edit_weighted, edit_tables, event_sequences_edit, seed_uniform, seed_kmeanspp, seed_state, seed_kmeanspp_binned, seed_kmeanspp_greedy, seed_afkmc2,
+            swap_delta, swap_delta_pruned, clarans_greedy, clarans_patient, clarans_level1, clarans_level2, voronoi_round, voronoi, vcenters, vmedians, refine_l2, refine_l1, refine_sparse_l2,
             balance_labels, dim_variance_order, vdimap_distances, alphabet, cost_violations,
         )
     }

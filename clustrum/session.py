@@ -22,17 +22,29 @@ def settled(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder of spark.checkpoint.dir and read it back, so that rounds of a loop neither
     recompute earlier ones nor depend on an executor's memory."""
     spark = df.sparkSession
-    path = f"{_shared(spark)}/round-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # nothing reads the shuffle files of this write again
     try:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
 
 
-def _shared(spark: SparkSession) -> str:
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_settled_path", None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, or of setCheckpointDir; a temporary one on a local master, an error else."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from clustrum.functions import edit
 from clustrum.functions.energy import Energy
 from clustrum.functions.metrics import Metric
-from clustrum.operators import assign, balance, kmedoids, refine, remap, seeding
+from clustrum.operators import assign, balance, kmedoids, refine, remap, seeding, swaps
 from clustrum.plans.api import Clusterer, kmeans, vcenters
 from clustrum.streaming.score import score
 
@@ -48,8 +48,8 @@ def test_swap_delta_is_the_drop_of_energy(spark, points):
     df, x = points
     m = seeding.from_indices(df, [0, 1, 2, 50], 4)
     s = dense(df, m)
-    offers = kmedoids.proposals(s, [0, 1, 2, 50], list(range(12)), 5)
-    deltas = {r["p"]: r["delta"] for r in kmedoids.swap_deltas(s, offers, Energy(), L2).collect()}
+    offers = swaps.proposals(s, [0, 1, 2, 50], list(range(12)), 5)
+    deltas = {r["p"]: r["delta"] for r in swaps.judged(s, offers, Energy(), L2).collect()}
     energy = lambda ids: (((x[:, None] - x[ids][None]) ** 2).sum(2).min(1)).sum()
     now = energy([0, 1, 2, 50])
     for r in offers.collect():
@@ -218,7 +218,7 @@ def test_a_swap_updates_the_state_as_assignment_from_scratch(spark, points, swap
     ids[k] = new
     m = spark.createDataFrame([(i, n, x[n].tolist()) for i, n in enumerate(ids)], "k int, id long, x array<double>")
     seen = []
-    got = kmedoids.swapped(before, m, k, new, x[new].tolist(), lambda s, c: seen.append(s.count()) or dense(s, c), L2)
+    got = swaps.swapped(before, m, k, new, x[new].tolist(), lambda s, c: seen.append(s.count()) or dense(s, c), L2)
     row = lambda r: (r["id"], r["a1"], round(r["d1"], 9), r["a2"], round(r["d2"], 9))
     assert sorted(map(row, got.collect())) == sorted(map(row, dense(df, m).collect()))
     assert seen[0] < len(x)
@@ -250,19 +250,6 @@ def test_a_lacking_cost_is_an_error(spark):
         df.select(edit.distance(F.col("a"), F.col("b"), costs, strings=False)).collect()
 
 
-def test_dense_swap_deltas_equal_those_of_columns(spark, points):
-    df, _ = points
-    s = dense(df, seeding.from_indices(df, [3, 30, 60, 61], 4)).cache()
-    offers = kmedoids.proposals(s, [3, 30, 60, 61], list(range(8)), 5).cache()
-    for energy in (Energy(), Energy("identity"), Energy("exp", exponent_coeff=0.5)):
-        want = {r["p"]: r["delta"] for r in kmedoids.swap_deltas(s, offers, energy, L2).collect()}
-        got = {r["p"]: r["delta"] for r in kmedoids.swap_deltas_dense(s, offers, energy, "l2").collect()}
-        assert sorted(got) == sorted(want) and np.allclose([got[p] for p in sorted(got)], [want[p] for p in sorted(want)])
-    lone = dense(df.union(spark.createDataFrame([(100, None)], df.schema)), seeding.from_indices(df, [3], 1))
-    got = {r["p"]: r["delta"] for r in kmedoids.swap_deltas_dense(lone, offers.withColumn("k", F.lit(0)), Energy(), "l2").collect()}
-    assert sorted(got) == list(range(8)) and all(np.isfinite(v) for v in got.values())
-
-
 def test_medoid_costs_do_not_depend_on_blocks(spark, points, monkeypatch):
     df, x = points
     s = dense(df, seeding.from_indices(df, [3, 60], 2)).cache()
@@ -281,17 +268,6 @@ def test_last_rows_of_uneven_ids(spark, far):
     assert whole.count() == 201 and {r["rank"] for r in whole.where("k = 1").collect()} == set(range(1, 101))
 
 
-def test_screening_rejects_only(spark, points):
-    df, _ = points
-    s = dense(df, seeding.from_indices(df, [3, 30, 60, 61], 4)).cache()
-    offers = kmedoids.proposals(s, [3, 30, 60, 61], list(range(16)), 5).cache()
-    deltas = lambda a, b: kmedoids.swap_deltas_dense(a, b, Energy(), "l2")
-    left = {r["p"] for r in kmedoids.screened(s, offers, deltas, 5).collect()}
-    assert left <= set(range(16))
-    again = {r["p"] for r in deltas(s.where(kmedoids.uniform(5, "screen", F.col("id")) < 0.25), offers).where("delta < 0").collect()}
-    assert left <= again
-
-
 @pytest.mark.parametrize("normalised", [False, True])
 @pytest.mark.parametrize("medoids", [False, True])
 def test_nearest_sequences_equal_all_distances(spark, normalised, medoids):
