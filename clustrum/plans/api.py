@@ -78,12 +78,12 @@ class Clusterer:
         elif len(list(self.init)) != self.K:
             raise ValueError("as many initial indices as K are needed")
 
-    def dense(self, samples: DataFrame, do_vdimap: bool = False, do_refinement: bool = False, rf_max_rounds: int = 100, rf_max_time: float = 1e9, rf_alg: str = "standard") -> Result:
-        """Cluster (id, x ARRAY<DOUBLE>). rf_alg is a hint without effect on the result."""
+    def dense(self, samples: DataFrame, do_vdimap: bool = False, do_refinement: bool = False, rf_max_rounds: int = 100, rf_max_time: float = 1e9, rf_alg: str = "auto") -> Result:
+        """Cluster (id, x ARRAY<DOUBLE>). rf_alg (standard, yinyang, exponion, or auto by the number of dimensions) has no effect on the result."""
         m = Metric(self.metric)
         if do_vdimap:
             samples = settled(remap.remap(samples, self.metric, self.seed))
-        return self._run(samples, lambda s, c: nearest2_dense(s, c, self.metric), m.dense, do_refinement, rf_max_rounds, rf_max_time, metric=self.metric)
+        return self._run(samples, lambda s, c: nearest2_dense(s, c, self.metric), m.dense, do_refinement, rf_max_rounds, rf_max_time, metric=self.metric, rf_alg=rf_alg)
 
     def sparse(self, samples: DataFrame, do_refinement: bool = False, rf_max_rounds: int = 100, rf_max_time: float = 1e9) -> Result:
         """Cluster (id, x MAP<BIGINT, DOUBLE>)."""
@@ -126,7 +126,7 @@ class Clusterer:
         if bad:
             raise ValueError("the costs are no metric: " + "; ".join(f"{r['rule']} {r['a']} {r['b'] or ''}".strip() for r in bad))
 
-    def _run(self, samples, assign, distance, do_refinement=False, rf_max_rounds=100, rf_max_time=1e9, is_sparse=False, metric=None) -> Result:
+    def _run(self, samples, assign, distance, do_refinement=False, rf_max_rounds=100, rf_max_time=1e9, is_sparse=False, metric=None, rf_alg="standard") -> Result:
         if do_refinement and self.do_balance_labels:
             raise ValueError("balancing does not go with refinement")
         if do_refinement:
@@ -141,14 +141,14 @@ class Clusterer:
         deadline = min(began + self.max_time, began + (self.max_itok + 1) * (now - began))
         rounds = kmedoids.Rounds()
         if self.algorithm == "voronoi":
-            state, medoids, rounds = kmedoids.voronoi(samples, medoids, assign, self._energy, distance, self.max_rounds, self.min_mE, deadline, rounds)
+            state, medoids, rounds = kmedoids.voronoi(samples, medoids, assign, self._energy, distance, self.max_rounds, self.min_mE, deadline, rounds, metric, state)
         else:
             state, medoids, rounds = kmedoids.clarans(
                 samples, medoids, assign, self._energy, distance, self.seed, self.max_rounds, self.max_proposals, self.patient, self.level, self.batch, self.min_mE, deadline, rounds, metric, state
             )
         centers = medoids.select("k", "x")
         if do_refinement:
-            state, centers, rounds = refine.refine(samples, centers, self.metric, self._energy, rf_max_rounds, time.perf_counter() + rf_max_time, rounds, is_sparse, distance)
+            state, centers, rounds = refine.refine(samples, centers, self.metric, self._energy, rf_max_rounds, time.perf_counter() + rf_max_time, rounds, is_sparse, distance, algorithm=rf_alg)
         labels = state.select("id", F.col("a1").alias("k"), F.col("d1").alias("d"))
         if self.do_balance_labels:
             own = balancing.balance(labels.select("id", "k"), medoids, distance)

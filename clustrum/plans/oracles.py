@@ -116,10 +116,10 @@ def _voronoi(rounds: int) -> str:
     return f"WITH {', '.join(ctes)} SELECT m.k, m.id, count(*) AS size, round(sum(d1 * d1), 6) AS energy FROM m{rounds} m JOIN t{rounds} t ON m.k = t.a1 GROUP BY m.k, m.id"
 
 
-def _refine(metric: str, how: str, rounds: int) -> str:
+def _refine(metric: str, how: str, rounds: int, many: int = 10) -> str:
     """Centers after `rounds` rounds of assignment and update, from the given seeds."""
     value = "avg(v)" if how == "mean" else "list_sort(list(v))[count(*) // 2 + 1]"
-    ctes = [f"s AS MATERIALIZED ({X})", "c0 AS MATERIALIZED (SELECT id::INT AS k, x FROM s WHERE id < 10)"]
+    ctes = [f"s AS MATERIALIZED ({X})", f"c0 AS MATERIALIZED (SELECT id::INT AS k, x FROM s WHERE id < {many})"]
     for i in range(1, rounds + 1):
         d = _fold("s.x", "c.x", metric)
         ctes.append(f"a{i} AS MATERIALIZED (SELECT id, x, k FROM (SELECT s.id, s.x, c.k, row_number() OVER (PARTITION BY s.id ORDER BY {d}, c.k) AS r FROM s, c{i - 1} c) WHERE r = 1)")
@@ -128,6 +128,18 @@ def _refine(metric: str, how: str, rounds: int) -> str:
     return f"WITH {', '.join(ctes)} SELECT k, unnest(range(0, len(x)))::INT AS pos, round(unnest(x), 6) AS v FROM c{rounds}"
 
 
+def _refined_items(rounds: int) -> str:
+    """Centers of line items after `rounds` rounds, from those of assign_items."""
+    ctes = ["s AS MATERIALIZED (SELECT [l_quantity, l_extendedprice, l_discount, l_tax]::DOUBLE[] AS x FROM lineitem)",
+            "c0 AS MATERIALIZED (SELECT k::INT AS k, [5.0 * k + 1, 9000.0 * k + 1000, 0.01 * k, 0.08 - 0.01 * k]::DOUBLE[] AS x FROM range(0, 10) t(k))"]
+    for i in range(1, rounds + 1):
+        d = _fold("s.x", "c.x", "l2")
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT s.x, (SELECT arg_min(c.k, ({d}, c.k)) FROM c{i - 1} c) AS k FROM s)")
+        ctes.append(f"u{i} AS MATERIALIZED (SELECT k, [avg(x[1]), avg(x[2]), avg(x[3]), avg(x[4])] AS x FROM a{i} GROUP BY k)")
+        ctes.append(f"c{i} AS MATERIALIZED (SELECT c.k, coalesce(u.x, c.x) AS x FROM c{i - 1} c LEFT JOIN u{i} u ON c.k = u.k)")
+    return f"WITH {', '.join(ctes)} SELECT k, unnest(range(0, 4))::INT AS pos, round(unnest(x), 4) AS v FROM c{rounds}"
+
+
 TERMS = """t AS MATERIALIZED (SELECT doc_id AS id, ascii(c)::BIGINT AS i, count(*)::DOUBLE AS v FROM
   (SELECT doc_id, unnest(string_split(lower(text), '')) AS c FROM documents) WHERE regexp_full_match(c, '[a-z0-9]') GROUP BY 1, 2)"""
 SPARSE_PAIRS = """ks AS (SELECT DISTINCT id AS k FROM t WHERE id < 3), ids AS (SELECT DISTINCT id FROM t), allp AS (SELECT ids.id, ks.k, i FROM ids, ks, (SELECT DISTINCT i FROM t)),
@@ -220,6 +232,11 @@ SELECT k, count(*) AS size, round(avg(d), 4) AS mean_d, round(max(d), 4) AS max_
         "vcenters": "SELECT k, pos::INT AS pos, round(avg(v), 6) AS v FROM (SELECT label AS k, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY k, pos",
         "vmedians": "SELECT k, pos::INT AS pos, round(list_sort(list(v))[count(*) // 2 + 1], 6) AS v FROM (SELECT label AS k, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY k, pos",
         "refine_l2": _refine("l2", "mean", 2),
+        "refine_yinyang": _refine("l2", "mean", 3, 20),
+        "refine_exponion": _refined_items(2),
+        "item_medians": """SELECT k, pos::INT AS pos, list_sort(list(v))[count(*) // 2 + 1] AS v FROM (SELECT l_returnflag || l_linestatus AS k,
+unnest([l_quantity, l_extendedprice, l_discount, l_tax]::DOUBLE[]) AS v, unnest(range(0, 4)) AS pos FROM lineitem) GROUP BY k, pos""",
+        "assign_many": f"WITH s AS MATERIALIZED ({X}), c AS MATERIALIZED (SELECT id::INT AS k, id, x FROM s WHERE id < 200), st AS {_near('s', 'c', 'l2')} SELECT id, a1, round(d1, 6) AS d1, a2, round(d2, 6) AS d2 FROM st",
         "refine_l1": _refine("l1", "median", 2),
         "refine_sparse_l2": f"""WITH {TERMS}, {SPARSE_PAIRS}, d AS (SELECT id, k, sqrt(sum(e * e)) AS d FROM j GROUP BY id, k), a AS (SELECT id, arg_min(k, (d, k))::INT AS k FROM d GROUP BY id),
 z AS (SELECT k, count(*) AS n FROM a GROUP BY k) SELECT a.k, t.i, round(sum(t.v) / max(z.n), 6) AS v FROM a JOIN t ON a.id = t.id JOIN z ON z.k = a.k GROUP BY a.k, t.i""",

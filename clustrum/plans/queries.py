@@ -228,14 +228,14 @@ def _clarans(spark, sf_dir, patient, level=0) -> DataFrame:
 
 
 def voronoi(spark, sf_dir) -> DataFrame:
-    s, m, _ = kmedoids.voronoi(samples(spark, sf_dir), medoids(spark, sf_dir), lambda s, c: assign.nearest2_dense(s, c, "l2"), Energy(), Metric("l2").dense, 2)
+    s, m, _ = kmedoids.voronoi(samples(spark, sf_dir), medoids(spark, sf_dir), lambda s, c: assign.nearest2_dense(s, c, "l2"), Energy(), Metric("l2").dense, 2, metric="l2")
     per = s.groupBy(F.col("a1").alias("k")).agg(F.count(F.lit(1)).alias("size"), F.round(F.sum(F.col("d1") * F.col("d1")), 6).alias("energy"))
     return m.select("k", "id").join(per, "k")
 
 
 def voronoi_round(spark, sf_dir) -> DataFrame:
     s = settled(state(spark, sf_dir))
-    costs = kmedoids.medoid_costs(s, Energy(), Metric("l2").dense)
+    costs = kmedoids.medoid_costs_dense(s, Energy(), "l2")
     return costs.groupBy("k").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "id")).alias("b")).select("k", F.col("b.id").alias("id"), F.round("b.cost", 6).alias("cost"))
 
 
@@ -258,6 +258,30 @@ def refine_l2(spark, sf_dir) -> DataFrame:
     return _flat(c)
 
 
+def refine_yinyang(spark, sf_dir) -> DataFrame:
+    """The same centers with bounds by groups of centers."""
+    _, c, _ = refine.refine(samples(spark, sf_dir), medoids(spark, sf_dir, 20), "l2", Energy(), 3, algorithm="yinyang")
+    return _flat(c)
+
+
+def refine_exponion(spark, sf_dir) -> DataFrame:
+    """Line items around the first four, with centers looked at in order of their distance from a row's own."""
+    c = spark.createDataFrame([(k, [5.0 * k + 1, 9000.0 * k + 1000, 0.01 * k, 0.08 - 0.01 * k]) for k in range(K)], "k int, x array<double>")
+    _, c, _ = refine.refine(items(spark, sf_dir), c, "l2", Energy(), 2, algorithm="exponion")
+    return c.select("k", F.posexplode("x").alias("pos", "v")).select("k", "pos", F.round("v", 4).alias("v"))
+
+
+def item_medians(spark, sf_dir) -> DataFrame:
+    """Upper medians of line items by return flag and status, narrowed to ranges of at most 1000 values."""
+    long = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("k"), F.posexplode(F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")).alias("pos", "v"))
+    return refine.upper_medians(long, held=1000)
+
+
+def assign_many(spark, sf_dir) -> DataFrame:
+    """Nearest two of 200 centers, pruned in groups."""
+    return _rounded(state(spark, sf_dir, k=200).drop("x"), "d1", "d2")
+
+
 def refine_l1(spark, sf_dir) -> DataFrame:
     _, c, _ = refine.refine(samples(spark, sf_dir), medoids(spark, sf_dir), "l1", Energy("identity"), 2)
     return _flat(c)
@@ -305,7 +329,7 @@ def queries() -> dict:
         for f in (
             assign_nearest2, assign_nearest2_l1_columns, assign_items, cluster_stats, dist_dense, dist_sparse, energies, center_center, nearest_center,
             edit_unit, edit_weighted, edit_tables, event_sequences_edit, seed_uniform, seed_kmeanspp, seed_state, seed_kmeanspp_binned, seed_kmeanspp_greedy, seed_afkmc2,
-            swap_delta, swap_delta_pruned, clarans_greedy, clarans_patient, clarans_level1, clarans_level2, voronoi_round, voronoi, vcenters, vmedians, refine_l2, refine_l1, refine_sparse_l2,
+            swap_delta, swap_delta_pruned, clarans_greedy, clarans_patient, clarans_level1, clarans_level2, voronoi_round, voronoi, vcenters, vmedians, item_medians, assign_many, refine_l2, refine_yinyang, refine_exponion, refine_l1, refine_sparse_l2,
             balance_labels, dim_variance_order, vdimap_distances, alphabet, cost_violations,
         )
     }

@@ -257,6 +257,11 @@ def test_medoid_costs_do_not_depend_on_blocks(spark, points, monkeypatch):
     monkeypatch.setattr(kmedoids, "BLOCK", 7)
     many = {r["id"]: r["cost"] for r in kmedoids.medoid_costs(s, Energy(), L2).collect()}
     assert sorted(one) == sorted(many) == list(range(100)) and all(abs(one[i] - many[i]) < 1e-9 for i in one)
+    monkeypatch.setattr(kmedoids, "STRIPE", 3)
+    for block in (7, 1000):
+        monkeypatch.setattr(kmedoids, "BLOCK", block)
+        blocks = {r["id"]: r["cost"] for r in kmedoids.medoid_costs_dense(s, Energy(), "l2").collect()}
+        assert sorted(one) == sorted(blocks) and all(abs(one[i] - blocks[i]) < 1e-9 for i in one)
 
 
 @pytest.mark.parametrize("far", [0, 10**12])
