@@ -195,6 +195,23 @@ def test_pruned_two_nearest_equal_all_distances(metric, shape):
         assert pruned.n_dist < plain.n_dist / 4
 
 
+@pytest.mark.parametrize("metric", ["l0", "l1", "l2", "li"])
+def test_rows_leave_early_by_the_widest_dimensions(metric):
+    """Long vectors that vary in few dimensions: equal results, fewer coordinates."""
+    rng = np.random.default_rng(2)
+    scale = np.r_[np.full(6, 30.0), np.full(58, 0.5)][rng.permutation(64)]
+    c = np.repeat(rng.normal(size=(40, 64)) * scale, 5, 0) + rng.normal(size=(200, 64)) * 0.2
+    x = c[rng.integers(0, 200, 1500)] + rng.normal(size=(1500, 64)) * 0.2
+    if metric == "l0":
+        c, x = np.round(c), np.round(x)
+    plain, pruned = assign.Centers(c, Metric(metric), pruned=False), assign.Centers(c, Metric(metric))
+    for a, b in zip(plain.two_nearest((), x), pruned.two_nearest((), x)):
+        assert (a == b).all()
+    assert plain.n_dim == plain.n_dist * 64 and pruned.n_dim <= pruned.n_dist * 64 * 1.5
+    if metric in ("l2", "l1"):
+        assert pruned.n_dim < pruned.n_dist * 64
+
+
 def test_pruned_assignment_counts_distances(spark):
     x = groups(20, 20)
     df = frame(spark, x, [(900, None)])
