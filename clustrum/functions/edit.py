@@ -55,6 +55,35 @@ class Costs:
         return F.when(a == b, 0.0).otherwise(_present(F.element_at(table, pair), F.concat(F.lit("no switch cost of "), pair)))
 
 
+def costs_of(indel, switch) -> Costs:
+    """Costs from two numbers, or from an array of indel costs and a square array (or its rows in one) of switch costs by
+    integer symbols 0, 1, ..."""
+    plain = [isinstance(c, (int, float, np.number)) and not isinstance(c, bool) for c in (indel, switch)]
+    if all(plain):
+        return Costs(float(indel), float(switch))
+    if any(plain) or any(isinstance(c, (str, dict)) for c in (indel, switch)):
+        raise ValueError("indel and switch costs are two numbers or two arrays")
+    i, s = np.asarray(indel, float), np.asarray(switch, float)
+    if i.ndim != 1 or not len(i):
+        raise ValueError("indel costs are an array of one dimension that is not empty")
+    if s.size != len(i) ** 2:
+        raise ValueError(f"{len(i)} indel costs need {len(i)} x {len(i)} switch costs, {s.size} were given")
+    s = s.reshape(len(i), len(i))
+    if not (i > 0).all():
+        raise ValueError(f"indel costs must be positive, that of {int(np.flatnonzero(~(i > 0))[0])} is not")
+    return Costs({a: float(v) for a, v in enumerate(i)}, {(a, b): float(s[a, b]) for a in range(len(i)) for b in range(len(i)) if a != b})
+
+
+def without_cost(sequences: DataFrame, costs: Costs) -> list:
+    """Symbols of (x: strings or arrays) that the tables have no indel cost of, some of them, in order."""
+    if not isinstance(costs.indel, dict):
+        return []
+    x = symbols(F.col("x")) if dict(sequences.dtypes)["x"] == "string" else F.col("x")
+    used = sequences.select(F.explode(F.array_distinct(x)).alias("s")).distinct().where(F.col("s").isNotNull())
+    known = list(costs.indel)
+    return [r["s"] for r in used.where(~F.col("s").isin(known)).orderBy("s").limit(5).collect()]
+
+
 def symbols(s: Column) -> Column:
     """A string as the array of its characters."""
     return F.filter(F.split(s, ""), lambda c: c != "")

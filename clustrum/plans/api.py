@@ -90,14 +90,22 @@ class Clusterer:
         d = Metric(self.metric).sparse
         return self._run(samples, lambda s, c: nearest2(s, c, d), d, do_refinement, rf_max_rounds, rf_max_time, is_sparse=True)
 
-    def sequences(self, samples: DataFrame, costs: edit.Costs = edit.Costs()) -> Result:
-        """Cluster (id, x STRING or ARRAY<INT>) by the edit distance; metric is levenshtein or normalised levenshtein."""
+    def sequences(self, samples: DataFrame, costs: edit.Costs | tuple = edit.Costs()) -> Result:
+        """Cluster (id, x STRING or ARRAY<INT>) by the edit distance; metric is levenshtein or normalised levenshtein. Costs may
+        be a pair (indel, switch) of numbers or arrays by integer symbol. Tables must cover all symbols and be a metric."""
+        costs = costs if isinstance(costs, edit.Costs) else edit.costs_of(*costs)
         if self.metric not in ("levenshtein", "normalised levenshtein"):
             raise ValueError("sequences have the metrics levenshtein and normalised levenshtein")
         strings = dict(samples.dtypes)["x"] == "string"
         size = F.length("x") if strings else F.size("x")
         if samples.where(F.col("x").isNull() | (size == 0)).limit(1).count():
             raise ValueError("there is an empty sequence")
+        if strings and isinstance(costs.indel, dict) and not all(isinstance(a, str) for a in costs.indel):
+            raise ValueError("cost arrays are for integer sequences; strings take tables by character")
+        lacking = edit.without_cost(samples, costs)
+        if lacking:
+            raise ValueError("no costs of the symbols " + ", ".join(map(str, lacking)))
+        self._check_costs(samples.sparkSession, costs)
         normalised = self.metric.startswith("norm")
         if costs.unit and strings:
             d = lambda a, b: edit.distance(a, b, costs, normalised)
@@ -111,7 +119,6 @@ class Clusterer:
         lacking = text_source.missing_costs(rows, costs)
         if lacking:
             raise ValueError("costs are missing: " + ", ".join(lacking))
-        self._check_costs(spark, costs)
         result = self.sequences(rows.select("id", F.col("s").alias("x")), costs)
         if out:
             text_source.write_labelled(rows.join(result.labels.select("id", "k"), "id"), out)
@@ -120,8 +127,8 @@ class Clusterer:
     def _check_costs(self, spark, costs) -> None:
         if not isinstance(costs.indel, dict):
             return
-        indel = spark.createDataFrame(list(costs.indel.items()), "a string, cost double")
-        switch = spark.createDataFrame([(a, b, v) for (a, b), v in costs.switch.items()], "a string, b string, cost double")
+        indel = spark.createDataFrame([(str(a), float(v)) for a, v in costs.indel.items()], "a string, cost double")
+        switch = spark.createDataFrame([(str(a), str(b), float(v)) for (a, b), v in costs.switch.items()], "a string, b string, cost double")
         bad = edit.violations(indel, switch, self.metric.startswith("norm")).limit(3).collect()
         if bad:
             raise ValueError("the costs are no metric: " + "; ".join(f"{r['rule']} {r['a']} {r['b'] or ''}".strip() for r in bad))

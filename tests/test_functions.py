@@ -123,3 +123,32 @@ def test_bounded_edit_distance_equals_the_kernel():
 def test_within_a_limit_as_a_column(spark):
     df = spark.createDataFrame([("kitten", "sitting"), ("a", "zzzzzz"), (None, "a"), ("", "")], "a string, b string")
     assert [r[0] for r in df.select(edit.within(edit.Costs(), 3.0)("a", "b")).collect()] == [3.0, None, None, 0.0]
+
+
+def test_costs_from_numbers_and_arrays():
+    import numpy as np
+
+    assert edit.costs_of(1, np.float32(2)) == edit.Costs(1.0, 2.0)
+    switch = [[0, 5, 4], [5, 0, 3], [4, 3, 0]]
+    for s in (switch, np.array(switch).ravel()):
+        got = edit.costs_of([3, 3, 4], s)
+        assert got.indel == {0: 3.0, 1: 3.0, 2: 4.0} and got.switch[0, 1] == 5.0 and got.switch[2, 1] == 3.0 and len(got.switch) == 6
+    for indel, switch in ((1.0, [[0.0]]), ([1.0], 2.0), ([1.0, 1.0], [[0.0]]), ([], []), ([1.0, 0.0], np.zeros(4)), ("a", "b"), (0, 1), ([[1.0]], [[0.0]])):
+        with pytest.raises(ValueError):
+            edit.costs_of(indel, switch)
+
+
+def test_sequences_check_their_costs(spark):
+    from clustrum.plans.api import Clusterer
+
+    c = Clusterer(K=1, metric="levenshtein", energy="identity", init="uniform", max_rounds=1, max_proposals=4, max_time=1e6, level=0)
+    rows = spark.createDataFrame([(0, [0, 1]), (1, [1, 1, 0]), (2, [0, 0])], "id long, x array<int>")
+    good = [4.0, 4.0], [[0.0, 5.0], [5.0, 0.0]]
+    d = {r["id"]: r["d"] for r in c.sequences(rows, good).labels.collect()}
+    assert sorted(d) == [0, 1, 2] and min(d.values()) == 0
+    with pytest.raises(ValueError, match="symbols 2, 7"):
+        c.sequences(rows.union(spark.createDataFrame([(3, [7, 2])], rows.schema)), good)
+    with pytest.raises(ValueError, match="no metric"):
+        c.sequences(rows, ([1.0, 1.0], [[0.0, 5.0], [5.0, 0.0]]))
+    with pytest.raises(ValueError, match="strings take tables"):
+        c.sequences(spark.createDataFrame([(0, "ab"), (1, "b")], "id long, x string"), good)
