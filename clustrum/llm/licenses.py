@@ -1,62 +1,62 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
-Each template is a short licence text with a mandatory key phrase. The index maps the rarest word of each key phrase
-(highest inverse document frequency in the scanned corpus) to its postings (template, position). A document looks up
-its places of those words, which gives places where a template may begin; the other words of the template are
-intersected with the document's words by relative position, and the key phrase must stand whole.
-Everything is local to a row, so no text is shuffled and no licence, however common, gathers in one task.
+The index posts, for each licence text, the places of its words of highest inverse document frequency in the scanned
+corpus (`POSTED` places a text). A file looks up all of its words that are posted; each place gives the offset at which
+that licence text would begin. Offsets are intersected in windows of 2 * `DRIFT` words, every `DRIFT` words, so that
+words changed, added or left out do not lose a text. A window with enough different posted places is a candidate, and
+each mandatory key phrase of the text must stand whole within it. Base phrases are found from their rarest word and
+verified word by word.
+
+The texts are read twice, for the document frequencies and for the scan; both times everything is local to a row, so no
+text is shuffled and no licence, however common, gathers in one task. Work is linear in the words of a file (a sort of
+its hits aside).
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, fold_ascii
+from .license_texts import TEXTS
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-# Fixed values: (label, template text, mandatory key phrase within it, least share of the template's words in place).
-# The first three key phrases are the base ones; they count wherever they stand.
-TEMPLATES = (
-    ("mit", "released under the mit license", "under the mit license", 0.0),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2", 0.0),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", 0.0),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3", 0.5),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2", 0.5),
-    ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license", 0.6),
-    ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license", 0.5),
-    ("mpl-2", "subject to the terms of the mozilla public license version 2 0", "mozilla public license version 2", 0.5),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "granted free of charge to any person obtaining a copy", 0.6),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms", 0.5),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify", 0.6),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international", 0.5),
-    ("cc0", "released under the creative commons zero public domain dedication", "creative commons zero", 0.5),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software", 0.6),
-    ("all-rights-reserved", "all rights reserved", "all rights reserved", 1.0),
-)
-BASE = 3
+# Fixed values: (label, phrase). They count wherever they stand.
+BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
+
+#: Places of a licence text that are posted, the words of highest inverse document frequency first.
+POSTED = 24
+#: A licence text is found if all its words move by no more than so many.
+DRIFT = 16
+#: Least share of a text's posted places that must be met in one window.
+SHARE = 0.6
+# A hit is one long: text * TEXT + window * WINDOW + rank of the posted place.
+WINDOW, TEXT = 1 << 10, 1 << 44
 
 
 @dataclass(frozen=True)
-class Template:
+class Licence:
     label: str
     words: tuple[str, ...]
-    phrase: tuple[str, ...]
-    offset: int  # of the phrase in the words
-    share: float
+    phrases: tuple[str, ...]
+
+    @property
+    def posted(self) -> int:
+        return min(POSTED, len(self.words))
+
+    @property
+    def need(self) -> int:
+        return math.ceil(SHARE * self.posted)
 
 
-def templates(rows=TEMPLATES) -> list[Template]:
-    out = []
-    for label, text, key, share in rows:
-        words, phrase = tuple(text.split()), tuple(key.split())
-        offset = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        out.append(Template(label, words, phrase, offset, share))
-    return out
+def licences(texts=TEXTS) -> list[Licence]:
+    return [Licence(label, tuple(re.findall(WORDS, fold_ascii(text))), tuple(phrases)) for label, text, phrases in texts]
 
 
 def words(text: Column) -> Column:
@@ -67,75 +67,105 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def rarest(documents: DataFrame, index: list[Template]) -> dict[str, float]:
-    """Inverse document frequency of the key phrases' words, over all documents; as many rows as those words."""
-    vocabulary = sorted({w for t in index for w in t.phrase})
-    counted = documents.select(F.explode(F.array_intersect("words", strings(vocabulary))).alias("word")).groupBy("word").count().collect()
-    total = documents.count()
-    seen = {r["word"]: r["count"] for r in counted}
-    return {w: math.log((total + 1) / (seen.get(w, 0) + 1)) for w in vocabulary}
+def frequencies(documents: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """In how many documents each licence word stands, by one pass; no more rows than there are such words."""
+    present = F.array_intersect("words", strings(vocabulary))
+    return {r["word"]: r["count"] for r in documents.select(F.explode(present).alias("word")).groupBy("word").count().collect()}
 
 
-def license_scan(docs: DataFrame, rows=TEMPLATES, base: int = BASE) -> DataFrame:
-    """One row per row of (doc_id, text): word and base-phrase counts, first and last base place, labels and score.
+def rarest_places(licence: Licence, seen: dict[str, int]) -> list[int]:
+    """The posted places of a text, rarest word first; ties by word and place."""
+    return sorted(range(len(licence.words)), key=lambda i: (seen.get(licence.words[i], 0), licence.words[i], i))[: licence.posted]
 
-    n_base counts the places of the first `base` key phrases; first_word and last_word are null without one. labels
-    adds the labels of the other templates: key phrase whole, and at least their share of words in place. score is the
-    largest share of a template's words in place among accepted hits, 0 without one. Null and empty texts have no words.
-    """
-    index = templates(rows)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("words"))
-    idf = rarest(text, index)
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for number, t in enumerate(index):
-        at = min(range(len(t.phrase)), key=lambda i: (-idf[t.phrase[i]], t.phrase[i], i))
-        postings.setdefault(t.phrase[at], []).append((number, at))
 
-    rare = sorted(postings)
-    table = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.struct(F.lit(n).alias("template"), F.lit(at).alias("at")) for n, at in postings[w]]))])
-    phrases = F.array(*[strings(t.phrase) for t in index])
-    whole = F.array(*[strings(t.words) for t in index])
-    offsets, shares = F.array(*[F.lit(t.offset) for t in index]), F.array(*[F.lit(float(t.share)) for t in index])
-    labels = strings(t.label for t in index)
+def lookup(postings: dict[str, list[tuple[int, ...]]], names: tuple[str, ...]) -> Column:
+    """A map literal from a word to its postings."""
+    rows = [(F.lit(w), F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(names, p)]) for p in at])) for w, at in sorted(postings.items())]
+    return F.create_map(*[x for row in rows for x in row])
 
-    places = text.select(
-        "doc_id", "words",
-        F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull()).alias("places"),
-    )
-    # a hit: where the key phrase of a template begins if the rare word stands in its place
-    hits = places.select(
-        "doc_id", "words",
-        F.flatten(F.transform("places", lambda i: F.transform(F.element_at(table, F.get("words", i)), lambda p: F.struct(p["template"].alias("template"), (i - p["at"]).alias("start"))))).alias("hits"),
-    )
 
-    def whole_phrase(h):
-        phrase = F.get(phrases, h["template"])
-        return (h["start"] >= 0) & (F.slice("words", F.greatest(h["start"], F.lit(0)) + 1, F.size(phrase)) == phrase)
+def license_scan(docs: DataFrame, texts=TEXTS, base=BASE) -> DataFrame:
+    """One row per row of (doc_id, text): word and base-phrase counts, first and last base place, labels and score.
 
-    def in_place(h):
-        template, begin = F.get(whole, h["template"]), h["start"] - F.get(offsets, h["template"])
-        met = F.filter(template, lambda w, i: F.when(begin + i >= 0, F.get("words", begin + i) == w).otherwise(F.lit(False)))
-        return F.size(met) / F.size(template)
+    n_base counts the places of the base phrases; first_word and last_word are null without one. labels adds those of
+    the licence texts found: in one window, at least the share `SHARE` of the posted places and all mandatory key
+    phrases. score is the largest share of posted places met by a text found, 1 with a base phrase, 0 without either.
+    Null and empty texts have no words. Rows that repeat are scanned each by itself; the words of equal document
+    frequency are posted in the order of words and places, so ties do not depend on partitioning.
+    """
+    index = licences(texts)
+    longest = -(-max(len(t.words) for t in index) // DRIFT) * DRIFT
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("words"))
+    seen = frequencies(text, sorted({w for t in index for w in t.words} | {w for _, p in base for w in p.split()}))
 
-    kept = hits.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"),
-        F.transform(F.filter("hits", whole_phrase), lambda h: F.struct(h["template"].alias("template"), h["start"].alias("start"), in_place(h).alias("share"))).alias("hits"),
-    )
-    kept = kept.select(
-        "doc_id", "n_words",
-        F.filter("hits", lambda h: h["share"] >= F.get(shares, h["template"])).alias("hits"),
-        F.filter("hits", lambda h: h["template"] < base).alias("own"),
+    posted: dict[str, list[tuple[int, ...]]] = {}
+    for number, t in enumerate(index):
+        for rank, at in enumerate(rarest_places(t, seen)):
+            posted.setdefault(t.words[at], []).append((number, rank, at))
+    own: dict[str, list[tuple[int, ...]]] = {}
+    for number, (_, phrase) in enumerate(base):
+        parts = phrase.split()
+        at = min(range(len(parts)), key=lambda i: (seen.get(parts[i], 0), parts[i], i))
+        own.setdefault(parts[at], []).append((number, at))
+
+    everywhere = F.transform("words", lambda w, i: F.when(w.isin(sorted({*posted, *own})), i))
+    places = text.select("doc_id", "words", F.filter(everywhere, lambda i: i.isNotNull()).alias("places"))
+
+    def hits(table: Column, of) -> Column:
+        found = F.transform("places", lambda i: F.transform(F.element_at(table, F.get("words", i)), lambda p: of(i.cast("long"), p)))
+        return F.flatten(F.filter(found, lambda at: at.isNotNull()))
+
+    def windows(i: Column, p: Column) -> Column:
+        at = F.floor((i - p["at"] + longest) / DRIFT) + 1  # the windows that begin here and one step before
+        key = p["licence"] * TEXT + at * WINDOW + p["rank"]
+        return F.array(key, key - WINDOW)
+
+    phrases = F.array(*[strings(p.split()) for _, p in base])
+    stands = lambda h: F.slice("words", F.greatest(h["start"], F.lit(0)) + 1, F.size(F.get(phrases, h["phrase"]))) == F.get(phrases, h["phrase"])
+    tried = places.select(
+        "doc_id", "words",
+        F.filter(hits(lookup(own, ("phrase", "at")), lambda i, p: F.struct(p["phrase"].alias("phrase"), (i - p["at"]).alias("start"))), lambda h: (h["start"] >= 0) & stands(h)).alias("own"),
+        F.sort_array(F.array_distinct(F.flatten(hits(lookup(posted, ("licence", "rank", "at")), windows)))).alias("keys"),
     )
 
-    def named(hits):
-        return F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.get(labels, h["template"])))), ",")
-
-    starts = F.transform("own", lambda h: h["start"].cast("long"))
-    return kept.select(
-        "doc_id", "n_words", F.size("own").cast("long").alias("n_base"),
+    # keys ascend: a window has enough different places if the key so many further on is still of it
+    group = lambda k: F.shiftright(k, 10)
+    licence = lambda k: F.shiftright(k, 44).cast("int")
+    needs, posts = F.array(*[F.lit(t.need - 1) for t in index]), F.array(*[F.lit(float(t.posted)) for t in index])
+
+    def window(k: Column, j: Column) -> Column:
+        """The window that begins with key k, with its share of posted places; null if another key is its first or it has too few."""
+        still = lambda n: group(F.get("keys", j + n)) == group(k)
+        first = (j == 0) | ~still(-1)
+        met = reduce(lambda low, n: F.when(still(n), F.lit(n + 1.0)).otherwise(low), range(1, POSTED), F.lit(1.0))
+        return F.when(first & still(F.get(needs, licence(k))), F.struct(group(k).alias("at"), (met / F.get(posts, licence(k))).alias("share")))
+
+    candidates = tried.select("doc_id", "words", "own", F.filter(F.transform("keys", window), lambda g: g.isNotNull()).alias("windows"))
+
+    lengths = F.array(*[F.lit(len(t.words)) for t in index])
+    mandatory = F.array(*[strings(f" {p} " for p in t.phrases) for t in index])
+
+    def verified(g: Column) -> Column:
+        number, begin = F.shiftright(g["at"], 34).cast("int"), ((g["at"] % (TEXT // WINDOW)) - 1) * DRIFT - longest
+        end, begin = begin + 2 * DRIFT + F.get(lengths, number), F.greatest(begin, F.lit(0))
+        shown = F.concat(F.lit(" "), F.array_join(F.slice("words", (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")), " "), F.lit(" "))
+        return F.forall(F.get(mandatory, number), lambda p: F.contains(shown, p))
+
+    found = candidates.select("doc_id", "words", "own", F.filter("windows", verified).alias("found"))
+
+    def named(labels, numbers: Column) -> Column:
+        return F.transform(numbers, lambda n: F.get(strings(labels), n.cast("int")))
+
+    listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    base_labels = named([n for n, _ in base], F.transform("own", lambda h: h["phrase"]))
+    own_labels = named([t.label for t in index], F.transform("found", lambda g: F.shiftright(g["at"], 34)))
+    starts = F.transform("own", lambda h: h["start"])
+    best = F.coalesce(F.array_max(F.transform("found", lambda g: g["share"])), F.lit(0.0))
+    return found.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.size("own").cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        named(F.col("own")).alias("base_labels"), named(F.col("hits")).alias("labels"),
-        F.round(F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0)), 6).alias("score"),
+        listed(base_labels).alias("base_labels"), listed(F.concat(base_labels, own_labels)).alias("labels"),
+        F.round(F.when(F.size("own") > 0, F.lit(1.0)).otherwise(best), 6).alias("score"),
     )
 
 
@@ -146,25 +176,29 @@ def op4_query(spark, sf_dir) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB: every template tried at every word, without an index."""
-    hits = []
-    for number, t in enumerate(templates()):
-        quoted = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
-        share = " + ".join(f"(CASE WHEN i + {k - t.offset} >= 1 AND w[greatest(i + {k - t.offset}, 1)] = '{x}' THEN 1 ELSE 0 END)" for k, x in enumerate(t.words))
-        hits.append(
-            f"SELECT r, {number} AS template, '{t.label}' AS label, i - 1 AS start, ({share}) / {len(t.words)}.0::DOUBLE AS share, {t.share} AS least FROM places "
-            f"WHERE w[i : i + {len(t.phrase) - 1}] = {quoted(t.phrase)}"
-        )
+    """DuckDB: base phrases tried at every word; posted places by rank of document frequency, joined and grouped by window."""
+    index = licences()
+    longest = -(-max(len(t.words) for t in index) // DRIFT) * DRIFT
+    quoted = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
+    own = " UNION ALL ".join(f"SELECT r, '{label}' AS label, i - 1 AS start FROM places WHERE w[i : i + {len(p.split()) - 1}] = {quoted(p.split())}" for label, p in BASE)
+    texts = ", ".join(f"({n}, '{t.label}', {quoted(t.words)}, {quoted(f' {p} ' for p in t.phrases)}, {t.posted}, {t.need})" for n, t in enumerate(index))
     folded = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({folded}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words),
-hits AS ({' UNION ALL '.join(hits)}),
-taken AS (SELECT * FROM hits WHERE share >= least),
-found AS (SELECT r, count(*) FILTER (WHERE template < {BASE}) AS n_base, min(start) FILTER (WHERE template < {BASE}) AS first_word,
-  max(start) FILTER (WHERE template < {BASE}) AS last_word,
-  array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE template < {BASE})), ',') AS base_labels,
-  array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM taken GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
-  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6)::DOUBLE AS score
-FROM words LEFT JOIN found USING (r)"""
+own AS ({own}),
+based AS (SELECT r, count(*) AS n, min(start) AS first, max(start) AS last, list(DISTINCT label) AS labels FROM own GROUP BY r),
+texts(t, label, body, phrases, posted, need) AS (VALUES {texts}),
+bodies AS (SELECT t, posted, unnest(body) AS word, unnest(range(len(body))) AS at FROM texts),
+seen AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT r, unnest(w) AS word FROM words) SEMI JOIN bodies USING (word) GROUP BY word),
+ranked AS (SELECT t, word, at, posted, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), word, at) AS rank FROM bodies LEFT JOIN seen USING (word)),
+hits AS (SELECT r, t, rank, floor((i - 1 - at + {longest}) / {DRIFT}.0)::BIGINT AS q FROM (SELECT r, i, w[i] AS word FROM places) JOIN ranked USING (word) WHERE rank <= posted),
+met AS (SELECT r, t, q, count(DISTINCT rank) AS n FROM (SELECT r, t, rank, q FROM hits UNION ALL SELECT r, t, rank, q - 1 FROM hits) GROUP BY r, t, q),
+tried AS (SELECT r, label, phrases, n / posted::DOUBLE AS share, ' ' || array_to_string(w[greatest(q * {DRIFT} - {longest}, 0) + 1 : q * {DRIFT} - {longest} + {2 * DRIFT} + len(body)], ' ') || ' ' AS shown
+  FROM met JOIN texts USING (t) JOIN words USING (r) WHERE n >= need),
+found AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM tried WHERE len(list_filter(phrases, lambda p: NOT contains(shown, p))) = 0 GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(f.labels, []))), ','), '') AS labels,
+  round(CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END, 6)::DOUBLE AS score
+FROM words LEFT JOIN based b USING (r) LEFT JOIN found f USING (r)"""
