@@ -64,7 +64,7 @@ def words(text: Column) -> Column:
 
 
 def strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.lit(list(values))
 
 
 def frequencies(documents: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -79,9 +79,9 @@ def rarest_places(licence: Licence, seen: dict[str, int]) -> list[int]:
 
 
 def lookup(postings: dict[str, list[tuple[int, ...]]], names: tuple[str, ...]) -> Column:
-    """A map literal from a word to its postings."""
-    rows = [(F.lit(w), F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(names, p)]) for p in at])) for w, at in sorted(postings.items())]
-    return F.create_map(*[x for row in rows for x in row])
+    """A map literal from a word to its postings; as text, for the index has some hundred of them."""
+    one = lambda p: "named_struct(" + ", ".join(f"'{n}', {v}L" for n, v in zip(names, p)) + ")"
+    return F.expr("map(" + ", ".join(f"'{w}', array({', '.join(map(one, at))})" for w, at in sorted(postings.items())) + ")")
 
 
 def license_scan(docs: DataFrame, texts=TEXTS, base=BASE) -> DataFrame:
@@ -189,10 +189,10 @@ places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words),
 own AS ({own}),
 based AS (SELECT r, count(*) AS n, min(start) AS first, max(start) AS last, list(DISTINCT label) AS labels FROM own GROUP BY r),
 texts(t, label, body, phrases, posted, need) AS (VALUES {texts}),
-bodies AS (SELECT t, posted, unnest(body) AS word, unnest(range(len(body))) AS at FROM texts),
+bodies AS (SELECT t, posted, unnest(body) AS word, unnest(range(len(body))) AS place FROM texts),
 seen AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT r, unnest(w) AS word FROM words) SEMI JOIN bodies USING (word) GROUP BY word),
-ranked AS (SELECT t, word, at, posted, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), word, at) AS rank FROM bodies LEFT JOIN seen USING (word)),
-hits AS (SELECT r, t, rank, floor((i - 1 - at + {longest}) / {DRIFT}.0)::BIGINT AS q FROM (SELECT r, i, w[i] AS word FROM places) JOIN ranked USING (word) WHERE rank <= posted),
+ranked AS (SELECT t, word, place, posted, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), word, place) AS rank FROM bodies LEFT JOIN seen USING (word)),
+hits AS (SELECT r, t, rank, floor((i - 1 - place + {longest}) / {DRIFT}.0)::BIGINT AS q FROM (SELECT r, i, w[i] AS word FROM places) JOIN ranked USING (word) WHERE rank <= posted),
 met AS (SELECT r, t, q, count(DISTINCT rank) AS n FROM (SELECT r, t, rank, q FROM hits UNION ALL SELECT r, t, rank, q - 1 FROM hits) GROUP BY r, t, q),
 tried AS (SELECT r, label, phrases, n / posted::DOUBLE AS share, ' ' || array_to_string(w[greatest(q * {DRIFT} - {longest}, 0) + 1 : q * {DRIFT} - {longest} + {2 * DRIFT} + len(body)], ' ') || ' ' AS shown
   FROM met JOIN texts USING (t) JOIN words USING (r) WHERE n >= need),
