@@ -1,8 +1,8 @@
 """Secret scans: fixed rules, and character Markov models that tell random strings from ordinary identifiers.
 
 Two first-order models over characters are trained from labelled samples: what the rules find is labelled random;
-longer words and identifiers without a digit are labelled ordinary, and so are the paths, dates, versions and names
-with numbers that are put together from neighbouring ones of them (`composite`). A further token of 16 characters or
+longer words and identifiers without a digit are labelled ordinary, and so are the paths, dates, versions, points of
+time and names with numbers that are put together from neighbouring ones of them (`composite`). A further token of 16 characters or
 more with a letter, or what the rules' spans leave of one if that is as long, is a secret if the mean log-likelihood
 ratio of its characters exceeds a threshold calibrated on the labelled samples. UUIDs name things and are none.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -61,13 +62,21 @@ def steps(token: str) -> np.ndarray:
     return np.concatenate([[SYMBOLS - 1], c[:-1]]) * SYMBOLS + c
 
 
+#: Symbols by kind: lower-case letters, capitals, digits, marks and all else.
+_KIND = np.repeat(np.arange(4), (26, 26, 10, SYMBOLS - 62))
+
+
 class MarkovRatio:
-    """Mean log-likelihood ratio, random against ordinary, of a token's characters."""
+    """Mean log-likelihood ratio, random against ordinary, of a token's characters. A share `backing` of each step is
+    that of the kinds of its characters, so that letter pairs that the samples' words happen to lack weigh little."""
 
-    def __init__(self, random: np.ndarray, ordinary: np.ndarray, smoothing: float = 0.5):
+    def __init__(self, random: np.ndarray, ordinary: np.ndarray, smoothing: float = 0.5, backing: float = 0.005):
         def rows(counts):
             c = counts.reshape(SYMBOLS, SYMBOLS) + smoothing
-            return np.log(c / c.sum(1, keepdims=True))
+            of_kind = np.eye(4)[_KIND]
+            kinds = of_kind.T @ c @ of_kind / of_kind.sum(0)
+            backed = (kinds / (kinds * of_kind.sum(0)).sum(1, keepdims=True))[_KIND][:, _KIND]
+            return np.log((1 - backing) * c / c.sum(1, keepdims=True) + backing * backed)
 
         self.table = (rows(random) - rows(ordinary)).ravel()
 
@@ -111,13 +120,18 @@ def all_steps(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def composite(words: list[str], form: int) -> str:
     """An ordinary token with marks and digits, of three words: a path, a dated path, a name with a number, a version,
-    a constant, a numbered slug."""
+    a constant, a numbered slug, a path of a named file, a record number, a point of time, a short name with a long
+    number, a code point with its name, a stretch of the alphabet. What looks drawn comes from a checksum of the words."""
     a, b, c = words
     n, m = len(a) % 10, len(b) % 12 + 1
+    drawn = zlib.crc32("".join(words).encode("utf-8", "surrogatepass"))
+    number = f"{drawn * 2654435761 % 10**16:016d}"
     return (
         f"{a}/{b}{n}/{c}", f"{a}/20{len(c) % 30:02d}/{m:02d}/{b}-{c}", f"{a.title()}{b.title()}{n}{c.title()}",
         f"{a}_{b}_v{n}-{m}", f"{a}_{b}_{1 << len(c) % 13}".upper(), f"{a}-{m}-{b}-20{len(c) % 30:02d}",
-    )[form % 6]
+        f"{a}/{b}/{c.title()}{a.title()}{n}{b.title()}", f"{a}_id_{number[:13]}", f"20{drawn % 40:02d}{m:02d}{drawn % 28 + 1:02d}T{drawn % 24:02d}{drawn // 24 % 60:02d}{drawn // 1440 % 60:02d}Z",
+        f"{a[:2].lower()}{number}", f"0x{drawn % 0x110000:05X}_{a}_{b}".upper(), (ALPHABET[:26] * 2)[drawn % 26 :][:26],
+    )[form % 19 % 12]  # the first seven forms twice as often
 
 
 def outside(matches, spans: list[tuple[int, int]]):
@@ -188,8 +202,8 @@ def train(docs: DataFrame) -> tuple[MarkovRatio, float]:
 
 
 def threshold(random, ordinary) -> float:
-    """Midway between the scores that 1% of random tokens stay below and 1% of ordinary ones exceed, 0.4 at least;
-    unlabelled secrets among the ordinary tokens do not move it while they are fewer than that."""
+    """Midway between the scores that 1% of random tokens stay below and 0.1% of ordinary ones exceed, 0.4 at least:
+    there are far more ordinary tokens. Unlabelled secrets among them do not move it while they are fewer than that."""
     if random is None or ordinary is None or not len(random) or not len(ordinary):
         return 1.0
 
@@ -197,7 +211,7 @@ def threshold(random, ordinary) -> float:
         h = hist[np.argsort(hist[:, 0])]
         return h[np.searchsorted(np.cumsum(h[:, 1]) / h[:, 1].sum(), q), 0] / 100
 
-    return max(0.4, (quantile(random, 0.01) + quantile(ordinary, 0.99)) / 2)
+    return max(0.4, (quantile(random, 0.01) + quantile(ordinary, 0.999)) / 2)
 
 
 def all_spans(text: str, model: MarkovRatio, least: float) -> list[tuple[int, int, int]]:

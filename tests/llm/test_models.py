@@ -255,11 +255,12 @@ def test_rare_secrets_train_the_markov_models(spark):
 ORDINARY = (
     "usr/local/lib/python3/site-packages", "blog/2023/11/how-to-cook", "123e4567-e89b-12d3-a456-426614174000", "com/example/MyApplication2Activity",
     "release-2024-06-01-notes", "node_modules/react-dom/index", "getElementsByTagName2", "MAX_BUFFER_SIZE_1024", "images/2019/05/summer-holiday-12",
+    "20231105T143000Z", "user_id_1234567890123", "rs1234567890123456", "0x1F4A9_UNICODE_CODE", "abcdefghijklmnopqrstuvwxyz",
 )
 
 
 def test_ordinary_tokens_with_digits_are_left_alone(spark):
-    """Models of the real table: paths, dates, UUIDs and names with numbers are no secrets, random keys are."""
+    """Models of the real table: paths, dates, points of time, UUIDs, names with numbers and the alphabet are no secrets, random keys are."""
     model, least = secrets.fitted(table(spark, "/root/testdata/sf0.1", "documents"))
     flagged = lambda t: bool(secrets.all_spans(f"see {t} here", model, least))
     assert [t for t in ORDINARY if flagged(t)] == []
