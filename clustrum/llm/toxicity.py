@@ -41,10 +41,13 @@ def counted(text: str | None, vocabulary) -> dict[str, int]:
 
 
 class BlockMaxIndex:
-    """Normalised TF-IDF vectors of labelled examples; `nearest` finds the k of largest cosine exactly."""
+    """Normalised TF-IDF vectors of labelled examples; `nearest` finds the k of largest cosine exactly.
 
-    def __init__(self, vocabulary: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], k: int = 5):
-        self.idf, self.k = vocabulary, k
+    A block holds the weights of its examples as one matrix over the terms that stand in it, below a row of zeros for all others.
+    """
+
+    def __init__(self, vocabulary: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], k: int = 16, power: float = 3.0):
+        self.idf, self.k, self.power = vocabulary, k, power
         self.term = {t: i for i, t in enumerate(sorted(vocabulary))}
         vectors = [(i, y, v) for i, y, v in ((i, y, self.vector(n)) for i, y, n in examples) if v]
         # examples with the same leading term stand together, so that the maxima of blocks differ
@@ -52,15 +55,18 @@ class BlockMaxIndex:
         self.ids = [e[0] for e in vectors]
         self.labels = np.array([e[1] for e in vectors], float)
         blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((len(self.term), max(blocks, 1)), np.float64)
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        held: dict[tuple[int, int], list] = {}
-        for at, (_, _, v) in enumerate(vectors):
-            for t, w in v.items():
-                held.setdefault((t, at // BLOCK), []).append((at % BLOCK, w))
-                self.most[t, at // BLOCK] = max(self.most[t, at // BLOCK], w)
-        for key, rows in held.items():
-            self.postings[key] = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+        self.most = np.zeros((len(self.term), blocks))
+        self.row = np.zeros((blocks, len(self.term)), np.int32)
+        self.weights: list[np.ndarray] = []
+        for b in range(blocks):
+            members = vectors[b * BLOCK : (b + 1) * BLOCK]
+            own = np.array(sorted({t for _, _, v in members for t in v}))
+            self.row[b, own] = np.arange(1, len(own) + 1)
+            w = np.zeros((len(own) + 1, BLOCK))
+            for at, (_, _, v) in enumerate(members):
+                w[self.row[b, list(v)], at] = list(v.values())
+            self.most[own, b] = w[1:].max(axis=1)
+            self.weights.append(w)
 
     def vector(self, counts: dict[str, int]) -> dict[int, float]:
         v = {self.term[t]: (1 + np.log(n)) * self.idf[t] for t, n in counts.items() if t in self.term}
@@ -72,25 +78,24 @@ class BlockMaxIndex:
         v = self.vector(counts)
         if not v or not self.ids:
             return []
-        own = list(v)
-        bound = np.array([v[t] for t in own]) @ self.most[own]
+        own, weight = np.array(list(v)), np.array(list(v.values()))
+        bound = weight @ self.most[own]
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] < best[-1][0]):
+            full = len(best) == self.k
+            if bound[b] <= 0 or (full and bound[b] < best[-1][0] - 1e-9):
                 break
-            scores = np.zeros(BLOCK)
-            for t in own:
-                if (t, b) in self.postings:
-                    at, w = self.postings[t, b]
-                    scores[at] += v[t] * w
-            best += [(float(scores[i]), int(b) * BLOCK + int(i)) for i in np.nonzero(scores > 0)[0]]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[: self.k]
+            scores = np.round(weight @ self.weights[b][self.row[b, own]], 12)  # equal vectors tie, whatever the order of their sums
+            near = np.flatnonzero((scores > 0) & (scores >= best[-1][0]) if full else scores > 0)
+            if len(near):
+                best += [(float(scores[i]), int(b) * BLOCK + int(i)) for i in near]
+                best = sorted(best, key=lambda x: (-x[0], x[1]))[: self.k]
         return best
 
     def vote(self, found: list[tuple[float, int]], prior: float, weight: float = 0.5) -> float:
-        """Share of toxic labels among the neighbours, weighted by the cube of the cosine, drawn to the prior where they are far."""
-        total = sum(s**3 for s, _ in found)
-        return (sum(s**3 * self.labels[i] for s, i in found) + weight * prior) / (total + weight)
+        """Share of toxic labels among the neighbours, weighted by a power of the cosine, drawn to the prior where they are far."""
+        total = sum(s**self.power for s, _ in found)
+        return (sum(s**self.power * self.labels[i] for s, i in found) + weight * prior) / (total + weight)
 
 
 def isotonic(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
@@ -123,7 +128,7 @@ class Judge:
         return min(1.0, max(0.0, p)), ",".join(f"{self.index.ids[i]}:{int(self.index.labels[i])}:{s:.4f}" for s, i in found[:3])
 
 
-def fitted(rows: DataFrame, labels: DataFrame, examples: int, least_chi: float, most_terms: int) -> Judge:
+def fitted(rows: DataFrame, labels: DataFrame, examples: int, least_chi: float, most_terms: int, neighbours: int = 16, power: float = 3.0) -> Judge:
     """Learn from rows (doc_id, text) that have a label: at most about `examples` of each label for the index, as many for calibration."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.where(remainder(F.col("doc_id")) != 0)
@@ -167,7 +172,7 @@ def fitted(rows: DataFrame, labels: DataFrame, examples: int, least_chi: float,
         return [ids, toxic, [list(c) for c in own_terms], [list(c.values()) for c in own_terms]]
 
     found = map_columns(own.select("doc_id", "toxic", "text"), held, "doc_id long, toxic int, terms array<string>, n array<long>").collect() if spoken else []
-    index = BlockMaxIndex(idf, sorted((r["doc_id"], r["toxic"], dict(zip(r["terms"], r["n"]))) for r in found if r["terms"]) if found else [])
+    index = BlockMaxIndex(idf, sorted((r["doc_id"], r["toxic"], dict(zip(r["terms"], r["n"]))) for r in found if r["terms"]) if found else [], neighbours, power)
     judge = Judge(index, pos / max(pos + neg, 1), np.zeros(LEVELS))
 
     def votes(toxic, texts):
@@ -182,17 +187,18 @@ def fitted(rows: DataFrame, labels: DataFrame, examples: int, least_chi: float,
     return judge
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 2000, least_chi: float = 20.0, most_terms: int = 4096) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, examples: int = 2000, least_chi: float = 20.0, most_terms: int = 4096, neighbours: int = 16, power: float = 3.0) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence of each row of (doc_id, text).
 
     Learns from labels (doc_id, toxic) of documents whose crc32(doc_id) mod 5 is not 0, about `examples` of each label
     for the index and for calibration, and from these examples at most the `most_terms` terms of highest chi-square of
     those that reach `least_chi` (documented bounds of the fit); document frequencies are of all documents. A text without a
     marking term, so also a null or empty one, has no neighbours and the calibrated score of that. Without labels of
-    both kinds every score is 0. evidence: the three nearest examples as id:label:cosine.
+    both kinds every score is 0. The `neighbours` examples of largest cosine vote with its `power`-th power; the cosine is
+    exact over the terms chosen. evidence: the three nearest examples as id:label:cosine.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    judge = fitted(rows, labels, examples, least_chi, most_terms)
+    judge = fitted(rows, labels, examples, least_chi, most_terms, neighbours, power)
 
     def work(ids, held_out, texts):
         scored = [judge.score(t) for t in texts]

@@ -337,7 +337,7 @@ def test_scores_by_brute_force(spark):
     some = 0
     for r in toxicity.toxicity(docs, labels).where("doc_id % 4 = 0").collect():
         v = vector(texts[r["doc_id"]])
-        near = sorted(((sum(w * e.get(t, 0.0) for t, w in v.items()), -n) for n, (_, _, e) in enumerate(examples)), reverse=True)[:5]
+        near = sorted(((round(sum(w * e.get(t, 0.0) for t, w in v.items()), 12), -n) for n, (_, _, e) in enumerate(examples)), reverse=True)[: judge.index.k]
         near = [(c, -n) for c, n in near if c > 0]
         vote = (sum(c**3 * examples[n][1] for c, n in near) + 0.5 * judge.prior) / (sum(c**3 for c, _ in near) + 0.5)
         levels = [judge.levels[min(max(int((vote + d) * toxicity.LEVELS), 0), toxicity.LEVELS - 1)] for d in (-1e-9, 1e-9)]
