@@ -37,6 +37,7 @@ CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
 BLOCK = 8192
 BATCH = 4096
 SLOTS = 4
+ROUNDS = 6  # uses of a row in a batch that are added without a segment
 PIECE = 1 << 16
 
 _BLANK = np.zeros(256, bool)
@@ -133,40 +134,41 @@ class Lexicon:
         return h, begin, end, (before * 256 + last) % ENDINGS
 
     def codes(self, texts: list[bytes | None]) -> "Codes":
-        """The tokens of several texts in a row, each with its end."""
-        hashes, endings, n, spans = [], [], [], []
-        for text in texts:
-            many = 0
-            for piece in cut((text or b"").lower()):
-                h, begin, end, e = self.pieces(piece)
-                hashes.append(h)
-                endings.append(e)
-                spans.append((piece, begin, end))
-                many += len(h)
-            hashes.append(_END_HASH[None])
-            endings.append(np.zeros(1, np.int64))
-            spans.append((b"", np.zeros(1, np.int64), np.zeros(1, np.int64)))
-            n.append(many + 1)
-        h = np.concatenate(hashes)
+        """The tokens of several texts in a row, each with its end. The texts are read as one, a blank between them."""
+        whole = b"\n".join([text or b"" for text in texts]).lower()
+        found, offset = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)], 0
+        for piece in cut(whole):
+            h, begin, end, e = self.pieces(piece)
+            found.append((h, begin + offset, end + offset, e))
+            offset += len(piece)
+        columns = [np.concatenate(x) for x in zip(*found)]
+        sizes = np.array([len(text or b"") + 1 for text in texts], np.int64)
+        words = np.diff(np.searchsorted(columns[1], np.cumsum(sizes) - sizes), append=len(columns[1]))
+        n = words + 1
+        place = np.arange(len(columns[1])) + np.repeat(np.arange(len(texts)), words)
+
+        def with_ends(column, end):
+            out = np.full(len(column) + len(texts), end, column.dtype)
+            out[place] = column
+            return out
+
+        h, begin, end, e = (with_ends(column, of_end) for column, of_end in zip(columns, (_END_HASH, 0, 0, 0)))
         at = np.searchsorted(self.hashes, h)
         hit = self.hashes[at] == h
         word, place = np.where(hit, self.ids[at], -1), np.where(hit, self.places[at], 0)
-        n = np.array(n, np.int64)
-        return Codes(np.where(word < 0, self.outside + np.concatenate(endings), word), h, place, np.concatenate([[0], np.cumsum(n)[:-1]]), n, spans)
+        return Codes(np.where(word < 0, self.outside + e, word), h, place, np.cumsum(n) - n, n, whole, begin, end)
 
 
 class Codes:
     """word (vocabulary id, or the vocabulary's size and the class), hash and place among the head words of each token; where each
-    text starts, and how many tokens it has."""
+    text starts, and how many tokens it has; the bytes of all texts, and where in them each token begins and ends."""
 
-    def __init__(self, word, hash, place, starts, n, spans):
-        self.word, self.hash, self.place, self.starts, self.n, self.spans = word, hash, place, starts, n, spans
+    def __init__(self, word, hash, place, starts, n, whole, begin, end):
+        self.word, self.hash, self.place, self.starts, self.n, self.whole, self.begin, self.end = word, hash, place, starts, n, whole, begin, end
 
     def words_at(self, where: np.ndarray) -> list[bytes]:
-        """The tokens at ascending positions."""
-        first = np.concatenate([[0], np.cumsum([len(b) for _, b, _ in self.spans])])
-        of = np.searchsorted(first, where, side="right") - 1
-        return [self.spans[p][0][self.spans[p][1][i] : self.spans[p][2][i]] for p, i in zip(of.tolist(), (where - first[of]).tolist())]
+        """The tokens at these positions."""
+        return [self.whole[b:e] for b, e in zip(self.begin[where].tolist(), self.end[where].tolist())]
 
     def parts(self, limit: int = BATCH):
         """(word, hash, starts) runs of at most `limit` tokens, for steps over a long text one after another."""
@@ -304,11 +306,26 @@ class Model:
 
     @staticmethod
     def _update(rows, at, gradient, rate):
+        """A segment's sum costs more to set up than to add, so only runs of over ROUNDS uses are segments: of the others the
+        first members are taken together, then the second are added, and so on."""
         order = np.argsort(at, kind="stable")  # 16-bit keys: a radix sort
-        sorted_at = at[order]
-        last = np.nonzero(np.concatenate([sorted_at[1:] != sorted_at[:-1], [True]]))[0]
-        sums = np.add.reduceat(gradient.take(order, 0), np.concatenate([[0], last[:-1] + 1]), axis=0)
-        rows[sorted_at[last]] -= sums * (rate / np.sqrt(np.diff(last, prepend=-1)))[:, None].astype(np.float32)
+        sorted_at = at.take(order)
+        first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
+        size = np.diff(first, append=len(at))
+        sums = gradient.take(order.take(first), 0)
+        some = np.flatnonzero((size > 1) & (size <= ROUNDS))
+        for j in range(1, ROUNDS):
+            if not len(some):
+                break
+            sums[some] += gradient.take(order.take(first.take(some) + j), 0)
+            some = some[size.take(some) > j + 1]
+        long = np.flatnonzero(size > ROUNDS)
+        if len(long):
+            n = size.take(long)
+            sums[long] = np.add.reduceat(gradient.take(order[np.repeat(size > ROUNDS, size)], 0), np.cumsum(n) - n, axis=0)
+        sums *= (rate / np.sqrt(size)).astype(np.float32)[:, None]
+        own = sorted_at.take(first)
+        rows[own] = rows.take(own, 0) - sums
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.class_rows.ravel(), self.word_rows.ravel()])

@@ -101,6 +101,46 @@ def test_codes_are_those_of_split_words():
     assert len(set(c.hash.tolist())) == len(set(flat))
 
 
+def test_update_of_rows_used_seldom_and_often():
+    """Rows used once, a few times and in long runs; most cost no segment of their own."""
+    rng = np.random.default_rng(5)
+    at = np.concatenate([np.repeat(np.arange(40), np.arange(1, 41)), rng.integers(100, 5000, 3000)]).astype(np.uint16)
+    rng.shuffle(at)
+    g, rows = rng.standard_normal((len(at), 52)).astype(np.float32), rng.standard_normal((5000, 52)).astype(np.float32)
+    want = rows.astype(float)
+    for key in np.unique(at):
+        used = g[at == key].astype(float)
+        want[key] -= used.sum(0) * 0.5 / len(used) ** 0.5
+
+    def segments():
+        order = np.argsort(at, kind="stable")
+        return np.add.reduceat(g.take(order, 0), np.flatnonzero(np.diff(at[order], prepend=-1)), axis=0)
+
+    def least_time(work):
+        times = []
+        for _ in range(30):
+            begin = time.process_time()
+            work()
+            times.append(time.process_time() - begin)
+        return min(times)
+
+    got = rows.copy()
+    maxent.Model._update(got, at, g, 0.5)
+    assert np.allclose(got, want, atol=1e-4)
+    assert least_time(lambda: maxent.Model._update(rows, at, g, 0.5)) < 1.1 * least_time(segments)  # before: segments and more
+
+
+def test_texts_of_a_batch_are_coded_at_once(monkeypatch):
+    lexicon, calls = maxent.Lexicon([b"a"]), []
+    pieces = lexicon.pieces
+    monkeypatch.setattr(lexicon, "pieces", lambda text: calls.append(len(text)) or pieces(text))
+    texts = [b"a B", b"", None, b"\n", b"c"] * 40
+    c = lexicon.codes(texts)
+    assert len(calls) == 1
+    assert c.words_at(np.arange(len(c.word))) == [w for t in texts for w in maxent.tokens(t)]
+    assert c.starts.tolist() == np.cumsum([0, *c.n[:-1]]).tolist() and maxent.Lexicon([b"a"]).codes([None]).n.tolist() == [1]
+
+
 def test_vocabulary_grows_with_the_distinct_words(spark):
     assert maxent.OUTSIDE >= 1024 and maxent.shape_for(0) == maxent.Shape()
     small, large = maxent.shape_for(1_000_000), maxent.shape_for(100_000_000)
